@@ -88,3 +88,40 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_groups(df: DataFrame, group: str, columns: list[str], schema: str, make: Callable[[], Callable[[pa.Table, np.ndarray], Iterable[dict]]], least: int = 4096) -> DataFrame:
+    """Runs on runs of whole groups: work(table, starts) gets rows sorted by `group` and where each group starts.
+
+    For groups of bounded size only: a task holds one group and at most a batch more. `group` is a bigint and comes first in
+    the table, then `columns`.
+    """
+    kind = T._parse_datatype_string(schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Batches) -> Batches:
+        work, held, rows = make(), [], 0
+
+        def done(t: pa.Table, keys: np.ndarray) -> Batches:
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for out in work(t, starts):
+                yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for f, a in ((f, out[f.name]) for f in arrow)], schema=arrow)
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= least:
+                t = pa.Table.from_batches(held).combine_chunks()
+                keys = t.column(0).to_numpy()
+                last = int(np.searchsorted(keys, keys[-1]))
+                if last:
+                    yield from done(t.slice(0, last).combine_chunks(), keys[:last])
+                    t = t.slice(last)
+                held, rows = t.to_batches(), t.num_rows
+        if rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from done(t, t.column(0).to_numpy())
+
+    return df.select(group, *columns).repartition(group).sortWithinPartitions(group).mapInArrow(run, kind)

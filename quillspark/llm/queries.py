@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import encoding, forms, mixture, pieces, repetition, truncation
+from quillspark.llm import encoding, forms, mixture, neardup, neighbours, pieces, repetition, truncation
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_shares(table(spark, d, "chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "cache"))
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "cache"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, d, "chunks"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.looks_alike(table(spark, d, "chunks"))
 
@@ -62,7 +78,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p5_found, p5_forms, p6_found, p6_pieces, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p3_found, p3_groups, p5_found, p5_forms, p6_found, p6_pieces, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
@@ -71,5 +87,10 @@ grams AS (SELECT "row", length(t) AS n, i, substr(t, i, 12) AS g FROM plain, LAT
 later AS (SELECT "row", n, i FROM (SELECT *, row_number() OVER (PARTITION BY "row", g ORDER BY i) AS k FROM grams) WHERE k > 1),
 covered AS (SELECT DISTINCT "row", n, p FROM later, LATERAL (SELECT unnest(range(i, i + 12)) AS p))
 SELECT "row" FROM covered GROUP BY "row", n HAVING count(*) >= 0.3 * n""",
+    "p2_found": """
+WITH v AS (SELECT key, vec::DOUBLE[] AS vec FROM cache WHERE len(vec) > 0 AND list_sum(list_transform(vec, lambda x: x * x)) > 0),
+s AS (SELECT a.key AS k, b.key AS o, list_cosine_similarity(a.vec, b.vec) AS c FROM v a JOIN v b ON a.key <> b.key),
+r AS (SELECT k, o, c, row_number() OVER (PARTITION BY k ORDER BY c DESC, o) AS n FROM s)
+SELECT DISTINCT least(k, o) AS key_a, greatest(k, o) AS key_b FROM r WHERE n <= 10 AND c >= 0.9""",
     "p6_found": 'SELECT "row" FROM chunks WHERE length(text) > 600',
 }
