@@ -125,3 +125,18 @@ def map_groups(df: DataFrame, group: str, columns: list[str], schema: str, make:
             yield from done(t, t.column(0).to_numpy())
 
     return df.select(group, *columns).repartition(group).sortWithinPartitions(group).mapInArrow(run, kind)
+
+
+def bounded_sample(df: DataFrame, column: str, rows: int, where: str | None = None) -> list[str]:
+    """At most `rows` values of a column, the smallest by hash, so the same at every partitioning.
+
+    Where the table is much larger, a hash condition leaves about twice as many before anything is sorted or sent, so what
+    reaches the driver doesn't grow with the table.
+    """
+    from pyspark.sql import functions as F
+
+    some = df.select(F.col(column).alias("value")).where(where or "value is not null")
+    n = df.count()
+    if n > 4 * rows:
+        some = some.where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < int((1 << 30) * 2 * rows / n))
+    return [r.value for r in some.orderBy(F.xxhash64("value"), "value").limit(rows).collect()]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import encoding, forms, mixture, neardup, neighbours, pieces, repetition, truncation
+from quillspark.llm import encoding, forms, mixture, neardup, neighbours, pieces, repetition, scans, truncation
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "chunks"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scanned(table(spark, d, "chunks"))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "chunks"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(spark, d, "documents"))
 
@@ -78,7 +86,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p3_found, p3_groups, p5_found, p5_forms, p6_found, p6_pieces, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p3_found, p3_groups, p5_found, p5_forms, p6_found, p6_pieces, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

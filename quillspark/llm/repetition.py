@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import code_points, map_batches, mix64, owners, window_hashes
+from quillspark.llm.common import bounded_sample, code_points, map_batches, mix64, owners, window_hashes
 from quillspark.llm.logistic import Model, Sparse, calibrated, fit, halves
 
 #: Successive letters and digits that count as a repeat, and the share that counts as repetitive.
@@ -129,8 +129,7 @@ def repeated_shares(df: DataFrame, key: str = "row", text: str = "raw_text", thr
     Null, empty and blank texts, and texts without letters or digits, have share 0 and don't come out; a text of any length is
     measured whole; repeated rows come out as often as they come in; an empty table gives an empty one.
     """
-    sample = df.select(F.col(text).alias("t")).where(F.length("t") >= 2 * RUN).orderBy(F.xxhash64("t"), "t").limit(TRAIN_ROWS).collect()
-    model = train([r.t for r in sample], Letters())
+    model = train(bounded_sample(df, text, TRAIN_ROWS, f"length(value) >= {2 * RUN}"), Letters())
 
     def make():
         letters = Letters()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_batches
+from quillspark.llm.common import bounded_sample, map_batches
 from quillspark.llm.logistic import Model, Sparse, calibrated, fit, halves
 
 #: The bound of the sample, the number of hashed features, the threshold on the probability.
@@ -133,8 +133,7 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     Null, empty and blank texts can't be cut off and don't come out; equal rows get equal scores; texts of any length are
     taken whole, though only their ends decide; the null source is a source of its own; an empty table gives an empty one.
     """
-    sample = df.where(F.length(F.trim(text)) > 8).select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(TRAIN_ROWS)
-    model = train([r.t for r in sample.collect()])
+    model = train(bounded_sample(df, text, TRAIN_ROWS, "length(trim(value)) > 8"))
     stats = limits(df, source, text).withColumnRenamed("source", "s_")
     rows = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(source).alias("s"), F.substring(text, -420, 420).alias("t"), F.length(text).alias("c"), F.octet_length(text).alias("b"))
     joined = rows.join(stats, F.expr("s <=> s_"), "left").select(
