@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import encoding, forms, mixture, neardup, neighbours, pieces, repetition, scans, truncation
+from quillspark.llm import encoding, forms, mixture, mojibake, neardup, neighbours, pieces, repetition, scans, truncation
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "chunks"))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired(table(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.looks_alike(table(spark, d, "chunks"))
 
@@ -86,7 +94,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p3_found, p3_groups, p5_found, p5_forms, p6_found, p6_pieces, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_forms, p6_found, p6_pieces, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
