@@ -13,19 +13,23 @@ from quillspark.functions import text as X
 
 
 def containment_join(left: DataFrame, right: DataFrame, threshold: float, left_key: str = "id", right_key: str = "id", left_text: str = "text", right_text: str = "text") -> DataFrame:
-    """(left_key, right_key, score): pairs where at least `threshold` of the left text's distinct pairs of characters are in the right's.
+    """(a, b, score): pairs where at least `threshold` of the left text's distinct pairs of characters are in the right's.
 
-    Exact, by prefix filtering: whoever holds that part of a set of n holds at least one of any n - ceil(threshold n) + 1 of its
-    members, so only the rarest such members are joined on, and the hits are verified. Texts without pairs match nothing.
+    Exact, by prefix filtering: whoever holds `need` of a set of n holds at least k of any n - need + k of its members. The rarest
+    such members are joined on and counted, k being half the need, and the few pairs that reach k are verified. So the most
+    common members, which most texts share, are never joined on. Texts without pairs match nothing.
     """
-    a = left.select(F.col(left_key).alias("a"), X.bigrams(F.col(left_text)).alias("sa")).where("size(sa) > 0")
-    b = right.select(F.col(right_key).alias("b"), X.bigrams(F.col(right_text)).alias("sb")).where("size(sb) > 0")
+    packed = lambda text: F.transform(X.bigrams(F.col(text)), lambda g: F.ascii(g).cast("bigint") * 2097152 + F.ascii(F.substring(g, 2, 1)))
+    a = left.select(F.col(left_key).alias("a"), packed(left_text).alias("sa")).where("size(sa) > 0")
+    b = right.select(F.col(right_key).alias("b"), packed(right_text).alias("sb")).where("size(sb) > 0")
     held = b.select("b", F.explode("sb").alias("g"))
     common = held.groupBy("g").agg(F.count("*").alias("df"))
     wanted = a.select("a", F.size("sa").alias("n"), F.explode("sa").alias("g")).join(common, "g", "left").fillna({"df": 0})
+    need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
+    k = F.greatest(F.lit(1), F.floor(need / 2))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("df", "g"))
-    rarest = wanted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).where("df > 0")
-    pairs = rarest.select("a", "g").join(held, "g").select("a", "b").distinct()
+    rarest = wanted.withColumn("rank", rank).withColumn("k", k).where(F.col("rank") <= F.col("n") - need + F.col("k")).where("df > 0")
+    pairs = rarest.select("a", "g", "k").join(held, "g").groupBy("a", "b", "k").agg(F.count("*").alias("hits")).where("hits >= k").select("a", "b")
     scored = pairs.join(a, "a").join(b, "b").withColumn("score", X.containment(F.col("sa"), F.col("sb")))
     return scored.where(F.col("score") >= threshold - 1e-9).select("a", "b", "score")
 

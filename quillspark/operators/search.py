@@ -25,21 +25,24 @@ def lengths(rows: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
 def bm25(rows: DataFrame, question: str, key: str = "row", text: str = "text", kind: str | None = None, limit: int | None = 50) -> DataFrame:
     """(key, score) of the best rows for an OR of the question's terms; ties by key.
 
-    Only occurrences of the question's terms leave the scan: each row is reduced to its size and its terms' counts, so the
-    shuffle carries a few numbers a term. A prefix term counts all tokens that begin so. Statistics are the whole corpus's, also
-    with a kind, which filters afterwards. No terms, no rows.
+    Each row is reduced to its size and its terms' counts in the scan, by regular expressions over the folded text: a pair of Han
+    characters is a token wherever it stands, so no token is ever made. A prefix term counts all tokens that begin so. Statistics
+    are the whole corpus's, also with a kind, which filters afterwards. No terms, no rows.
     """
     if kind is not None and kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
     terms = X.query_terms(question)
     if not terms:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
-    toks = rows.select(key, *([F.col("kind")] if kind else []), X.tokens(F.col(text)).alias("toks"))
+    of_kind = [F.col("kind")] if kind else []
+    folded = rows.select(key, *of_kind, F.coalesce(X.fold(F.col(text)), F.lit("")).alias("folded"))
+    size = F.length(F.regexp_replace("folded", f"[^{X.HAN}]", "")) + F.regexp_count("folded", F.lit("[0-9a-z]+"))
 
     def hits(term: str, prefix: bool) -> Column:
-        return F.size(F.filter(F.col("toks"), lambda t: t.startswith(term) if prefix else t == F.lit(term)))
+        pattern = f"(?={term})" if not term.isascii() else rf"(?<![0-9a-z]){term}{'' if prefix else '(?![0-9a-z])'}"
+        return F.regexp_count("folded", F.lit(pattern))
 
-    counted = toks.select(key, *([F.col("kind")] if kind else []), F.size("toks").alias("size"), *[hits(*t).alias(f"f{i}") for i, t in enumerate(terms)])
+    counted = folded.select(key, *of_kind, size.alias("size"), *[hits(*t).alias(f"f{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))])
 
     def part(i: int) -> Column:
