@@ -15,9 +15,9 @@ from pyspark.sql.types import StringType
 #: Han as the token rule has it.
 HAN = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{3134f}"
 RUN = f"[{HAN}]+|[0-9a-z]+"
-#: Full-width ASCII and its plain form, by rule.
-WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-PLAIN = "".join(map(chr, range(0x21, 0x7F)))
+#: Full-width letters and digits and their plain form, by rule.
+PLAIN = "".join(c for c in map(chr, range(0x21, 0x7F)) if c.isalnum())
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
 #: Variant characters and the ones used in their place.
 VARIANTS = {"溼": "濕", "芪": "耆", "痹": "痺", "谿": "溪"}
 #: Characters that carry no search meaning alone.
@@ -32,8 +32,11 @@ def trimmed(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case folded, full-width forms as plain ones, variants unified: the native key, exact wherever NFKC does no more than that."""
-    t = F.replace(F.lower(F.translate(text, WIDE, PLAIN)), F.lit("ß"), F.lit("ss"))
-    return F.translate(t, "".join(VARIANTS) + "ς", "".join(VARIANTS.values()) + "σ")
+    # translate() is dear, so only texts that hold what it changes go through it
+    plain = F.when(text.rlike("[０-９Ａ-Ｚａ-ｚ]"), F.translate(text, WIDE, PLAIN)).otherwise(text)
+    t = F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))
+    rare, usual = "".join(VARIANTS) + "ς", "".join(VARIANTS.values()) + "σ"
+    return F.when(t.rlike(f"[{rare}]"), F.translate(t, rare, usual)).otherwise(t)
 
 
 def search_key(text: Column, table: dict[str, str] | None = None) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from quillspark.functions.text import trimmed
 from quillspark.operators.inventory import category, suffix
 
-SEGMENT = T.StructType.fromDDL("start double, end double, text_raw string, text string, speaker string, confidence struct<avg_logprob double, no_speech_prob double, compression_ratio double>, low_confidence boolean, filtered boolean")
-TRANSCRIPT = T.StructType.fromDDL("schema string, source string, clip struct<start double, duration double>, duration_sec double, created_at string").add("segments", T.ArrayType(SEGMENT)).add("dropped", T.ArrayType(T.StructType.fromDDL("start double, end double, text_raw string, reason string")))
-CHUNK = T.StructType.fromDDL("`row` bigint, id string, kind string, source string, title string, episode string, section string, page_start int, page_end int, start double, `end` double, date string, text string, chars int, quality int, raw_text string, unit_ids string")
+SEGMENT = "struct<start: double, end: double, text_raw: string, text: string, speaker: string, confidence: struct<avg_logprob: double, no_speech_prob: double, compression_ratio: double>, low_confidence: boolean, filtered: boolean>"
+TRANSCRIPT = f"schema string, source string, clip struct<start: double, duration: double>, duration_sec double, created_at string, segments array<{SEGMENT}>, dropped array<struct<start: double, end: double, text_raw: string, reason: string>>"
+CHUNK = "`row` bigint, id string, kind string, source string, title string, episode string, section string, page_start int, page_end int, start double, `end` double, date string, text string, chars int, quality int, raw_text string, unit_ids string"
 
 
 def listing(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
@@ -153,7 +153,7 @@ def classics(rows: DataFrame) -> DataFrame:
 _PARAGRAPH = re.compile(r'<div[^>]*data-sec="p"[^>]*id="(\d+)"[^>]*>(.*?)</div>', re.S)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType.fromDDL("number int, text string")))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("number", T.IntegerType()), T.StructField("text", T.StringType())])))
 def html_paragraphs(pages: pd.Series) -> pd.Series:
     """Numbered paragraphs of a page; text of old editions is hidden, line breaks stay."""
 
