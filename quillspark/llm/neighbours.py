@@ -22,7 +22,7 @@ from quillspark.llm.common import map_batches, map_groups, written
 #: Neighbours reported and kept, members of a local join in each direction, rounds of blocks, a block's rows, rounds of descent.
 REPORT, KEPT, SAMPLE, ROUNDS, BLOCK, DESCENTS = 10, 16, 8, 6, 2048, 2
 #: Of the greedy search: the beam's width and its steps.
-BEAM, STEPS = 48, 4
+BEAM, STEPS = 128, 5
 #: The least cosine of a pair, and how far codes can be off.
 COSINE, SLACK = 0.90, 0.01
 
