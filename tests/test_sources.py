@@ -74,7 +74,7 @@ def test_layout(spark):
     assert [r.c and tuple(r.c) for r in titles.select(layout.case_title(F.col("t")).alias("c")).collect()] == [("2008-03-12", "頭痛"), None, ("2008-03-12", "咳"), None]
     s = spark.createDataFrame([("上篇 (12-01:02:03)",), ("卷上 三：太陽病發汗遂漏不止其人惡風小便難",), (None,)], "s string")
     assert [r.x for r in s.select(layout.short_section(F.col("s")).alias("x")).collect()] == ["上篇", "三：太陽病發汗遂漏不止其…", ""]
-    assert layout.repaired_name("桂枝湯".encode("big5").decode("gbk")) == "桂枝湯"
+    assert layout.repaired_name("若見舌根".encode("big5").decode("gb18030")) == "若見舌根"
     assert layout.recovered_word("這是一段可以救回的文字。\r\x13HYPERLINK\x14".encode("utf-16-le")) == ["這是一段可以救回的文字。"]
     t = spark.createDataFrame([("這是第一行沒有結束\n這一行結束。\n另一段落在這裡寫",)], "t string")
     assert t.select(layout.recognised_paragraphs("t").alias("p")).first().p == ["這是第一行沒有結束這一行結束。", "另一段落在這裡寫"]
