@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_batches
+from quillspark.llm.common import map_batches, written
 
 #: Characters that recognition takes for one another, the true one first.
 HAN = "不下 方万 用甩 白自 減滅 减灭 煎剪 氣氛 二ニ 二亖 三亖 熱熟 热熟 治冶 鹽監 盐监 論諭 论谕 大太 日曰 舌古 未末 寒塞 患惠 已己 根恨 口囗 人入 湯渴 汤渴 木本 土士 千干 力刀 間問 间问"
@@ -64,16 +64,9 @@ def counts(df: DataFrame, text: str = "raw_text") -> tuple[dict[str, int], int]:
 
     one = f"[{''.join(sorted(CONFUSED))}]"
     PAIRS = re.compile(rf"(?=({one}[^\s]|[^\s]{one}))")
-    grams = map_batches(df.where(F.length(text) > 0), [text], "gram string, n bigint", make).groupBy("gram").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(_every())
-    rows = grams.withColumn("total", total).where(F.col("n") >= LEAST * F.col("total")).collect()
-    return {r.gram: r.n for r in rows}, (rows[0].total if rows else 1)
-
-
-def _every():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    grams = written(map_batches(df.where(F.length(text) > 0), [text], "gram string, n bigint", make).groupBy("gram").agg(F.sum("n").alias("n")))
+    total = grams.agg(F.sum("n").alias("n")).first().n or 1
+    return {r.gram: r.n for r in grams.where(F.col("n") >= LEAST * total).collect()}, total
 
 
 @dataclass
