@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_batches, map_groups, written
+from quillspark.llm.common import map_batches, map_groups, mix64, written
 
-#: Neighbours reported and kept, members of a local join in each direction, rounds of blocks, a block's rows, rounds of descent.
-REPORT, KEPT, SAMPLE, ROUNDS, BLOCK, DESCENTS = 10, 16, 8, 6, 2048, 2
+#: Neighbours reported and kept, fresh members of a local join in each direction, rounds of blocks, a block's rows, the pivots that cut
+#: a larger cell at once, and the part of the entries that may still be fresh when descent ends.
+REPORT, KEPT, SAMPLE, ROUNDS, BLOCK, PIVOTS, SETTLED = 10, 16, 8, 6, 2048, 16, 0.002
+#: Entries kept where only those above a similarity are of interest.
+WIDE = 48
 #: Of the greedy search: the beam's width and its steps.
 BEAM, STEPS = 128, 5
 #: The least cosine of a pair, and how far codes can be off.
@@ -78,6 +81,45 @@ def _lists(ids: np.ndarray, s: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.ListArray.from_arrays(ends, pa.array(ids.ravel())), pa.ListArray.from_arrays(ends, pa.array(s.ravel()))
 
 
+def blocks(celled: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, block) of (id, round, cell): a cell of more than 2 * BLOCK nodes is cut by the planes half-way between PIVOTS of its own nodes,
+    again and again until no block is larger. Nodes that no plane parts, since their codes are equal, are parted by chance."""
+    done, rest, level = [], written(celled), 0
+    while True:
+        sizes = rest.groupBy("round", "cell").agg(F.count("*").alias("n"))
+        sized = written(rest.join(sizes, ["round", "cell"]))
+        done.append(sized.where(F.col("n") <= 2 * BLOCK).select("id", F.xxhash64("round", "cell").alias("block")))
+        large = sized.where(F.col("n") > 2 * BLOCK)
+        if large.isEmpty():
+            break
+        drawn = large.withColumn("k", F.row_number().over(Window.partitionBy("round", "cell").orderBy(F.xxhash64("id", "round", F.lit(level)), "id"))).where(F.col("k") <= PIVOTS).where(F.col("k") <= F.ceil(F.col("n") / BLOCK))
+        pivots = drawn.join(vectors.select("id", "code"), "id").groupBy("round", "cell").agg(F.sort_array(F.collect_list("code")).alias("pivots"))
+        rows = large.join(vectors.select("id", "code"), "id").join(pivots, ["round", "cell"])
+
+        def nearer():
+            def work(batch: pa.RecordBatch):
+                rounds, ids, own = (batch.column(i).to_numpy() for i in range(3))
+                order = np.lexsort((own, rounds))
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(own[order]) != 0) | (np.diff(rounds[order]) != 0)])) if len(ids) else np.zeros(0, np.int64)
+                pivot = np.zeros(len(ids), np.int64)
+                for at in np.split(order, starts[1:]) if len(ids) else ():
+                    near = _matrix(batch.column(3).take(pa.array(at))) @ _matrix(batch.column(4)[int(at[0])].as_py()).T
+                    # what is equally near to several goes to any of them
+                    chance = mix64(ids[at, None].astype(np.uint64) + np.arange(near.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rounds[at, None].astype(np.uint64))
+                    pivot[at] = (near + 2e-6 * (chance >> np.uint64(40)).astype(np.float32) / 2**24).argmax(1)
+                yield {"id": ids, "round": rounds, "own": own, "pivot": pivot}
+
+            return work
+
+        parted = map_batches(rows, ["round", "id", "cell", "code", "pivots"], "id bigint, round int, own bigint, pivot bigint", nearer)
+        rest = written(parted.select("id", "round", F.xxhash64("round", "own", "pivot", F.lit(level)).alias("cell")))
+        level += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out
+
+
 def first_graph(vectors: DataFrame, count: int) -> DataFrame:
     """(id, other, s): for each node the best of its blocks, one list a round of blocks."""
     bits = max(0, int(np.ceil(np.log2(max(1, count) / BLOCK))))
@@ -96,10 +138,7 @@ def first_graph(vectors: DataFrame, count: int) -> DataFrame:
         return work
 
     celled = map_batches(vectors, ["id", "dims", "code"], "id bigint, round int, cell bigint", cells)
-    # cells of any size are split into blocks by a hash, so that no task gets more than a block
-    sizes = celled.groupBy("round", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
-    blocks = celled.join(sizes, ["round", "cell"]).select("id", F.xxhash64("round", "cell", F.pmod(F.xxhash64("id", "round"), "parts")).alias("block"))
-    inside = blocks.join(vectors.select("id", "code"), "id")
+    inside = blocks(celled, vectors).join(vectors.select("id", "code"), "id")
 
     def best():
         def work(t: pa.Table, starts: np.ndarray):
@@ -127,43 +166,67 @@ def _top(edges: DataFrame, kept: int = KEPT) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).where(F.col("rank") <= kept)
 
 
-def descend(vectors: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
-    """One round of NN-descent: (id, other, s, rank)."""
+def descend(vectors: DataFrame, graph: DataFrame, turn: int, kept_most: int = KEPT, least: float = -1.5, sample: int = SAMPLE) -> DataFrame:
+    """One round of NN-descent over entries of at least `least`: (id, other, s, rank, fresh). Two members of a node are compared once, while one of them is fresh there;
+    of those at most `sample` a direction take part in a round, and the others stay fresh."""
+    kept = graph.withColumn("n", F.row_number().over(Window.partitionBy("id", "fresh").orderBy(F.xxhash64("other", F.lit(turn)), "other"))).where(~F.col("fresh") | (F.col("n") <= sample)).select("id", "other", "fresh")
+    kept = written(kept)
     last = graph.groupBy("id").agg(F.min("s").alias("worst"), F.count("*").alias("have"))
-    forward = graph.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("other", F.lit(turn))))).where(F.col("n") <= SAMPLE).select(F.col("id").alias("at"), F.col("other").alias("id"))
-    backward = graph.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("id", F.lit(turn))))).where(F.col("n") <= SAMPLE).select(F.col("other").alias("at"), "id")
-    members = forward.union(backward).distinct()
-    known = vectors.select("id", "dims", "code").join(last, "id", "left").select("id", "code", F.when(F.col("have") >= KEPT, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+    forward = kept.select(F.col("id").alias("at"), F.col("other").alias("id"), "fresh")
+    backward = kept.withColumn("n", F.row_number().over(Window.partitionBy("other", "fresh").orderBy(F.xxhash64("id", F.lit(turn)), "id"))).where(F.col("n") <= sample).select(F.col("other").alias("at"), "id", "fresh")
+    members = forward.union(backward).groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
+    members = members.withColumn("some", F.max("fresh").over(Window.partitionBy("at"))).where("some")
+    known = vectors.select("id", "code").join(last, "id", "left").select("id", "code", F.when(F.col("have") >= kept_most, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
 
     def meet():
         def work(t: pa.Table, starts: np.ndarray):
-            ids, worst, codes = t.column("id").to_numpy(), t.column("worst").to_numpy(), t.column("code")
+            ids, worst, codes, fresh = t.column("id").to_numpy(), t.column("worst").to_numpy(), t.column("code"), t.column("fresh").to_numpy(zero_copy_only=False)
             x = _matrix(codes)
             sizes = np.diff(np.append(starts, t.num_rows))
-            for lo in range(0, len(starts), 4096):
-                n, begin = sizes[lo : lo + 4096], starts[lo : lo + 4096]
-                at = begin[:, None] + np.arange(2 * SAMPLE)
-                there = np.arange(2 * SAMPLE) < n[:, None]
+            for lo in range(0, len(starts), 1024):
+                n, begin = sizes[lo : lo + 1024], starts[lo : lo + 1024]
+                at = begin[:, None] + np.arange(n.max())
+                there = np.arange(n.max()) < n[:, None]
                 at = np.where(there, at, begin[:, None])
-                y = x[at]
+                y, new = x[at], fresh[at]
                 s = y @ y.transpose(0, 2, 1)
-                s[~(there[:, :, None] & there[:, None, :]) | (at[:, :, None] == at[:, None, :])] = -2
-                g, i, j = np.nonzero(s > np.maximum(worst[at], -1.5)[:, :, None])
+                s[~(there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :])) | (at[:, :, None] == at[:, None, :])] = -2
+                g, i, j = np.nonzero(s > np.maximum(worst[at], least)[:, :, None])
                 if len(g):
                     yield {"id": ids[at[g, i]], "other": ids[at[g, j]], "s": s[g, i, j]}
 
         return work
 
-    found = map_groups(members.join(known, "id"), "at", ["id", "code", "worst"], "id bigint, other bigint, s float", meet)
-    return _top(graph.select("id", "other", "s").union(found))
+    found = map_groups(members.join(known, "id"), "at", ["id", "code", "worst", "fresh"], "id bigint, other bigint, s float", meet)
+    met = kept.where("fresh").select("id", "other", F.lit(True).alias("met"))
+    old = graph.join(met, ["id", "other"], "left").select("id", "other", "s", (F.col("fresh") & F.col("met").isNull()).alias("fresh"))
+    # a pair that is found again was known: it stays as fresh as it was
+    once = old.union(found.withColumn("fresh", F.lit(True))).groupBy("id", "other").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).where(F.col("rank") <= kept_most)
+
 
+def settled(vectors: DataFrame, edges: DataFrame, kept_most: int = KEPT, least: float = -1.5, sample: int = SAMPLE) -> DataFrame:
+    """Rounds of descent from (id, other, s) until at most SETTLED of the entries are fresh. Lists only ever improve, so they end."""
+    out, turn = written(_top(edges, kept_most).withColumn("fresh", F.lit(True))), 0
+    while True:
+        n = out.agg(F.count("*").alias("all"), F.count(F.when(F.col("fresh"), 1)).alias("fresh")).first()
+        if n.fresh <= SETTLED * n.all:
+            return out.drop("fresh")
+        out = written(descend(vectors, out, turn, kept_most, least, sample))
+        turn += 1
 
-def graph(vectors: DataFrame, descents: int = DESCENTS) -> DataFrame:
+
+def graph(vectors: DataFrame) -> DataFrame:
     """(id, other, s, rank) of every node; s is near the cosine."""
-    out = written(_top(first_graph(vectors, vectors.count())))
-    for turn in range(descents):
-        out = written(descend(vectors, out, turn))
-    return out
+    return settled(vectors, first_graph(vectors, vectors.count()))
+
+
+def near_graph(vectors: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """(id, other, s, rank): the greedy search of every node at once, among entries of at least `least` and with WIDE of them kept.
+    Every step compares what a node's entries list or are listed by; it costs as much as there are such entries."""
+    near = edges.where(F.col("s") >= least)
+    both = near.select("id", "other", "s").union(near.select(F.col("other"), F.col("id"), "s"))
+    return settled(vectors, both, WIDE, least, WIDE // 2)
 
 
 def exact(pairs: DataFrame, vectors: DataFrame, left: str = "id", right: str = "other") -> DataFrame:
@@ -193,7 +256,7 @@ def similar_pairs(df: DataFrame, key: str = "key", vec: str = "vec", cosine: flo
     """
     keyed = written(usable(df, key, vec))
     vectors = nodes(keyed)
-    near = exact(graph(vectors).where(F.col("s") >= cosine - SLACK).select("id", "other"), vectors).where(F.col("cosine") >= cosine)
+    near = exact(near_graph(vectors, graph(vectors), cosine - SLACK).select("id", "other"), vectors).where(F.col("cosine") >= cosine)
     members = keyed.select("id", F.col(key).alias("k")).distinct()
     # of a vector's keys only the smallest can be among the nearest of another key
     firsts = written(members.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("k"))).where(F.col("n") <= REPORT + 1).select("id", F.col("k").alias("other_key")))

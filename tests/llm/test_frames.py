@@ -98,6 +98,23 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1800, 16))
+    v[:1500] = 1 + 0.3 * rng.normal(size=(1500, 16))  # most in one cone, which planes through the origin hardly cut
+    df = spark.createDataFrame([(f"k{i:04d}", x.tolist()) for i, x in enumerate(v)], "key string, vec array<float>")
+    keyed = neighbours.usable(df)
+    at = {r.id: int(r.key[1:]) for r in keyed.collect()}
+    vectors = neighbours.nodes(keyed)
+    first = {(at[r.id], at[r.other]) for r in neighbours.first_graph(vectors, 1800).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = [(i, int(j)) for i in range(1500) for j in np.argsort(-s[i])[:10]]
+    assert np.mean([p in first for p in want]) > 0.45
+
+
 @ranks
 def test_encoding(spark):
     d = spark.createDataFrame([(1, "Hello the 甲乙"), (2, ""), (3, None), (4, " "), (4, " ")], "doc_id long, text string").withColumn("ids", F.lit("x"))
