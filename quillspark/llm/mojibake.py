@@ -28,6 +28,8 @@ CHAINS = [(w, "utf-8") for w in ("1252", "latin-1", "cp437", "mac_roman", "koi8_
 #: Kinds that misreading makes: controls, Latin supplement and signs, box drawing, private use, the replacement mark.
 STRANGE = re.compile(r"[\x80-\x9f¡-¿Â-Ã×Ø÷ø‚„…†‡ˆ‰‹•˜™›œžŸŒŽƒ∏∑√∞∫≈≠≤≥◊⌐⌠⌡─-▟Ѐ-ӿ-�]")
 LOST = "�"
+#: Four or more characters of utf-8 in a row, which Han text in another encoding has by chance about never.
+HIDDEN = re.compile(rb"(?:[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xbc\xbd][\x80-\xbf]){4,}")
 
 
 def _single_byte(name: str) -> dict[str, int]:
@@ -76,6 +78,31 @@ def language(text: str) -> str:
     return "de" if re.search(r"\b(?:der|die|das|und|nicht|mit|von)\b", text) else "en"
 
 
+def whole(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def hidden(text: str) -> list[tuple[int, int]]:
+    """Where Han characters are utf-8 read as gb18030 or cp950, however frequent they are."""
+    out = []
+    for w in () if text.isascii() else ("gb18030", "cp950"):
+        raw = text.encode(w, "replace")
+        for m in HIDDEN.finditer(raw):
+            a, b = m.span()
+            # a clean character's last byte can look like the first of another; whole characters only
+            while a < b and not whole(raw[:a], w):
+                a += 3
+            while a < b and not whole(raw[:b], w):
+                b -= 3
+            if a < b:
+                out.append((len(raw[:a].decode(w)), len(raw[:b].decode(w))))
+    return out
+
+
 class Describer:
     """Lengths of description, in bytes: the shortest over the languages."""
 
@@ -90,7 +117,7 @@ class Describer:
 def dictionaries(texts: list[str]) -> list[bytes]:
     by: dict[str, list[bytes]] = {}
     for t in texts:
-        if len(STRANGE.findall(t)) * 50 <= len(t):
+        if len(STRANGE.findall(t)) * 50 <= len(t) and not hidden(t):
             by.setdefault(language(t), []).append(t.encode("utf-8", "surrogatepass"))
     out = []
     for name in sorted(by):
@@ -139,6 +166,13 @@ class Finder:
         self.hopeless: set[str] = set()
         self.describe = Describer(dicts)
 
+    def marked(self, text: str, codes: np.ndarray) -> np.ndarray:
+        """The characters' kinds; those of hidden utf-8 are odd, though they may be common."""
+        odd = self.odd[codes]
+        for lo, hi in hidden(text):
+            odd[lo:hi] = 1
+        return odd
+
     def spans(self, odd: np.ndarray, codes: np.ndarray, gap: int = 40) -> list[tuple[int, int]]:
         """Runs of odd characters; up to `gap` others between them, at most two of them common ones, don't end a run."""
         at = np.flatnonzero(odd == 1)
@@ -167,7 +201,7 @@ class Finder:
         if whole[1] in self.hopeless:
             return None
         best, own, core, some = None, None, set(text[lo:hi]), False
-        before = int((self.odd[code_points([text[lo:hi]])[0]] == 1).sum())
+        before = int((self.marked(text[lo:hi], code_points([text[lo:hi]])[0]) == 1).sum())
         for w, t in CHAINS:
             if w in _TABLES and not core <= _TABLES[w].keys() | {LOST}:
                 continue
@@ -209,7 +243,7 @@ class Finder:
         if got is not None or gap <= 1:
             return [got] if got else []
         codes = code_points([text[lo:hi]])[0]
-        inner = self.spans(self.odd[codes], codes, gap // 4)
+        inner = self.spans(self.marked(text[lo:hi], codes), codes, gap // 4)
         if len(inner) == 1 and inner[0] == (0, hi - lo) and gap > 4:
             return self.parts(text, lo, hi, gap // 4)
         return [x for a, b in inner if (a, b) != (0, hi - lo) for x in self.parts(text, lo + a, lo + b, gap // 4)]
@@ -217,10 +251,10 @@ class Finder:
     def repair(self, text: str, codes: np.ndarray) -> tuple[str | None, list[str]] | None:
         """(restored text or null where something was lost, chains); null where nothing was misread."""
         chains: list[str] = []
-        lost = any(text[lo:hi].count(LOST) >= 3 for lo, hi in self.spans(self.odd[codes], codes))  # characters that no chain can give back
+        lost = any(text[lo:hi].count(LOST) >= 3 for lo, hi in self.spans(self.marked(text, codes), codes))  # characters that no chain can give back
         for _ in range(4):  # a text read wrongly again and again needs as many turns, and edges come out in the next one
             out, done, found = [], 0, 0
-            for lo, hi in self.spans(self.odd[codes], codes):
+            for lo, hi in self.spans(self.marked(text, codes), codes):
                 for _, a, b, result, gone, chain in self.parts(text, lo, hi):
                     if a < done:
                         continue
@@ -259,7 +293,7 @@ def repaired(df: DataFrame, key: str = "row", text: str = "raw_text", source: st
                 odd = finder.odd[codes]
                 some = np.concatenate([[0], np.cumsum(odd == 1)])
                 rows, restored, chains = [], [], []
-                for i in np.flatnonzero(np.diff(some[offsets])):
+                for i in [i for i, n in enumerate(np.diff(some[offsets])) if n or hidden(texts[i])]:
                     got = finder.repair(texts[i], codes[offsets[i] : offsets[i + 1]])
                     if got:
                         rows.append(i)

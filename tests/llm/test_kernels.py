@@ -110,6 +110,21 @@ def test_mojibake_finder():
     assert look("���ҭn�I�b�X" + clean[0])[0] is None
 
 
+def test_mojibake_that_is_common():
+    from quillspark.llm.common import code_points
+
+    clean = ["若見膝頭沉重，當去松壺皮，易以冬瓣葉。", "考《月瓣餘篇》所載，雲雲鼓散主治尾椎發麻。"] * 60
+    sentence = "若見膝頭沉重，當去松壺皮，易以冬瓣葉。"
+    whole = next(n for n in range(len(sentence), 0, -1) if "�" not in sentence[:n].encode().decode("gb18030", "replace"))
+    wrong = sentence[:whole].encode().decode("gb18030")
+    texts = clean + [wrong] * 60
+    common = "".join(sorted(set("".join(texts))))
+    f = mojibake.Finder(common, mojibake.dictionaries(texts))
+    for before in ("", clean[1]):
+        assert f.repair(before + wrong, code_points([before + wrong])[0])[0] == before + sentence[:whole]
+    assert f.repair(clean[0], code_points([clean[0]])[0]) is None
+
+
 def test_scans():
     grams = {"The": 50, "patient": 50, "complained": 50, "of": 90, "the": 90, "throbbing": 20, "temples": 20, "after": 30, "long": 30, "walks": 30, "tired": 3, "and": 60, "不可": 60, "用藥": 40, "不用": 30}
     m = scans.Model(grams, 1000)
