@@ -69,31 +69,56 @@ def counts(df: DataFrame, text: str = "raw_text") -> tuple[dict[str, int], int]:
     return {r.gram: r.n for r in grams.where(F.col("n") >= LEAST * total).collect()}, total
 
 
+_KEY = str.maketrans({"w": "vv", "m": "rn", "h": "ll", "ﬁ": "tl", "ﬂ": "tl", "1": "l", "i": "l", "I": "l", "!": "l", "0": "o", "O": "o", "9": "g", "5": "s", "S": "s", "8": "B", "c": "e", "f": "t"})
+
+
+def confusion_key(word: str) -> str:
+    """Equal for all words that can be read as one another."""
+    return word.translate(_KEY)
+
+
+def confusions(true: str, read: str) -> int | None:
+    """The least number of confusions by which one word is read as the other; null if it can't be."""
+    least = {(0, 0): 0}
+    for i in range(len(true) + 1):
+        for j in range(len(read) + 1):
+            n = least.get((i, j))
+            if n is None:
+                continue
+            if i < len(true) and j < len(read) and true[i] == read[j]:
+                least[i + 1, j + 1] = min(n, least.get((i + 1, j + 1), n))
+            for t, m in SPELL:
+                if true.startswith(t, i) and read.startswith(m, j):
+                    to = (i + len(t), j + len(m))
+                    least[to] = min(n + 1, least.get(to, n + 1))
+    return least.get((len(true), len(read)))
+
+
 @dataclass
 class Model:
     grams: dict[str, int]
     total: int
     _words: dict[str, tuple[str, float]] = field(default_factory=dict)
+    _keys: dict[str, list[str]] = field(default_factory=dict)
 
     def pair(self, a: str, b: str) -> float:
         """How likely b follows a, in logs; unseen pairs fall back on a small constant."""
         return math.log(self.grams.get(a + b, 0) + 0.05) if a and not a.isspace() else 0.0
 
     def word(self, read: str) -> str:
-        """The most probable source of a Latin word: itself, or a known word that reads so by up to three confusions."""
+        """The most probable source of a Latin word: itself, or a known word that reads so by any confusions."""
         known = self._words.get(read)
         if known is None:
             own = math.log(self.grams.get(read, 0) + 0.02)
             best, found = own, read
-            reach = {read: 0.0}
-            for _ in range(3):
-                reach = {w[:i] + t + w[i + len(m) :]: p + math.log(MISREAD) for w, p in reach.items() for t, m in SPELL for i in range(len(w)) if w.startswith(m, i)}
-                for w, p in reach.items():
-                    n = self.grams.get(w, 0)
-                    if n and math.log(n) + p > best:
-                        best, found = math.log(n) + p, w
-                if len(reach) > 400:
-                    break
+            if not self._keys and self.grams:
+                for w in self.grams:
+                    if PLAIN.fullmatch(w):
+                        self._keys.setdefault(confusion_key(w), []).append(w)
+            for w in self._keys.get(confusion_key(read), ()):
+                slips = confusions(w, read)
+                if slips is not None and slips and math.log(self.grams[w]) + slips * math.log(MISREAD) > best:
+                    best, found = math.log(self.grams[w]) + slips * math.log(MISREAD), w
             if len(self._words) > 100_000:
                 self._words.clear()
             known = self._words[read] = (found, best - own)
@@ -109,8 +134,6 @@ class Model:
                 w, tail = m[0], ""
                 if w.endswith("!") and w[:-1] in self.grams:
                     w, tail = w[:-1], "!"
-                if w in self.grams and self.grams[w] > 2:
-                    return w + tail
                 s = self.word(w)
                 changed += s != w
                 return s + tail

@@ -136,6 +136,11 @@ def test_scans():
     assert m.line("下可甩藥")[0] == "不可用藥"
 
 
+def test_scans_correct_recurring_misreadings():
+    m = scans.Model({"the": 3170, "tlie": 28, "dawn": 900, "davvn": 9, "with": 1448, "witli": 14, "burn": 40, "bum": 30}, 10000)
+    assert m.line("witli davvn tlie burn") == ("with dawn the burn", 3)
+
+
 def test_truncation():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(rng.randint(3, 9)))
