@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.sources.shared import written
 
 LEAST_KEY, COVER = 8, 0.8
 
@@ -27,19 +27,6 @@ def with_twins(excluded: DataFrame, kept: DataFrame, digest: str, key: str) -> D
     return excluded.join(twins, digest, "left")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder if the session names one, else cached by Spark's reliable checkpoint of the session."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/dedupe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, paragraph): lines that aren't blank, numbered as they stand."""
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n?|\u2028|\u2029", "\n"), "\n"), lambda x: X.trimmed(F.regexp_replace(x, "[ \\t\u3000\u00a0]+", " ")))
@@ -61,11 +48,11 @@ def kept_paragraphs(paras: DataFrame, order: list[str], text: str = "paragraph",
     written to the checkpoint folder.
     """
     place = F.struct(*order)
-    base = _saved(paras.withColumn("place", place).withColumn("k", X.dedupe_key(F.col(text))).withColumn("size", F.length("k")))
-    long = base.where(F.col("size") >= LEAST_KEY).select("place", "size", F.xxhash64("k").alias("kd"))
+    base = written(paras.withColumn("place", place).withColumn("k", X.dedupe_key(F.col(text))).withColumn("size", F.length("k")))
+    long = base.where(F.col("size") >= LEAST_KEY).select("place", "size", F.unhex(F.md5("k")).alias("kd"))
     parts = base.where(F.col("size") >= LEAST_KEY).select("place", F.explode(F.transform(F.split(F.col(text), "[。！？；!?;\\n]+"), lambda s: X.dedupe_key(s))).alias("s")).where(F.length("s") >= LEAST_KEY)
-    parts = _saved(parts.select("place", F.xxhash64("s").alias("sd"), F.length("s").alias("n")))
-    state = _saved(long.withColumn("kept", F.lit(None).cast("boolean")))
+    parts = written(parts.select("place", F.unhex(F.md5("s")).alias("sd"), F.length("s").alias("n")))
+    state = written(long.withColumn("kept", F.lit(None).cast("boolean")))
     while True:
         alive = state.where("kept is null or kept").select("place", "kept")
         seen = parts.join(alive, "place").groupBy("sd").agg(F.min(F.when(F.col("kept"), F.col("place"))).alias("sure"), F.min("place").alias("maybe"))
@@ -78,7 +65,7 @@ def kept_paragraphs(paras: DataFrame, order: list[str], text: str = "paragraph",
         drop = (F.col("twin") < F.col("place")) | ((F.col("low") > 0) & (F.col("low") >= F.col("size") * F.lit(cover)))
         keep = ~F.coalesce(F.col("open") < F.col("place"), F.lit(False)) & ~((F.col("high") > 0) & (F.col("high") >= F.col("size") * F.lit(cover)))
         now = judged.select("place", "size", "kd", F.when(F.coalesce(drop, F.lit(False)), False).when(keep, True).alias("kept"))
-        state = _saved(state.where("kept is not null").unionByName(now))
+        state = written(state.where("kept is not null").unionByName(now))
     short = base.where(F.col("size") < LEAST_KEY)
     return short.unionByName(base.join(state.where("kept").select("place"), "place", "left_semi")).drop("place", "k", "size")
 
