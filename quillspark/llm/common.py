@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillspark.sources.shared import written as written
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -74,22 +74,6 @@ def owners(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, one machine) below a temporary one that is set there."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there: lineage ends, and a lost executor costs nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_groups(df: DataFrame, group: str, columns: list[str], schema: str, make: Callable[[], Callable[[pa.Table, np.ndarray], Iterable[dict]]], least: int = 4096) -> DataFrame:
     """Runs on runs of whole groups: work(table, starts) gets rows sorted by `group` and where each group starts.
 
@@ -127,6 +111,36 @@ def map_groups(df: DataFrame, group: str, columns: list[str], schema: str, make:
     return df.select(group, *columns).repartition(group).sortWithinPartitions(group).mapInArrow(run, kind)
 
 
+def map_led(df: DataFrame, group: str, kind: str, columns: list[str], schema: str, make: Callable[[], Callable[[pa.Table, pa.Table], Iterable[dict]]]) -> DataFrame:
+    """Runs on groups whose first rows, those of `kind` 0, lead: work(leaders, rows) gets all leaders of the group and some of its rows.
+
+    A group's leaders are of bounded number; its rows stream by, so a group of any size needs memory for its leaders and a batch.
+    """
+    to = T._parse_datatype_string(schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(to)
+
+    def run(batches: Batches) -> Batches:
+        work, current, leaders = make(), None, []
+        for batch in batches:
+            keys, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1, len(keys)) if len(keys) else []
+            begin = 0
+            for end in map(int, ends):
+                if keys[begin] != current:
+                    current, leaders = keys[begin], []
+                part = pa.Table.from_batches([batch.slice(begin, end - begin)])
+                if kinds[begin] == 0:
+                    leaders.append(part)
+                else:
+                    for out in work(pa.concat_tables(leaders).combine_chunks() if leaders else part.slice(0, 1), part):
+                        yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for f, a in ((f, out[f.name]) for f in arrow)], schema=arrow)
+                begin = end
+
+    return df.select(group, kind, *columns).repartition(group).sortWithinPartitions(group, kind).mapInArrow(run, to)
+
+
 def bounded_sample(df: DataFrame, column: str, rows: int, where: str | None = None) -> list[str]:
     """At most `rows` values of a column, the smallest by hash, so the same at every partitioning.
 

@@ -28,6 +28,10 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "cache"))
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_of_all(table(spark, d, "cache"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(spark, d, "chunks"))
 
@@ -94,7 +98,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_forms, p6_found, p6_pieces, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_nearest, p2_neighbours, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_forms, p6_found, p6_pieces, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

@@ -98,21 +98,51 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.similar_pairs(df.limit(0)).count() == 0
 
 
-def test_neighbours_in_a_hot_cell(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 32)
+def brute_top(v, n=10):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return np.argsort(-s, axis=1)[:, :n]
+
+
+def test_neighbours_with_a_third_in_one_cone(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 256)
+    monkeypatch.setattr(neighbours, "PIVOTS", 8)  # so that cells are parted again
     rng = np.random.default_rng(8)
-    v = rng.normal(size=(1800, 16))
-    v[:1500] = 1 + 0.3 * rng.normal(size=(1500, 16))  # most in one cone, which planes through the origin hardly cut
+    v = rng.normal(size=(3600, 16))
+    v[:1200] = 1 + 0.3 * rng.normal(size=(1200, 16))
+    v = v.astype(np.float32)
     df = spark.createDataFrame([(f"k{i:04d}", x.tolist()) for i, x in enumerate(v)], "key string, vec array<float>")
+    got = {(int(r.key[1:]), int(r.other_key[1:])) for r in neighbours.nearest_of_all(df).collect()}
+    want = [(i, int(j)) for i, row in enumerate(brute_top(v)) for j in row]
+    assert np.mean([p in got for p in want]) >= 0.9
     keyed = neighbours.usable(df)
-    at = {r.id: int(r.key[1:]) for r in keyed.collect()}
     vectors = neighbours.nodes(keyed)
-    first = {(at[r.id], at[r.other]) for r in neighbours.first_graph(vectors, 1800).collect()}
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    want = [(i, int(j)) for i in range(1500) for j in np.argsort(-s[i])[:10]]
-    assert np.mean([p in first for p in want]) > 0.45
+    counts = neighbours.blocks(vectors).groupBy("block").count().agg(F.max("count"), F.sum("count")).first()
+    assert counts[0] <= 256 and counts[1] == 3600 * neighbours.ROUNDS
+
+
+def test_queries_from_outside_the_graph(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(2500, 16)).astype(np.float32)
+    df = spark.createDataFrame([(f"k{i:04d}", x.tolist()) for i, x in enumerate(v[:2450])], "key string, vec array<float>")
+    keyed = neighbours.usable(df)
+    vectors = neighbours.nodes(keyed)
+    at = {r.id: int(r.key[1:]) for r in keyed.join(vectors, "digest").select("id", "key").collect()}
+    units = v[2450:] / np.linalg.norm(v[2450:], axis=1, keepdims=True)
+    queries = spark.createDataFrame([(i, bytearray(u.astype(np.float32).tobytes())) for i, u in enumerate(units)] + [(99, bytearray(8))], "query long, unit binary")
+    got = {(r.query, at[r.other]) for r in neighbours.search(queries, vectors, neighbours.graph(vectors)).collect()}
+    base = v[:2450] / np.linalg.norm(v[:2450], axis=1, keepdims=True)
+    want = [(i, int(j)) for i, u in enumerate(units) for j in np.argsort(-(base @ u))[:10]]
+    assert np.mean([p in got for p in want]) >= 0.9 and not any(q == 99 for q, _ in got)
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"a{i}", rng.normal(size=4).tolist()) for i in range(20)] + [(f"b{i}", rng.normal(size=7).tolist()) for i in range(20)] + [("n", [1.0, None])]
+    df = spark.createDataFrame(rows, "key string, vec array<float>")
+    out = neighbours.nearest_of_all(df).collect()
+    assert len(out) == 400 and all(r.key[0] == r.other_key[0] for r in out)
 
 
 @ranks
