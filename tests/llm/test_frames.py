@@ -69,6 +69,19 @@ def test_mojibake_and_scans_take_anything(chunks, nothing):
         assert op(chunks).count() == 0 and op(nothing).count() == 0
 
 
+def test_scans_learn_the_channel(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abdhiknoprstuw") for _ in range(6)) + "e" for _ in range(60)]
+    clean = [(i, " ".join(rng.choice(words) for _ in range(40)) + ".", None) for i in range(400)]
+    read = [(1000 + i, " ".join(w[:-1] + "c" if j == 3 else w for j, w in enumerate(rng.choice(words) for _ in range(9))) + ".", 1) for i in range(40)]
+    df = spark.createDataFrame(clean + read, "row long, raw_text string, page_start int")
+    grams, chars, n = scans.counts(df)
+    channel = scans.confused(df.where("page_start = 1"), scans.Model(grams, chars, n))
+    assert channel["e", "c"] != scans.MISREAD and set(channel) == set(scans.PRIOR)
+
+
 def test_truncation(spark):
     rows = [(i, f"{chr(0x4E00 + i * 7)}某某說過這一句話，然後又說了另一句。完了就走。", "s") for i in range(60)] + [(100, None, "s"), (101, "", None), (102, "  ", "s")]
     d = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, c int, n int")

@@ -125,20 +125,44 @@ def test_mojibake_that_is_common():
     assert f.repair(clean[0], code_points([clean[0]])[0]) is None
 
 
+GRAMS = {"The": 50, "patient": 50, "complained": 50, "of": 90, "the": 900, "throbbing": 20, "temples": 20, "after": 30, "long": 30, "walks": 30, "tired": 3, "and": 60, "complained of": 40, "of the": 60, "the long": 9, "long walks": 9, "walks and": 9, "not": 40, "of throbbing": 9, "temples after": 9, "and the": 30, "the patient": 30, "patient complained": 30, "不可": 60, "可用": 30, "用藥": 40, "不用": 30, "下": 60, "可": 60, "用": 60, "藥": 60, "不": 90}
+
+
 def test_scans():
-    grams = {"The": 50, "patient": 50, "complained": 50, "of": 90, "the": 90, "throbbing": 20, "temples": 20, "after": 30, "long": 30, "walks": 30, "tired": 3, "and": 60, "不可": 60, "用藥": 40, "不用": 30}
-    m = scans.Model(grams, 1000)
+    m = scans.Model(GRAMS, 2000, 1500)
     page = scans.repair("The patient complained of throb-\nbing ternples after long walks\n- 12 -\nand tlie patient complained of\nthe long walks.", 12, 12, m)
     assert page.paragraphs == ["The patient complained of throbbing temples after long walks and the patient complained of the long walks."]
     assert page.furniture == 1 and page.corrected == 2
     assert scans.repair("方藥：\n雲燈花 五合\n雀尾藤 十二合\n雨壺石 半錢", 1, 1, m) is None
     assert scans.repair("銀絲下水秋梭草，\n竹屏下水紫傘草，\n雀絲不寒竹絲膠。", 1, 1, m) is None
     assert m.line("下可甩藥")[0] == "不可用藥"
+    # nothing is known: no likelihood says that the text runs on
+    assert scans.repair("The patient complained of long\nwalks and the patient complained\nof the long walks.", 12, 12, scans.Model({})) is None
+    for odd in ("", " ", "\n\n", "a", "\u3000\n1\n"):
+        assert scans.repair(odd, None, None, m) is None or odd.strip()
+
+
+def test_scans_take_long_texts():
+    m = scans.Model(GRAMS, 2000, 1500)
+    text = "下可甩藥" * 50_000 + "\n" + "\n".join(["the patient complained of the long"] * 20_000)
+    assert scans.repair(text, 1, 900, m) is not None
+
+
+def test_scans_weigh_each_line_alone():
+    # one overlong line leaves the others what they are
+    m = scans.Model(GRAMS, 2000, 1500)
+    page = "The patient complained of the long\nwalks and the patient complained\nof the long walks and the patient\ncomplained of the long walks.\n" + "The long walks. " * 12
+    assert scans.repair(page, 12, 12, m).parted == 3
 
 
 def test_scans_correct_recurring_misreadings():
     m = scans.Model({"the": 3170, "tlie": 28, "dawn": 900, "davvn": 9, "with": 1448, "witli": 14, "burn": 40, "bum": 30}, 10000)
-    assert m.line("witli davvn tlie burn") == ("with dawn the burn", 3)
+    assert m.line("witli davvn tlie burn")[:2] == ("with dawn the burn", 3)
+
+
+def test_scans_words_by_their_neighbours():
+    m = scans.Model({"burn": 40, "bum": 400, "will": 90, "will burn": 30}, 1000, 1000, {("bum", "x"): 0.01, ("rn", "m"): 0.02})
+    assert m.line("it will bum")[0] == "it will burn" and m.line("a bum")[0] == "a bum"
 
 
 def test_truncation():
