@@ -1,9 +1,11 @@
 """Problem 4: text read in a wrong encoding, found and, where nothing was lost, restored.
 
 Minimum description length: every candidate decoding of a suspicious span is compressed with zstandard dictionaries, one a
-language; the chain whose result and own cost are shortest wins, and a span that no chain shortens stays as it is.
+language; the chain whose result and own cost are shortest wins, and a span that no chain shortens stays as it is. What was lost in
+reading is one more hypothesis: its marks are bytes that nothing can describe, at a byte each.
 
 Spans are suspicious by the characters in them: rare in the corpus (counts over all rows) or of kinds that such misreading makes.
+The dictionaries hold the phrases that save most in their language, counted over all rows.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, code_points, map_batches
+from quillspark.llm.common import code_points, map_batches
 
-#: Bound of the sample that the dictionaries are made of, their size, and a row part below which a character is rare.
-SAMPLE, DICTIONARY, RARE = 4000, 32 * 1024, 0.004
+#: Phrases of a language that its dictionary is made of, passages of them that it is trained on, the dictionary's size, and a row part below which a character is rare.
+PHRASES, DRAWN, DICTIONARY, RARE = 4000, 4000, 32 * 1024, 0.004
 #: Bytes of description a chain costs a step and a piece of text may at most keep unexplained; the least gain.
-CHAIN_COST, LEAST_GAIN = 2.0, 2.0
+CHAIN_COST, LEAST_GAIN = 2.0, 3.0
 #: Fixed values: (read as, written in). "1252" is cp1252 with the bytes it leaves out taken as they are.
 CHAINS = [(w, "utf-8") for w in ("1252", "latin-1", "cp437", "mac_roman", "koi8_r", "gb18030", "cp950", "cp1251", "cp866")] + [(w, t) for t in ("gb18030", "cp950", "cp932") for w in ("1252", "latin-1", "mac_roman", "cp437", "koi8_r", "cp1251", "gb18030", "cp950") if w != t]
 #: Kinds that misreading makes: controls, Latin supplement and signs, box drawing, private use, the replacement mark.
@@ -114,18 +116,50 @@ class Describer:
         return min(len(c.compress(raw)) for c in self.of)
 
 
-def dictionaries(texts: list[str]) -> list[bytes]:
-    by: dict[str, list[bytes]] = {}
-    for t in texts:
-        if len(STRANGE.findall(t)) * 50 <= len(t) and not hidden(t):
-            by.setdefault(language(t), []).append(t.encode("utf-8", "surrogatepass"))
+_PHRASE = {True: re.compile(r"[^\s\x00-\x7f　-〿！-／：-？［-｀｛-､‘-”…]{3,16}"), False: re.compile(r"[^\n.,;:!?()\"]{4,40}")}
+
+
+def phrases(text: str) -> tuple[str, list[str]] | None:
+    """The language of a text and what stands between its pauses; null for a text with many strange characters."""
+    if len(STRANGE.findall(text)) * 50 > len(text) or hidden(text):
+        return None
+    name = language(text)
+    return name, [p for p in _PHRASE[name in ("ja", "hans", "hant")].findall(text) if not STRANGE.search(p)]
+
+
+def frequent_phrases(df: DataFrame, text: str) -> list[tuple[str, str, int]]:
+    """(language, phrase, n): of each language the PHRASES that repeat most characters over all rows, best first."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            n: Counter[tuple[str, str]] = Counter()
+            for t in batch.column(0).to_pylist():
+                got = phrases(t)
+                if got:
+                    n.update((got[0], p) for p in got[1])
+            yield {"lang": [k[0] for k in n], "phrase": [k[1].encode("utf-8", "replace").decode() for k in n], "n": list(n.values())}
+
+        return work
+
+    counted = map_batches(df.where(F.length(text) > 0), [text], "lang string, phrase string, n bigint", make).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where("n > 1")
+    w = Window.partitionBy("lang").orderBy(F.desc(F.col("n") * (F.octet_length("phrase") - 2)), "phrase")
+    return [(r.lang, r.phrase, r.n) for r in counted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PHRASES).orderBy("lang", "k").collect()]
+
+
+def dictionaries(best: list[tuple[str, str, int]]) -> list[bytes]:
+    """One dictionary a language, trained on passages of its phrases, drawn as often as the corpus has them."""
     out = []
-    for name in sorted(by):
+    for name in sorted({b[0] for b in best}):
+        some = [p.encode() for lang, p, _ in best if lang == name]
+        often = np.array([n for lang, _, n in best if lang == name], float)
+        drawn = np.random.default_rng(31).choice(len(some), (DRAWN, 12), p=often / often.sum())
+        pause = "，" if name in ("ja", "hans", "hant") else ", "
         try:
-            made = zstandard.train_dictionary(DICTIONARY, by[name], level=6).as_bytes()
-        except zstandard.ZstdError:  # too little to train on: the texts themselves are the dictionary
-            made = b"".join(by[name])[-DICTIONARY:]
-        out.append(made)
+            made = zstandard.train_dictionary(DICTIONARY, [pause.encode().join(some[i] for i in row) for row in drawn], level=6).as_bytes()
+        except zstandard.ZstdError:  # too little to train on: the phrases themselves are the dictionary, the best last
+            made = b"".join(reversed(some))[-DICTIONARY:]
+        if len(made) >= 8:
+            out.append(made)
     return out
 
 
@@ -145,7 +179,7 @@ def rare_characters(df: DataFrame, text: str) -> tuple[str, int]:
     rows = df.where(F.length(text) > 0)
     counts = map_batches(rows, [text], "c int, n bigint", make).groupBy("c").agg(F.sum("n").alias("n"))
     total = rows.count()
-    common = counts.where(F.col("n") >= max(3.0, RARE * total)).select("c").collect()
+    common = counts.where(F.col("n") >= RARE * total).select("c").collect()
     return "".join(sorted(chr(r.c) for r in common)), total
 
 
@@ -157,6 +191,8 @@ class Finder:
         for c in range(128, 0x10000):
             if not 0xD800 <= c < 0xE000 and STRANGE.match(chr(c)):
                 self.odd[c] = 1
+        if "…" in common:  # a pause of clean text, where it is common
+            self.odd[ord("…")] = -1
         self.odd[0x7F] = 0
         # kana and letters with accents, Greek ones: common in clean text, but no end of a span
         for lo, hi in ((0x3041, 0x3100), (0xC0, 0x250), (0x370, 0x400)):
@@ -201,7 +237,6 @@ class Finder:
         if whole[1] in self.hopeless:
             return None
         best, own, core, some = None, None, set(text[lo:hi]), False
-        before = int((self.marked(text[lo:hi], code_points([text[lo:hi]])[0]) == 1).sum())
         for w, t in CHAINS:
             if w in _TABLES and not core <= _TABLES[w].keys() | {LOST}:
                 continue
@@ -209,10 +244,6 @@ class Finder:
             got = unread(text[lo:hi], w, t)
             if got is None or got[0] == text[lo:hi]:
                 continue
-            # the dictionaries are asked only where a decoding leaves fewer odd characters
-            left = int((self.odd[code_points([got[0]])[0]] == 1).sum()) - got[0].count(LOST)
-            if left * 4 > before * 3:
-                continue
             some = True
             tries.append((lo, hi, *got))
             # a character at an edge may belong to the span; looked for where little is wrong
@@ -223,7 +254,7 @@ class Finder:
                         tries.append((a, b, *got))
                         break
             clean = [x for x in tries if not x[3]]
-            for a, b, result, lost in clean or sorted(tries, key=lambda x: x[2].count(LOST))[:2]:
+            for a, b, result, lost in clean or tries:
                 made = text[a0:a] + result + text[b:b0]
                 own = self.describe(text[a0:b0]) if own is None else own
                 gain = own - self.describe(made) - CHAIN_COST - 3 * result.count(LOST)
@@ -237,6 +268,12 @@ class Finder:
         self.known[whole] = best and (best[0], best[1] - a0, best[2] - a0, *best[3:])
         return best
 
+    def losses(self, text: str, lo: int, hi: int) -> float:
+        """What is gained by describing a span as bytes of which some were lost, each mark and each odd character by a byte of its own."""
+        a, b = max(0, lo - 3), min(len(text), hi + 3)
+        raw = "".join(chr(1 + ord(c) % 8) if self.odd[ord(c)] == 1 else c for c in text[lo:hi])
+        return self.describe(text[a:b]) - self.describe(text[a:lo] + raw + text[hi:b]) - CHAIN_COST
+
     def parts(self, text: str, lo: int, hi: int, gap: int = 40) -> list[tuple[float, int, int, str, bool, str]]:
         """What shortens a span: one chain for all of it, or else chains for what is left of it with smaller gaps."""
         got = self.best(text, lo, hi)
@@ -251,8 +288,9 @@ class Finder:
     def repair(self, text: str, codes: np.ndarray) -> tuple[str | None, list[str]] | None:
         """(restored text or null where something was lost, chains); null where nothing was misread."""
         chains: list[str] = []
-        lost = any(text[lo:hi].count(LOST) >= 3 for lo, hi in self.spans(self.marked(text, codes), codes))  # characters that no chain can give back
-        for _ in range(4):  # a text read wrongly again and again needs as many turns, and edges come out in the next one
+        lost = any(LOST in text[lo:hi] and self.losses(text, lo, hi) >= LEAST_GAIN for lo, hi in self.spans(self.marked(text, codes), codes))
+        seen = {text}
+        while True:  # a text read wrongly again and again needs as many turns, and edges come out in the next one
             out, done, found = [], 0, 0
             for lo, hi in self.spans(self.marked(text, codes), codes):
                 for _, a, b, result, gone, chain in self.parts(text, lo, hi):
@@ -267,6 +305,9 @@ class Finder:
                 break
             text = "".join(out) + text[done:]
             codes = code_points([text])[0]
+            if text in seen:
+                break
+            seen.add(text)
         if not chains and not lost:
             return None
         return (None if lost else text), chains or ["lost"]
@@ -279,7 +320,7 @@ def repaired(df: DataFrame, key: str = "row", text: str = "raw_text", source: st
     taken whole; repeated rows come out again; ties between chains go to the first in the list.
     """
     common, _ = rare_characters(df, text)
-    dicts = dictionaries(bounded_sample(df, text, SAMPLE, "length(value) >= 20"))
+    dicts = dictionaries(frequent_phrases(df, text))
     shared = df.sparkSession.sparkContext.broadcast((common, dicts))
 
     def make():

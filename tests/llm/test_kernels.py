@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,10 +96,15 @@ def test_unread():
             assert mojibake.unread(wrong, w, t) == (text, False)
 
 
+def phrase_dictionaries(texts):
+    n = Counter((got[0], p) for got in map(mojibake.phrases, texts) if got for p in got[1])
+    return mojibake.dictionaries(sorted(((lang, p, k) for (lang, p), k in n.items()), key=lambda b: (b[0], -b[2] * len(b[1]), b[1])))
+
+
 def test_mojibake_finder():
     clean = ["若見膝頭沉重，當去松壺皮，易以冬瓣葉。", "考《月瓣餘篇》所載，雲雲鼓散主治尾椎發麻。", "The dose of silverreed powder was halved within ten doses."] * 60
     common = "".join(sorted(set("".join(clean))))
-    f = mojibake.Finder(common, mojibake.dictionaries(clean))
+    f = mojibake.Finder(common, phrase_dictionaries(clean))
     from quillspark.llm.common import code_points
 
     look = lambda t: f.repair(t, code_points([t])[0])
@@ -119,7 +125,7 @@ def test_mojibake_that_is_common():
     wrong = sentence[:whole].encode().decode("gb18030")
     texts = clean + [wrong] * 60
     common = "".join(sorted(set("".join(texts))))
-    f = mojibake.Finder(common, mojibake.dictionaries(texts))
+    f = mojibake.Finder(common, phrase_dictionaries(texts))
     for before in ("", clean[1]):
         assert f.repair(before + wrong, code_points([before + wrong])[0])[0] == before + sentence[:whole]
     assert f.repair(clean[0], code_points([clean[0]])[0]) is None
@@ -161,7 +167,7 @@ def test_scans_correct_recurring_misreadings():
 
 
 def test_scans_words_by_their_neighbours():
-    m = scans.Model({"burn": 40, "bum": 400, "will": 90, "will burn": 30}, 1000, 1000, {("bum", "x"): 0.01, ("rn", "m"): 0.02})
+    m = scans.Model({"burn": 940, "bum": 400, "will": 950, "will burn": 900}, 100_000, 100_000, {("rn", "m"): 0.02})
     assert m.line("it will bum")[0] == "it will burn" and m.line("a bum")[0] == "a bum"
 
 
