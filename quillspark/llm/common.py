@@ -141,16 +141,37 @@ def map_led(df: DataFrame, group: str, kind: str, columns: list[str], schema: st
     return df.select(group, kind, *columns).repartition(group).sortWithinPartitions(group, kind).mapInArrow(run, to)
 
 
-def bounded_sample(df: DataFrame, column: str, rows: int, where: str | None = None) -> list[str]:
-    """At most `rows` values of a column, the smallest by hash, so the same at every partitioning.
+#: Rows of one id that a join takes at once, and ids up to which their table is broadcast.
+PART, FEW = 2000, 20_000
 
-    Where the table is much larger, a hash condition leaves about twice as many before anything is sorted or sent, so what
-    reaches the driver doesn't grow with the table.
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y) for each pair (a, b) of ids: every member (id, k) of the one with every member of the other.
+
+    An id of many members is parted: its members by a hash into parts of about PART, the pairs it is in into as many rows, so no task
+    holds more than PART members of either side.
     """
     from pyspark.sql import functions as F
 
-    some = df.select(F.col(column).alias("value")).where(where or "value is not null")
-    n = df.count()
-    if n > 4 * rows:
-        some = some.where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < int((1 << 30) * 2 * rows / n))
-    return [r.value for r in some.orderBy(F.xxhash64("value"), "value").limit(rows).collect()]
+    hot = members.groupBy("id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    known = written(hot)
+    hot = F.broadcast(known) if known.count() <= FEW else known
+    parts = F.coalesce("parts", F.lit(1))
+    salted = members.join(hot, "id", "left").select("id", "k", F.pmod(F.xxhash64("k"), parts).cast("int").alias("salt"))
+    out = pairs.select("a", "b")
+    for side, name in (("a", "x"), ("b", "y")):
+        out = out.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        out = out.join(salted.withColumnRenamed("id", side).withColumnRenamed("k", name), [side, "salt"]).drop("salt")
+    return out.select("a", "b", "x", "y")
+
+
+def bounded_sample(df: DataFrame, by: str, rows: int, where: str, *more: str) -> list:
+    """At most `rows` rows (by, more) with different values of `by`, those whose values are smallest by a hash, so the same at every
+    partitioning; copies of a value count once. A condition on the same hash leaves about four times as many before
+    anything is sorted or sent, so what reaches the driver doesn't grow with the table."""
+    from pyspark.sql import functions as F
+
+    some = df.where(where).select(by, *more, F.pmod(F.xxhash64(by), F.lit(1 << 30)).alias("h_"))
+    n = df.where(where).count()
+    few = some.where(F.col("h_") < int((1 << 30) * min(1.0, 4 * rows / max(1, n)))).dropDuplicates(["h_", by])
+    return few.orderBy("h_", by).limit(rows).drop("h_").collect()

@@ -19,20 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import code_points, map_batches, mix64, written
-from quillspark.llm.forms import Prototypes, skeleton
+from quillspark.llm.common import code_points, expanded, map_batches, mix64, written
+from quillspark.llm.forms import Prototypes, composed
 
 GRAM, SIMILARITY = 3, 0.70
 #: Segments and positions a segment. At 0.70 a pair is found with probability 0.99, at 0.75 with 0.999.
 SEGMENTS, POSITIONS = 12, 7
 #: Candidates whose signatures agree in fewer positions than this are no pair at 0.70 (four standard deviations below).
 AGREE = 42
+#: Texts of one variant that are paired in one task.
+HOT = 256
 _SEEDS = mix64(np.arange(1, 2 * SEGMENTS * POSITIONS + 1)).reshape(2, -1) | np.uint64(1)
 
 
 def normal(text: str, table: Prototypes) -> str:
     """The one form of problem 5 without white space."""
-    return "".join(skeleton(text, table).split())
+    return "".join(composed(text, table).split())
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,8 @@ def jaccard(one: list[str], two: list[str]) -> np.ndarray:
 
 
 def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, id, plain): every row with a text, its normal form and that form's 64-bit id. Null texts and blank ones are in no group."""
+    """(key, digest, plain): every row with a text, its normal form and 16 bytes of that form's digest. Null texts and blank ones are in no
+    group."""
 
     def make():
         table = Prototypes()
@@ -101,12 +104,12 @@ def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
         def work(batch: pa.RecordBatch):
             plain = [normal(t, table) for t in batch.column(1).to_pylist()]
             kept = [i for i, p in enumerate(plain) if p]
-            ids = [int.from_bytes(hashlib.blake2b(plain[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for i in kept]
-            yield {key: batch.column(0).take(pa.array(kept, pa.int64())), "id": ids, "plain": [plain[i] for i in kept]}
+            digests = [hashlib.blake2b(plain[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in kept]
+            yield {key: batch.column(0).take(pa.array(kept, pa.int64())), "digest": digests, "plain": [plain[i] for i in kept]}
 
         return work
 
-    return map_batches(df.where(F.length(text) > 0), [key, text], f"{key} {df.schema[key].dataType.simpleString()}, id bigint, plain string", make)
+    return map_batches(df.where(F.length(text) > 0), [key, text], f"{key} {df.schema[key].dataType.simpleString()}, digest binary, plain string", make)
 
 
 def links(texts: DataFrame) -> DataFrame:
@@ -136,9 +139,16 @@ def links(texts: DataFrame) -> DataFrame:
     # a variant that one text alone has joins nothing: dropped in the same sort that the join needs
     from pyspark.sql import Window
 
-    w = Window.partitionBy("variant").orderBy("id")
-    met = keyed.withColumns({"last": F.lag("id").over(w), "next": F.lead("id").over(w)}).where("last is not null or next is not null").select("variant", "id")
-    pairs = met.withColumnRenamed("id", "a").join(met.withColumnRenamed("id", "b"), "variant").where("a < b").select("a", "b").distinct()
+    w = Window.partitionBy("variant")
+    met = keyed.withColumn("n", F.count("*").over(w)).where("n > 1")
+    # a variant of many texts is cut into cells of two blocks of them each; every two blocks meet in one cell
+    blocks = F.ceil(F.col("n") / HOT).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cold = met.where(F.col("n") <= HOT).select("variant", F.lit(0).alias("cell"), "id")
+    hot = met.where(F.col("n") > HOT).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    hot = hot.select("variant", (F.least("own", "other") * blocks + F.greatest("own", "other")).cast("int").alias("cell"), "id")
+    cells = cold.union(hot)
+    pairs = cells.withColumnRenamed("id", "a").join(cells.withColumnRenamed("id", "b"), ["variant", "cell"]).where("a < b").select("a", "b").distinct()
     one, two = (signed.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "ab")
     near = pairs.join(one, "a").join(two, "b").where(F.least("grams_a", "grams_b") >= SIMILARITY * F.greatest("grams_a", "grams_b"))
 
@@ -166,23 +176,24 @@ def links(texts: DataFrame) -> DataFrame:
 
 
 def representatives(df: DataFrame, key: str = "row", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Members (key, id), and distinct texts (id, plain), written once."""
+    """Members (k, id), a row of df each, and distinct texts (id, plain), written once. The ids are numbers given to the distinct digests as
+    they are written, so no two texts have the same; what comes out doesn't depend on them."""
     keyed = written(distinct_texts(df, key, text))
-    return keyed.select(key, "id"), written(keyed.groupBy("id").agg(F.min("plain").alias("plain")))
+    texts = written(keyed.groupBy("digest").agg(F.min("plain").alias("plain")).withColumn("id", F.monotonically_increasing_id()))
+    members = keyed.select(F.col(key).alias("k"), "digest").join(texts.select("digest", "id"), "digest").select("k", "id")
+    return written(members), texts.select("id", "plain")
 
 
 def near_pairs(df: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
     """Pairs (key_a < key_b) of rows at least SIMILARITY alike, copies included: every row of one text with every row of the other.
 
-    Null, empty and blank texts are in no pair. Rows repeated with the same key pair once. Other columns are not read.
+    Null, empty and blank texts are in no pair. Rows repeated with the same key and text pair once. Other columns are not read.
     """
     members, texts = representatives(df, key, text)
     found = links(texts).select("a", "b")
     copied = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    left, right = (members.select(F.col("id").alias(i), F.col(key).alias(k)) for i, k in (("a", "x"), ("b", "y")))
-    # a hot text's rows are spread by adaptive skew handling; the result itself is as large as its pairs
-    rows = found.unionByName(copied).join(left, "a").join(right, "b").where("a <> b or x < y")
-    return rows.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).where(f"{key}_a <> {key}_b").distinct()
+    rows = expanded(found.unionByName(copied), members.distinct()).where("x <> y and (a <> b or x < y)")
+    return rows.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,7 +218,7 @@ def groups(df: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
     found = written(links(texts).select("a", "b"))
     labels = components(found)
     degree = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count("*").alias("links"))
-    texts_of = members.groupBy("id").agg(F.min(key).alias("least"), F.count("*").alias("copies")).join(labels, "id", "left").join(degree, "id", "left").withColumn("label", F.coalesce("group", "id"))
+    texts_of = members.groupBy("id").agg(F.min("k").alias("least"), F.count("*").alias("copies")).join(labels, "id", "left").join(degree, "id", "left").withColumn("label", F.coalesce("group", "id"))
     named = texts_of.groupBy("label").agg(F.min("least").alias("group"))
     per_text = texts_of.drop("group").join(named, "label").select("id", "group", "copies", F.coalesce("links", F.lit(0)).cast(T.LongType()).alias("links"))
-    return members.join(per_text, "id").select(key, "group", "copies", "links")
+    return members.join(per_text, "id").select(F.col("k").alias(key), "group", "copies", "links")

@@ -19,8 +19,8 @@ from quillspark.llm.logistic import Model, Sparse, calibrated, fit, halves
 
 #: Successive letters and digits that count as a repeat, and the share that counts as repetitive.
 RUN, SHARE = 12, 0.30
-#: The bound of the labelled sample, the number of hashed features, and the fixed threshold on the probability.
-TRAIN_ROWS, BUCKETS, THRESHOLD = 2000, 4096, 0.01
+#: The bounds of the labelled sample in rows and in characters of one, the number of hashed features, and the fixed threshold on the probability.
+TRAIN_ROWS, TRAIN_CHARS, BUCKETS, THRESHOLD = 2000, 8000, 4096, 0.01
 WORD_GRAM, CHAR_GRAM = 3, 8
 
 
@@ -82,7 +82,7 @@ def exact_shares(texts: list[str | None], letters: Letters) -> np.ndarray:
 
 
 def features(texts: list[str | None], letters: Letters) -> Sparse:
-    """Hashed n-grams that a text says again, weighted by their part of it; the last two features are the parts themselves."""
+    """Hashed n-grams that a text says again, weighted by their part of it."""
     n = len(texts)
     codes, offsets = _plain(texts, letters)
     own = owners(offsets)
@@ -100,9 +100,9 @@ def features(texts: list[str | None], letters: Letters) -> Sparse:
         again = _again(h, of)
         part = 1 / np.maximum(1, np.diff(ends))
         half = BUCKETS // 2
-        rows += [of[again], np.arange(n)]
-        kinds += [(h[again] % np.uint64(half)).astype(np.int64) + k * half, np.full(n, BUCKETS + k)]
-        values += [part[of[again]], np.bincount(of[again], minlength=n) * part * 8]
+        rows.append(of[again])
+        kinds.append((h[again] % np.uint64(half)).astype(np.int64) + k * half)
+        values.append(8 * part[of[again]])
     row, kind, value = np.concatenate(rows), np.concatenate(kinds), np.concatenate(values)
     order = np.argsort(row, kind="stable")
     return Sparse(kind[order], value[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]))
@@ -120,16 +120,21 @@ def train(texts: list[str], letters: Letters) -> Model:
     y = (exact_shares(texts, letters) >= SHARE).astype(float)
     x = features(texts, letters)
     one, two = halves(len(texts), 5)
-    return calibrated(fit(x.take(one), y[one], BUCKETS + 2, steps=200), x.take(two), y[two])
+    return calibrated(fit(x.take(one), y[one], BUCKETS, steps=200), x.take(two), y[two])
 
 
-def repeated_shares(df: DataFrame, key: str = "row", text: str = "raw_text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, probability, share) of the rows of df whose probability of being repetitive reaches the threshold.
+def _model(df: DataFrame, text: str) -> Model:
+    sample = bounded_sample(df.select(F.col(text).alias("value")), "value", TRAIN_ROWS, f"length(value) between {2 * RUN} and {TRAIN_CHARS}")
+    return train([r.value for r in sample], Letters())
 
-    Null, empty and blank texts, and texts without letters or digits, have share 0 and don't come out; a text of any length is
+
+def repeated_shares(df: DataFrame, key: str = "row", text: str = "raw_text") -> DataFrame:
+    """(key, probability, share) of every row of df: the model's probability of being repetitive, and the share as measured.
+
+    Null, empty and blank texts, and texts without letters or digits, have share 0; a text of any length is
     measured whole; repeated rows come out as often as they come in; an empty table gives an empty one.
     """
-    model = train(bounded_sample(df, text, TRAIN_ROWS, f"length(value) >= {2 * RUN}"), Letters())
+    model = _model(df, text)
 
     def make():
         letters = Letters()
@@ -138,17 +143,28 @@ def repeated_shares(df: DataFrame, key: str = "row", text: str = "raw_text", thr
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                p = model.probability(features(texts, letters))
-                kept = np.flatnonzero(p >= threshold)
-                shares = exact_shares([texts[i] for i in kept], letters)
-                yield {key: part.column(0).take(pa.array(kept)), "probability": p[kept], "share": shares}
+                yield {key: part.column(0), "probability": model.probability(features(texts, letters)), "share": exact_shares(texts, letters)}
 
         return work
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.where(F.length(text) > RUN), [key, text], f"{key} {kind}, probability double, share double", make)
+    return map_batches(df, [key, text], f"{key} {df.schema[key].dataType.simpleString()}, probability double, share double", make)
+
+
+def repetitive(df: DataFrame, key: str = "row", text: str = "raw_text", share: float = SHARE, threshold: float = THRESHOLD) -> DataFrame:
+    """The keys of the rows with at least `share`: those whose probability reaches the threshold are measured."""
+    model = _model(df, text)
+
+    def make():
+        letters = Letters()
 
+        def work(batch: pa.RecordBatch):
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = part.column(1).to_pylist()
+                kept = np.flatnonzero(model.probability(features(texts, letters)) >= threshold)
+                good = kept[exact_shares([texts[i] for i in kept], letters) >= share]
+                yield {key: part.column(0).take(pa.array(good, pa.int64()))}
+
+        return work
 
-def repetitive(df: DataFrame, key: str = "row", text: str = "raw_text", share: float = SHARE) -> DataFrame:
-    """The keys of repeated_shares with at least `share`."""
-    return repeated_shares(df, key, text).where(F.col("share") >= share).select(key)
+    return map_batches(df.where(F.length(text) >= RUN), [key, text], f"{key} {df.schema[key].dataType.simpleString()}", make)

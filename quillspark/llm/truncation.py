@@ -3,8 +3,9 @@
 Intact values are cut artificially to create positives. A hashed logistic regression on closing characters, punctuation and
 length-to-limit features is trained on them and calibrated, then scores every record.
 
-Which rows are intact isn't known. The sample holds few cut rows; after a first fit, those of its rows that look cut are left
-out and the model is fitted again. Lengths at a source's limit come from statistics over all rows.
+Which rows are intact isn't known. Rows that end at a limit of their source are not taken for it; of the others in the sample few are
+cut, and after a first fit those that look so are left out and the model is fitted again. A source's limits are the lengths at which far more of its rows end than at the lengths around
+them, from statistics over all rows; part of the positives are cut at such a length, and every row has the features of its own.
 """
 
 from __future__ import annotations
@@ -15,18 +16,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, map_batches
+from quillspark.llm.common import bounded_sample, map_batches, written
 from quillspark.llm.logistic import Model, Sparse, calibrated, fit, halves
 
-#: The bound of the sample, the number of hashed features, the threshold on the probability.
-TRAIN_ROWS, BUCKETS, THRESHOLD = 6000, 1 << 14, 0.5
+#: The bounds of the sample in rows and in characters of one, the number of hashed features, the threshold on the probability.
+TRAIN_ROWS, TRAIN_CHARS, BUCKETS, THRESHOLD = 6000, 8000, 1 << 14, 0.5
 #: What is put after a cut.
 MARKS = ["", "", "", "…", "�", " [...]", " ", "「", "...", "（", "&nb"]
-#: Part of a source's rows that must end at one length for it to count as a limit.
-LIMIT_PART, LIMIT_ROWS = 0.03, 4
+#: The same as a pattern at a text's end.
+MARKED = r"(?:…|\x{fffd}+| ?\[\.\.\.\]|\.\.\.|「|（|&\w{0,4}|\s)+$"
+#: Part of a source's rows and rows that must end at one length for it to be a limit, and how many times as many as at the lengths around.
+LIMIT_PART, LIMIT_ROWS, STANDS_OUT = 0.05, 4, 10
+#: Sources with limits up to which their table is broadcast.
+FEW = 20_000
 TERMINAL = "。．.！!？?"
 
 
@@ -54,9 +59,6 @@ def squeezed(text: str) -> str:
     return re.sub(r"(.)\1\1+", r"\1\1+", shape(text))
 
 
-_LAST = re.compile(r"[^。！？；!?;]*[。！？；!?;]?[」』”）)\]]?$")
-
-
 def closing_features(text: str, at_chars: float, at_bytes: float) -> list[tuple[int, float]]:
     """(feature, value): the end's characters and shapes, its last lines, and whether the length is the source's limit."""
     tail = text[-60:]
@@ -77,8 +79,10 @@ def closing_features(text: str, at_chars: float, at_bytes: float) -> list[tuple[
     names += [f"m{mark[:5]}", f"r{stripped[-1:]}|{mark[:2]}", f"f{shape(stripped[-1:])}|{mark[:2]}"]
     if tail[-1:] in TERMINAL + "；;":
         names.append("terminal")
-    elif at_chars >= LIMIT_PART or at_bytes >= LIMIT_PART:
-        names += ["limit", f"limit{shape(tail[-1:])}"]
+    else:
+        for kind, part in (("chars", at_chars), ("bytes", at_bytes)):
+            if part > 0:
+                names += ["limit", f"limit{kind}{min(5, int(part * 20))}", f"limit{shape(tail[-1:])}"]
     out = [(zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS, 1.0) for x in names]
     return out
 
@@ -89,23 +93,34 @@ def features(rows: list[tuple[str, float, float]]) -> Sparse:
     return Sparse(np.array([f for f, _ in flat], np.int64), np.array([v for _, v in flat], float), np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int64))
 
 
-def cut(text: str, rng: np.random.Generator) -> str | None:
-    """The text stopped inside a word or a sentence; null if it is too short for that."""
-    for _ in range(8):
-        body = text[: int(rng.integers(max(1, len(text) // 8), max(2, len(text))))]
-        if len(body) > 8 and body[-1] not in TERMINAL + "；;\n 」』”）)" and text[len(body) : len(body) + 1] not in ("", "\n", *TERMINAL, "；", ";") and "\n" not in text[len(body) - 6 : len(body) + 6]:
+def cut(text: str, rng: np.random.Generator, at: int | None = None) -> str | None:
+    """The text stopped inside a word or a sentence, at a given length if there is one; null if that can't be."""
+    for _ in range(8 if at is None else 1):
+        body = text[: int(rng.integers(max(1, len(text) // 8), max(2, len(text)))) if at is None else at]
+        if 8 < len(body) < len(text) and body[-1] not in TERMINAL + "；;\n 」』”）)" and text[len(body)] not in ("\n", *TERMINAL, "；", ";") and "\n" not in text[len(body) - 6 : len(body) + 6]:
             return body + MARKS[int(rng.integers(0, len(MARKS)))]
     return None
 
 
-def train(texts: list[str]) -> Model:
+def train(rows: list[tuple[str, float, float]], known: list[tuple[str, int, float]] | None = None) -> Model:
+    """The calibrated model of sampled rows (text, part of its source that ends at its length in characters, in bytes). Of the
+    positives, cut from these texts, half are cut at a length drawn from the known limits (kind, size, part) where a text reaches so far."""
     rng = np.random.default_rng(23)
-    made = [c for c in (cut(t, rng) for t in texts for _ in range(2)) if c]
-    rows = [(t, 0.0, 0.0) for t in texts] + [(t, 0.5 * float(rng.random() < 0.3), 0.5 * float(rng.random() < 0.1)) for t in made]
-    y = np.concatenate([np.zeros(len(texts)), np.ones(len(made))])
-    if not len(rows):
+    made: list[tuple[str, float, float]] = []
+    rows = [r for r in rows if not r[1] and not r[2]]
+    for t, _, _ in rows:
+        for k in range(2):
+            limit = known[int(rng.integers(0, len(known)))] if known and k else None
+            at = None if limit is None else limit[1] if limit[0] == "c" else len(t.encode("utf-8", "replace")[: limit[1]].decode("utf-8", "ignore"))
+            c = cut(t, rng, at) if at is not None and at < len(t) else cut(t, rng)
+            if c:
+                there = limit is not None and at is not None and at < len(t)
+                made.append((c, limit[2] if there and limit[0] == "c" else 0.0, limit[2] if there and limit[0] == "b" else 0.0))
+    every = list(rows) + made
+    y = np.concatenate([np.zeros(len(rows)), np.ones(len(made))])
+    if not every:
         return Model(np.zeros(BUCKETS), -1.0)
-    x = features(rows)
+    x = features(every)
     for _ in range(2):
         one, two = halves(len(y), 7)
         model = calibrated(fit(x.take(one), y[one], BUCKETS, l2=2e-4, steps=150), x.take(two), y[two])
@@ -117,14 +132,30 @@ def train(texts: list[str]) -> Model:
 
 
 def limits(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """(source, most_chars, chars_part, most_bytes, bytes_part): the longest length and the part of the rows that have it, in
-    characters and in bytes (within 3, for a character cut in two)."""
-    sizes = df.where(F.length(text) > 0).groupBy(F.col(source).alias("source"), F.length(text).alias("c"), F.octet_length(text).alias("b")).agg(F.count("*").alias("n"))
-    most = sizes.groupBy(F.col("source").alias("of")).agg(F.max("c").alias("most_chars"), F.max("b").alias("most_bytes"), F.sum("n").alias("all"))
-    at = sizes.join(most, F.expr("source <=> of")).drop("of")
-    return at.groupBy("source", "most_chars", "most_bytes", "all").agg(
-        F.sum(F.when(F.col("c") == F.col("most_chars"), F.col("n")).otherwise(0)).alias("nc"), F.sum(F.when(F.col("b") >= F.col("most_bytes") - 4, F.col("n")).otherwise(0)).alias("nb")
-    ).select("source", "most_chars", F.when(F.col("nc") >= LIMIT_ROWS, F.col("nc") / F.col("all")).otherwise(0.0).alias("chars_part"), "most_bytes", F.when(F.col("nb") >= LIMIT_ROWS, F.col("nb") / F.col("all")).otherwise(0.0).alias("bytes_part"))
+    """(source, kind, size, part): the lengths, in characters (c) or bytes (b, within 3 for a character cut in two), at which far more
+    rows of a source end than around them, and the part of its rows that do. What may stand after a cut counts and doesn't."""
+    bare = F.length(F.regexp_replace(F.substring(text, -40, 40), MARKED, "")) + F.greatest(F.length(text) - 40, F.lit(0))
+    both = F.array_distinct(F.array(F.struct(F.lit("c").alias("kind"), F.length(text).alias("size")), F.struct(F.lit("c").alias("kind"), bare.alias("size")), F.struct(F.lit("b").alias("kind"), F.octet_length(text).alias("size"))))
+    # copies of a text end where it does, which says nothing
+    once = df.where(F.length(text) > 0).select(F.col(source).alias("source"), F.xxhash64(text).alias("text"), both.alias("both")).dropDuplicates(["source", "text"])
+    sizes = once.select("source", F.explode("both").alias("x")).groupBy("source", "x.kind", "x.size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source", "kind")
+    here = F.when(F.col("kind") == "b", F.sum("n").over(w.orderBy("size").rangeBetween(-3, 0))).otherwise(F.col("n"))
+    wide = F.when(F.col("kind") == "b", 4).otherwise(1)
+    placed = sizes.withColumns({"here": here, "around": F.sum("n").over(w.orderBy("size").rangeBetween(-40, 40)), "all": F.sum("n").over(w)})
+    spikes = placed.where((F.col("here") >= LIMIT_ROWS) & (F.col("here") >= LIMIT_PART * F.col("all")) & (F.col("here") >= STANDS_OUT * wide * (F.col("around") - F.col("here")) / 80) & ((F.col("kind") == "c") | (F.col("n") > 0)))
+    return spikes.select("source", "kind", "size", (F.col("here") / F.col("all")).alias("part"))
+
+
+def placed(df: DataFrame, known: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(k, s, t, pc, pb, whole): each row's end and text, and the part of its source's rows that end at its length."""
+    maps = known.groupBy(F.col("source").alias("s_")).agg(*[F.filter(F.collect_list(F.when(F.col("kind") == k, F.struct("size", "part"))), lambda x: x.isNotNull()).alias(f"at_{k}") for k in "cb"])
+    few = known.select("source").distinct().count()
+    bare = F.length(F.regexp_replace(F.substring(text, -40, 40), MARKED, "")) + F.greatest(F.length(text) - 40, F.lit(0))
+    rows = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(source).alias("s"), F.substring(text, -420, 420).alias("t"), F.length(text).alias("c"), bare.alias("d"), F.octet_length(text).alias("b"), F.col(text).alias("whole"))
+    joined = rows.join(F.broadcast(maps) if few <= FEW else maps, F.expr("s <=> s_"), "left")
+    most = lambda some, fits: F.coalesce(F.array_max(F.transform(F.filter(some, fits), lambda x: x["part"])), F.lit(0.0))
+    return joined.select("k", "s", "t", most(F.col("at_c"), lambda x: (x["size"] == F.col("c")) | (x["size"] == F.col("d"))).alias("pc"), most(F.col("at_b"), lambda x: (x["size"] - F.col("b")).between(0, 3)).alias("pb"), "whole")
 
 
 def scored(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -133,12 +164,11 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     Null, empty and blank texts can't be cut off and don't come out; equal rows get equal scores; texts of any length are
     taken whole, though only their ends decide; the null source is a source of its own; an empty table gives an empty one.
     """
-    model = train(bounded_sample(df, text, TRAIN_ROWS, "length(trim(value)) > 8"))
-    stats = limits(df, source, text).withColumnRenamed("source", "s_")
-    rows = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(source).alias("s"), F.substring(text, -420, 420).alias("t"), F.length(text).alias("c"), F.octet_length(text).alias("b"))
-    joined = rows.join(stats, F.expr("s <=> s_"), "left").select(
-        "k", "s", "t", F.when(F.col("c") == F.col("most_chars"), F.col("chars_part")).otherwise(0.0).alias("pc"), F.when(F.col("b") >= F.col("most_bytes") - 4, F.col("bytes_part")).otherwise(0.0).alias("pb")
-    )
+    known = written(limits(df, source, text))
+    joined = placed(df, known, key, text, source)
+    sample = bounded_sample(joined, "whole", TRAIN_ROWS, f"length(trim(whole)) between 9 and {TRAIN_CHARS}", "pc", "pb")
+    drawn = known.orderBy(F.desc("part"), "source", "kind", "size").limit(200).collect()
+    model = train([(r.whole, r.pc, r.pb) for r in sample], [(r.kind, r["size"], r.part) for r in drawn])
 
     def make():
         def work(batch: pa.RecordBatch):

@@ -41,6 +41,9 @@ def keys(df, *cs):
 def test_repetition(chunks, nothing):
     assert keys(repetition.repetitive(chunks), "row") == [1, 6]
     assert keys(repetition.repetitive(nothing), "row") == []
+    shares = {r.row: r.share for r in repetition.repeated_shares(chunks).collect()}
+    assert len(shares) == 7 and shares[4] == 0 and shares[2] == 0 and shares[1] >= 0.3
+    assert repetition.repeated_shares(chunks).count() == 8 and repetition.repeated_shares(nothing).count() == 0
 
 
 def test_forms(chunks, nothing):
@@ -57,6 +60,19 @@ def test_near_duplicates(chunks, nothing):
     assert keys(neardup.near_pairs(nothing), "row_a", "row_b") == [] and neardup.groups(nothing).count() == 0
 
 
+def test_hot_texts_and_variants_are_parted(spark, monkeypatch):
+    from quillspark.llm import common
+
+    monkeypatch.setattr(common, "PART", 3)
+    monkeypatch.setattr(neardup, "HOT", 4)
+    base = "".join(chr(0x4E00 + 37 * i) for i in range(120))
+    rows = [(i, base[:60] + chr(0x3400 + i // 4) + base[60:]) for i in range(80)]  # twenty texts alike, four rows each
+    df = spark.createDataFrame(rows, "row long, text string")
+    assert neardup.near_pairs(df).count() == 80 * 79 // 2 and neardup.near_pairs(df).distinct().count() == 80 * 79 // 2
+    spaced = spark.createDataFrame([(i, "a" + " \u00a0\u3000"[i % 3] + "b") for i in range(30)], "row long, text string")
+    assert forms.looks_alike(spaced).count() == 300
+
+
 def test_pieces(chunks, nothing):
     out = pieces.pieces(chunks).orderBy("row", "piece").collect()
     assert {r.row for r in out} == {6, 7} and all(r.chars == len(r.text) <= 600 for r in out)

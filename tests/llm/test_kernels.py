@@ -175,12 +175,28 @@ def test_truncation():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(rng.randint(3, 9)))
     texts = ["，".join(word() for _ in range(4)) + "。" + "，".join(word() for _ in range(3)) + "。" for _ in range(400)]
-    model = truncation.train(texts)
+    model = truncation.train([(t, 0.0, 0.0) for t in texts])
     rows = [(t, 0.0, 0.0) for t in texts[:50]] + [(t[:-7], 0.0, 0.0) for t in texts[:50]]
     p = model.probability(truncation.features(rows))
     assert (p[:50] < 0.5).mean() > 0.95 and (p[50:] >= 0.5).mean() > 0.8
 
 
+def test_truncation_learns_the_limit():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(rng.randint(30, 90))) for _ in range(300)]  # nothing closes them
+    model = truncation.train([(t, 0.0, 0.0) for t in texts] + [(t[:20], 0.4, 0.0) for t in texts[:100]], [("c", 20, 0.4)])
+    at, off = (model.probability(truncation.features([(t[:20], part, 0.0) for t in texts])) for part in (0.4, 0.0))
+    assert (at > off).all() and (at >= 0.5).mean() > 0.95
+
+
+def test_confusables_table(tmp_path):
+    path = tmp_path / "table.txt"
+    path.write_text("# Version: 9.9\n0430 ;\t0061 ;\tMA\t# a\n0031 ; 006C ; MA # digit\n1D7CF ; 006C ; MA\n\n", encoding="utf-8")
+    version, letters = forms.read_confusables(str(path))
+    assert version == "9.9" and letters == {"а": "a", "\U0001d7cf": "l"}
+    assert forms.composed("а1", forms.Prototypes(letters)) == "a1"
+
+
 def test_logistic_is_deterministic():
     x = logistic.Sparse(np.array([0, 1, 0, 1]), np.ones(4), np.array([0, 1, 2, 3, 4]))
     y = np.array([0, 1, 0, 1.0])
