@@ -121,8 +121,9 @@ class Transducer:
     def feed(self, more: bytes) -> Iterator[int]:
         for byte in more:
             self.data.append(byte)
-            data, end = bytes(self.data), len(self.data)
-            for token in self.v.endings(data, end, 0):
+            end = len(self.data)
+            tail = bytes(self.data[-self.v.longest :])
+            for token in self.v.endings(tail, len(tail), 0):
                 start = end - len(token)
                 previous = self.last[start - 1] if start else self.before
                 if not previous or self.v.valid(previous, token):

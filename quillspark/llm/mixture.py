@@ -13,13 +13,16 @@ from quillspark.llm.common import written
 from quillspark.llm.encoding import DEFAULT_RANKS, token_counts
 
 SEED = 20
+#: Targets up to which their table is broadcast.
+FEW = 20_000
 
 
 def sized(documents: DataFrame, targets: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """(doc_id, source, tokens) of one document for each distinct text of the sources with a target: the smallest doc_id.
 
     A text that comes again, under whatever id or source, is the same text and belongs to that document. Null and empty texts
-    have no tokens and are left out. Written once, because two passes follow.
+    have no tokens and are left out. Written once, because two passes follow. Tokens are counted before copies are merged, in the
+    scan: then a row of 16 bytes and its numbers is shuffled, and no text.
     """
     wanted = targets.where("weight > 0").select("source").distinct()
     rows = documents.where(F.length("text") > 0).join(wanted, "source", "left_semi").withColumn("digest", F.unhex(F.md5("text")))
@@ -55,7 +58,9 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataF
     The hash depends on the document and the seed only, so a run again, in whatever partitions, gives the same rows. Caps
     hold exactly: a rate of at most the cap gives at most the cap's number of copies.
     """
-    joined = documents.join(rates(documents, targets).select("source", "rate", "cap"), "source")
+    few = rates(documents, targets).select("source", "rate", "cap")
+    # as many rows as targets; the documents are never the side that is broadcast
+    joined = documents.join(F.broadcast(few), "source") if targets.count() <= FEW else documents.hint("merge").join(few, "source")
     whole = F.floor(F.col("rate") + 1e-9)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("int")
@@ -63,10 +68,15 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataF
 
 
 def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per target source: target_share, actual_share, rate, texts, texts_used, actual_tokens, most_repeats."""
+    """One row per target source: target_share, actual_share, rate, cap, tokens, texts, texts_used, actual_tokens, most_repeats, and how far
+    the share is off its target, `deviation`, beside the standard error of the tokens that the last copies, drawn by
+    chance, lead to, `expected`; both as parts of the target. A source of few texts deviates by much."""
     used = mixture(documents, targets, seed).groupBy("source").agg(F.sum("tokens").alias("actual_tokens"), F.max("copy").alias("most_repeats"), F.count(F.when(F.col("copy") == 1, 1)).alias("texts_used"))
     from pyspark.sql import Window
 
     every = Window.partitionBy(F.lit(1))
-    both = rates(documents, targets).join(used, "source", "left").fillna({"actual_tokens": 0, "most_repeats": 0, "texts_used": 0})
-    return both.withColumn("actual_share", F.coalesce(F.col("actual_tokens") / F.sum("actual_tokens").over(every), F.lit(0.0))).select("source", "target_share", "actual_share", "rate", "cap", "tokens", "texts", "texts_used", "actual_tokens", "most_repeats")
+    squares = documents.groupBy("source").agg(F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("squares"))
+    both = rates(documents, targets).join(squares, "source", "left").join(used, "source", "left").fillna({"actual_tokens": 0, "most_repeats": 0, "texts_used": 0})
+    return both.withColumn("actual_share", F.coalesce(F.col("actual_tokens") / F.sum("actual_tokens").over(every), F.lit(0.0))).withColumns(
+        {"deviation": F.when(F.col("target_share") > 0, F.col("actual_share") / F.col("target_share") - 1), "expected": F.when(F.col("rate") > 0, F.sqrt((F.col("rate") - F.floor("rate")) * (1 - F.col("rate") + F.floor("rate")) * F.col("squares")) / (F.col("rate") * F.col("tokens")))}
+    ).select("source", "target_share", "actual_share", "deviation", "expected", "rate", "cap", "tokens", "texts", "texts_used", "actual_tokens", "most_repeats")
