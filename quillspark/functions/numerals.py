@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from quillspark.functions.fixed import FILLERS
+
 DIGITS = "零一二三四五六七八九"
 UNITS = {"十": 10, "百": 100, "千": 1000}
 BIG = {"萬": 10_000, "万": 10_000, "億": 100_000_000, "亿": 100_000_000}
@@ -64,9 +66,6 @@ def reading(text: str) -> str:
     return re.sub(r"\d+(?:\.\d+)?", one, text, flags=re.ASCII)
 
 
-FILLERS = "嗯啊哈呃哦噢唉欸呀耶"
-
-
 def score_text(text: str, keep_fillers: bool = False) -> str:
     """What is compared in scoring: NFKC, numbers as read, fillers out, Han and letters and digits only."""
     t = reading(unicodedata.normalize("NFKC", text)).casefold().replace("證", "症")
@@ -83,9 +82,9 @@ def number_of(text: Column) -> Column:
     return f(text)
 
 
-def scored(text: Column) -> Column:
+def scored(text: Column, keep_fillers: bool = False) -> Column:
     @F.pandas_udf(StringType())
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else score_text(t))
+        return s.map(lambda t: None if t is None else score_text(t, keep_fillers))
 
     return f(text)

@@ -12,18 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspark.functions.fixed import DATES, HEADINGS_1, HEADINGS_2, PAGE_MARK, PARTICLES, SENTENCE, VARIANTS
+
 #: Han as the token rule has it.
 HAN = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{3134f}"
 RUN = f"[{HAN}]+|[0-9a-z]+"
 #: Full-width letters and digits and their plain form, by rule.
 PLAIN = "".join(c for c in map(chr, range(0x21, 0x7F)) if c.isalnum())
 WIDE = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
-#: Variant characters and the ones used in their place.
-VARIANTS = {"溼": "濕", "芪": "耆", "痹": "痺", "谿": "溪"}
-#: Characters that carry no search meaning alone.
-PARTICLES = "的了呢嗎吧是在和與也就都"
-SENTENCE = "[^。！？；!?;\\n]*[。！？；!?;\\n]+|[^。！？；!?;\\n]+$"
-
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
@@ -126,22 +122,12 @@ def sentences(text: Column) -> Column:
 def heading_level(text: Column) -> Column:
     """1 for chapter-like lines, 2 for numbered lines, 0 for others and for lines of more than 40 characters."""
     t = trimmed(text)
-    number = "一二三四五六七八九十百千零〇两兩"
-    first = [rf"^第[{number}\d]+[章講讲節节篇回課课卷部]", rf"^[^，,。：:；]{{2,20}}第[{number}\d]+$", "^辨.{1,16}[病脉脈].{0,10}[治篇法]", "^[壹貳贰參叁肆伍陸陆柒捌玖拾]+[、．.]", "^【(?![^】]*(?:社|報|报|網|网|新聞|新闻|記者|记者|電|电))[^】]{1,30}】$"]
-    second = [rf"^[{number}]{{1,4}}\s*[、．.：:]\s*\S", r"^[（(][一二三四五六七八九十\d]{1,3}[)）]\s*\S", r"^\d{1,3}\s*[、．.]\s*[^\d\s]"]
     some = lambda ps: F.coalesce(*[F.when(t.rlike(p), F.lit(True)) for p in ps], F.lit(False))
-    return F.when((F.length(t) == 0) | (F.length(t) > 40) | t.isNull(), 0).when(some(first), 1).when(some(second), 2).otherwise(0)
+    return F.when((F.length(t) == 0) | (F.length(t) > 40) | t.isNull(), 0).when(some(HEADINGS_1), 1).when(some(HEADINGS_2), 2).otherwise(0)
 
 
 def find_date(text: Column) -> Column:
     """The first valid date of the first form that has one: year-month-day, month/day/year, eight digits, year and month."""
-    forms = [
-        (r"(?<!\d)((?:19|20)\d{2})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})(?!\d)", (1, 2, 3)),
-        (r"(?<!\d)(\d{1,2})/(\d{1,2})/((?:19|20)\d{2})(?!\d)", (3, 1, 2)),
-        (r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(?!\d)", (1, 2, 3)),
-        (r"(?<!\d)((?:19|20)\d{2})\s*年\s*(\d{1,2})\s*月", (1, 2, 0)),
-    ]
-
     def form(pattern: str, order: tuple[int, int, int]) -> Column:
         parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in order if g]
         number = lambda r, i: r["ymd"[i]].cast("int")
@@ -157,16 +143,15 @@ def find_date(text: Column) -> Column:
         found = F.filter(F.when(F.size(parts[0]) > 0, named), good)
         return F.when(F.size(found) > 0, shown(F.get(found, F.lit(0))))
 
-    return F.coalesce(*[form(p, o) for p, o in forms])
+    return F.coalesce(*[form(p, o) for p, o in DATES])
 
 
 def is_boilerplate(text: Column, marks: tuple[str, ...] = ()) -> Column:
     """Lines without letters, page marks, contents lines with leaders, and short lines with a vendor's mark."""
     t = trimmed(text)
     leaders = F.aggregate(F.regexp_extract_all(t, F.lit("([·．.…•]{6,})"), F.lit(1)), F.lit(0), lambda a, r: a + F.length(r))
-    page = r"(?i)^(?:第?\s*\d*\s*[页頁]|P\s*\d+\s*-\s*\d[\d ]*|[IVXLC]+|\d+|[-–—\s\d]+)$"
     marked = F.coalesce(*[F.when(F.contains(t, F.lit(m)), F.lit(True)) for m in marks], F.lit(False))
-    return ~t.rlike(r"\p{L}") | t.rlike(page) | ((leaders > 0) & (leaders >= 0.2 * F.length(t))) | ((F.length(t) <= 200) & marked)
+    return ~t.rlike(r"\p{L}") | t.rlike(PAGE_MARK) | ((leaders > 0) & (leaders >= 0.2 * F.length(t))) | ((F.length(t) <= 200) & marked)
 
 
 def is_garbage(text: Column, least: int = 20) -> Column:

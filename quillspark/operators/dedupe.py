@@ -40,34 +40,46 @@ def repeated_exactly(paras: DataFrame, order: list[str], text: str = "paragraph"
     return paras.withColumn("dedupe_key", k).withColumn("first", (F.length("dedupe_key") < LEAST_KEY) | (n == 1))
 
 
-def kept_paragraphs(paras: DataFrame, order: list[str], text: str = "paragraph", cover: float = COVER) -> DataFrame:
+def kept_paragraphs(paras: DataFrame, order: list[str], text: str = "paragraph", cover: float = COVER, most: int = 200) -> DataFrame:
     """paras that a reader in order would keep: the key is new, and less than `cover` of it is sentences of kept paragraphs before.
 
-    The rule depends on its own earlier decisions, so it is solved as a fix-point: bounds on which sentences are kept close in
-    from both sides, and the earliest open paragraph is decided in every round. Only digests move between rounds, which are
-    written to the checkpoint folder.
+    The rule depends on its own earlier decisions, so it is solved as a fix-point: bounds on which sentences are kept close in from both
+    sides, and at least the earliest open paragraph of each set that shares sentences is decided in every round, so sets go on side by
+    side. A round reads what is open and the sentences in it, and appends what it decides; only digests move. More rounds than
+    `most` are an error.
     """
     place = F.struct(*order)
     base = written(paras.withColumn("place", place).withColumn("k", X.dedupe_key(F.col(text))).withColumn("size", F.length("k")))
-    long = base.where(F.col("size") >= LEAST_KEY).select("place", "size", F.unhex(F.md5("k")).alias("kd"))
-    parts = base.where(F.col("size") >= LEAST_KEY).select("place", F.explode(F.transform(F.split(F.col(text), "[。！？；!?;\\n]+"), lambda s: X.dedupe_key(s))).alias("s")).where(F.length("s") >= LEAST_KEY)
-    parts = written(parts.select("place", F.unhex(F.md5("s")).alias("sd"), F.length("s").alias("n")))
-    state = written(long.withColumn("kept", F.lit(None).cast("boolean")))
-    while True:
-        alive = state.where("kept is null or kept").select("place", "kept")
-        seen = parts.join(alive, "place").groupBy("sd").agg(F.min(F.when(F.col("kept"), F.col("place"))).alias("sure"), F.min("place").alias("maybe"))
-        twin = state.where("kept is null or kept").groupBy("kd").agg(F.min(F.when(F.col("kept"), F.col("place"))).alias("twin"), F.min("place").alias("open"))
-        undecided = state.where("kept is null")
-        if not undecided.limit(1).count():
+    long = base.where(F.col("size") >= LEAST_KEY)
+    every = long.select("place", F.explode(F.transform(F.split(F.col(text), "[。！？；!?;\\n]+"), lambda s: X.dedupe_key(s))).alias("s")).where(F.length("s") >= LEAST_KEY)
+    parts = written(every.select("place", F.unhex(F.md5("s")).alias("sd"), F.length("s").alias("n")))
+    # of equal keys only the first can be kept: it is so whatever is decided, unless it is covered itself
+    open_ = written(long.select("place", "size", F.unhex(F.md5("k")).alias("kd")))
+    empty = long.select("place").limit(0)
+    kept, kept_parts, kept_keys = [], [], []
+    for _ in range(most):
+        if open_.isEmpty():
             break
-        covered = parts.join(undecided.select("place"), "place").join(seen, "sd").groupBy("place").agg(F.sum(F.when(F.col("sure") < F.col("place"), F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("maybe") < F.col("place"), F.col("n")).otherwise(0)).alias("high"))
-        judged = undecided.join(covered, "place", "left").fillna({"low": 0, "high": 0}).join(twin, "kd")
-        drop = (F.col("twin") < F.col("place")) | ((F.col("low") > 0) & (F.col("low") >= F.col("size") * F.lit(cover)))
-        keep = ~F.coalesce(F.col("open") < F.col("place"), F.lit(False)) & ~((F.col("high") > 0) & (F.col("high") >= F.col("size") * F.lit(cover)))
-        now = judged.select("place", "size", "kd", F.when(F.coalesce(drop, F.lit(False)), False).when(keep, True).alias("kept"))
-        state = written(state.where("kept is not null").unionByName(now))
+        union = lambda some, like: reduce(DataFrame.unionByName, some) if some else like
+        sure_parts = union(kept_parts, parts.select("sd", "place").limit(0)).join(parts.select("sd").distinct(), "sd", "left_semi")
+        seen = parts.select("sd", F.col("place").alias("maybe")).groupBy("sd").agg(F.min("maybe").alias("maybe")).join(sure_parts.groupBy("sd").agg(F.min("place").alias("sure")), "sd", "left")
+        first = open_.groupBy("kd").agg(F.min("place").alias("open")).join(union(kept_keys, open_.select("kd", "place").limit(0)).groupBy("kd").agg(F.min("place").alias("twin")), "kd", "left")
+        sure, maybe = F.col("sure") < F.col("place"), F.least("maybe", "sure") < F.col("place")
+        covered = parts.join(seen, "sd").groupBy("place").agg(F.sum(F.when(sure, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(maybe, F.col("n")).otherwise(0)).alias("high"))
+        judged = open_.join(covered, "place", "left").fillna({"low": 0, "high": 0}).join(first, "kd")
+        drop = F.coalesce(F.col("twin") < F.col("place"), F.lit(False)) | ((F.col("low") > 0) & (F.col("low") >= F.col("size") * F.lit(cover)))
+        keep = ~(F.col("open") < F.col("place")) & ~((F.col("high") > 0) & (F.col("high") >= F.col("size") * F.lit(cover)))
+        now = written(judged.select("place", "size", "kd", F.when(drop, False).when(keep, True).alias("kept")))
+        chosen = now.where("kept")
+        kept.append(chosen.select("place"))
+        kept_keys.append(chosen.select("kd", "place"))
+        kept_parts.append(written(parts.join(chosen.select("place"), "place", "left_semi").select("sd", "place")))
+        open_ = now.where("kept is null").select("place", "size", "kd")
+        parts = written(parts.join(open_.select("place"), "place", "left_semi"))
+    else:
+        raise RuntimeError(f"paragraphs are not decided after {most} rounds")
     short = base.where(F.col("size") < LEAST_KEY)
-    return short.unionByName(base.join(state.where("kept").select("place"), "place", "left_semi")).drop("place", "k", "size")
+    return short.unionByName(base.join(reduce(DataFrame.unionByName, kept, empty), "place", "left_semi")).drop("place", "k", "size")
 
 
 def with_suffixes(rows: DataFrame, id_column: str, order: list[str]) -> DataFrame:

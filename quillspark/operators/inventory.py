@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 CATEGORIES = {"video": "mp4 mkv avi mov wmv flv rmvb", "audio": "mp3 m4a wav flac wma", "subtitle": "lrc srt", "document": "doc docx pdf txt htm html chm json wiki", "image": "jpg jpeg png gif", "archive": "zip rar 7z"}
 
 
+#: Categories in which files of equal size count as copies.
+DUPLICATE_KINDS = ("video", "audio", "document")
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -45,18 +49,25 @@ def totals(rows: DataFrame, sets: list[list[str]], **measures: Column) -> DataFr
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in keys]).agg(*[m.alias(n) for n, m in measures.items()])
 
 
-def probable_duplicates(rows: DataFrame, keys: list[str], order: str, measure: str) -> DataFrame:
-    """(keys, n, first, extra): groups of more than one, their first member, and the measure beyond it."""
-    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by(measure, order).alias("value"))
+def probable_duplicates(rows: DataFrame, keys: list[str], order: str, measure: str, where: Column | None = None) -> DataFrame:
+    """(keys, n, first, extra): groups of more than one among the rows of `where`, their first member, and its measure times the others.
+    For files: keys category and size, where the size is over 1 MiB and the category one of DUPLICATE_KINDS."""
+    some = rows if where is None else rows.where(where)
+    g = some.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by(measure, order).alias("value"))
     return g.where("n > 1").select(*keys, "n", "first", (F.col("value") * (F.col("n") - 1)).alias("extra"))
 
 
+def duplicate_files(files: DataFrame) -> DataFrame:
+    """(category, size, n, first, extra) of files (path, category, size) that are as good as surely copies."""
+    return probable_duplicates(files, ["category", "size"], "path", "size", (F.col("size") > 1 << 20) & F.col("category").isin(*DUPLICATE_KINDS))
+
+
 def systematic(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each key at equal steps, both ends included; one row: the middle; fewer rows than n: all."""
     w = Window.partitionBy(*keys)
     placed = rows.withColumn("i_", F.row_number().over(w.orderBy(*order)) - 1).withColumn("m_", F.count("*").over(w))
     if n == 1:
-        wanted = F.array(F.floor(F.col("m_") / 2))
+        wanted = F.array(F.floor((F.col("m_") - 1) / 2))
     else:
         wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("m_") - 1) / (n - 1)))
     return placed.where((F.col("m_") <= n) | F.array_contains(wanted, F.col("i_").cast("bigint"))).drop("i_", "m_")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from quillspark.functions.text import clip, trimmed
+from quillspark.functions.fixed import ARTICLE, BRACKETS, NO_NAMES, TIME_CODE, TITLE_DATE
+from quillspark.functions.text import clip, once, trimmed
 
 
 def furniture(spans: DataFrame, keys: list[str], least: int = 3, part: float = 0.3) -> DataFrame:
@@ -31,6 +32,12 @@ def joined_spans(parts: list[str]) -> str:
     return out
 
 
+@F.pandas_udf(StringType())
+def joined_texts(parts: pd.Series) -> pd.Series:
+    """joined_spans of an array of texts."""
+    return parts.map(lambda p: joined_spans(list(p)))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def recognised_paragraphs(text: pd.Series) -> pd.Series:
     """Lines of recognised text as paragraphs: one ends at a short line, under four fifths of the third quartile, with an end mark."""
@@ -53,24 +60,67 @@ def recognised_paragraphs(text: pd.Series) -> pd.Series:
 
 def case_title(title: Column) -> Column:
     """struct(date, complaint) of a title of name, eight digits and complaint; null for others. The name doesn't come out."""
-    date = r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
-    name = F.regexp_replace(F.regexp_replace(F.regexp_extract(title, rf"^(.*?){date}", 1), r"^[ _\-－,，]+|[ _\-－,，]+$", ""), "^$", "")
-    named = name.rlike(r"[A-Za-zＡ-Ｚａ-ｚ]") | (name.rlike(r"^[\x{3400}-\x{9fff}]{2,3}$") & ~name.isin("醫案", "医案", "病案", "病例", "病患", "診療", "诊疗", "日誌", "日志"))
-    rest = F.regexp_extract(title, rf"^.*?{date}(.*)$", 4)
-    rest = F.regexp_replace(F.regexp_replace(rest, r"^\s*[~～]\s*(?:19|20)\d{6}", ""), r"^[\s_\-－]*(?:\d{1,2}[_\-－])?", "")
-    shown = F.concat_ws("-", *[F.regexp_extract(title, date, i) for i in (1, 2, 3)])
-    return F.when(title.rlike(date) & named, F.struct(shown.alias("date"), F.regexp_replace(rest, r"^[ _\-－,，]+|[ _\-－,，]+$", "").alias("complaint")))
-
-
-def short_section(section: Column, most: int = 20, head: int = 10) -> Column:
-    """A section without time codes, at most `most` characters: an article keeps its number and its first words, a short first
-    level stays before a clipped second."""
-    t = trimmed(F.regexp_replace(F.regexp_replace(F.coalesce(section, F.lit("")), r"\s*[（(]\s*\d+\s*[-－]\s*\d{1,2}:\d{2}:\d{2}\s*[）)]", ""), r"\s+", " "))
-    article = r"(?:^|\s)((?:[一二三四五六七八九十百〇零]{1,5}|\d{1,3})[：:])\s*(\S.*)$"
-    first = F.regexp_extract(t, r"^(\S+) (.*)$", 1)
-    second = F.regexp_extract(t, r"^(\S+) (.*)$", 2)
-    two = F.when(F.length(first) <= head, F.concat(first, F.lit(" "), F.when(F.length(second) <= F.lit(most) - F.length(first) - 1, second).otherwise(F.concat(F.regexp_replace(F.substring(second, F.lit(1), F.lit(most) - F.length(first) - 1), "[ ,，、：:;；]+$", ""), F.lit("…"))))).otherwise(clip(second, most))
-    return F.when(t.rlike(article), F.concat(F.regexp_extract(t, article, 1), clip(F.regexp_extract(t, article, 2), 10))).when((F.length(t) <= most) | ~t.contains(" "), clip(t, most)).otherwise(two)
+    edge = r"^[ _\-－,，]+|[ _\-－,，]+$"
+
+    def parts(t: Column) -> Column:
+        name = F.regexp_replace(F.regexp_extract(t, rf"^(.*?){TITLE_DATE}", 1), edge, "")
+        named = once(name, lambda x: x.rlike(r"[A-Za-zＡ-Ｚａ-ｚ]") | (x.rlike(r"^[\x{3400}-\x{9fff}]{2,3}$") & ~x.isin(*NO_NAMES)))
+        rest = F.regexp_extract(t, rf"^.*?{TITLE_DATE}(.*)$", 4)
+        rest = F.regexp_replace(F.regexp_replace(rest, r"^\s*[~～]\s*(?:19|20)\d{6}", ""), r"^[\s_\-－]*(?:\d{1,2}[_\-－])?", "")
+        shown = F.concat_ws("-", *[F.regexp_extract(t, TITLE_DATE, i) for i in (1, 2, 3)])
+        return F.when(t.rlike(TITLE_DATE) & named, F.struct(shown.alias("date"), F.regexp_replace(rest, edge, "").alias("complaint")))
+
+    return once(title, parts)
+
+
+def halves(text: str) -> set[int]:
+    """Where brackets stand whose other half is missing: closers with nothing open before them, openers with nothing left to close them."""
+    out = set()
+    for left, right in zip(BRACKETS[::2], BRACKETS[1::2], strict=True):
+        for steps, begin in ((range(len(text)), left), (range(len(text) - 1, -1, -1), right)):
+            ends, waiting = right if begin == left else left, 0
+            for i in steps:
+                if text[i] == begin:
+                    waiting += 1
+                elif text[i] == ends:
+                    if waiting:
+                        waiting -= 1
+                    else:
+                        out.add(i)
+    return out
+
+
+@F.pandas_udf(StringType())
+def balanced(text: pd.Series) -> pd.Series:
+    """Without the brackets whose other half is missing."""
+
+    def one(t: str | None) -> str | None:
+        gone = halves(t) if t else None
+        return "".join(c for i, c in enumerate(t) if i not in gone) if gone else t
+
+    return text.map(one)
+
+
+def short_section(section: Column, most: int = 20, words: int = 10) -> Column:
+    """A section as a citation shows it, in at most about `most` characters: no time codes, no half brackets. An article is its number and
+    its first `words` characters. A longer section of two levels keeps its first level, if that has at most `words`
+    characters, before what fits of the second; else only the second. Null becomes empty."""
+    plain = trimmed(F.regexp_replace(F.regexp_replace(F.coalesce(section, F.lit("")), TIME_CODE, ""), r"\s+", " "))
+
+    def shown(t: Column) -> Column:
+        level = F.split(t, " ", 2)
+        first, second = F.get(level, F.lit(0)), F.get(level, F.lit(1))
+        room = F.lit(most) - F.length(first) - 1
+        fitted = F.when(F.length(second) <= room, second).otherwise(F.concat(F.regexp_replace(F.substring(second, F.lit(1), room), "[ ,，、：:;；]+$", ""), F.lit("…")))
+        return (
+            F.when(t.rlike(ARTICLE), F.concat(F.regexp_extract(t, ARTICLE, 1), clip(F.regexp_extract(t, ARTICLE, 2), words)))
+            .when((F.length(t) <= most) | second.isNull(), clip(t, most))
+            .when(F.length(first) <= words, F.concat(first, F.lit(" "), fitted))
+            .otherwise(clip(second, most))
+        )
+
+    # only sections with brackets go through Python
+    return once(F.when(plain.rlike(r"[【】\[\]（）()]"), balanced(plain)).otherwise(plain), shown)
 
 
 def repaired_name(name: str) -> str:

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.functions import text as X
+from quillspark.functions.fixed import NUMBERED
+from quillspark.functions.numerals import number_of
 
 
-def containment_join(left: DataFrame, right: DataFrame, threshold: float, left_key: str = "id", right_key: str = "id", left_text: str = "text", right_text: str = "text") -> DataFrame:
-    """(a, b, score): pairs where at least `threshold` of the left text's distinct pairs of characters are in the right's.
+#: Pairs of characters of the left side, all texts together, up to which they are broadcast.
+LEFT_GRAMS = 20_000_000
 
-    Exact, by prefix filtering: whoever holds `need` of a set of n holds at least k of any n - need + k of its members. The rarest
-    such members are joined on and counted, k being half the need, and the few pairs that reach k are verified. So the most
-    common members, which most texts share, are never joined on. Texts without pairs match nothing.
+
+def _packed(text: str) -> Column:
+    """The distinct pairs of characters as numbers."""
+    return F.transform(X.bigrams(F.col(text)), lambda g: F.ascii(g).cast("bigint") * 2097152 + F.ascii(F.substring(g, 2, 1)))
+
+
+def containment_join(left: DataFrame, right: DataFrame, threshold: float, left_key: str = "id", right_key: str = "id", left_text: str = "text", right_text: str = "text", most: int = LEFT_GRAMS) -> DataFrame:
+    """(a, b, score): pairs where at least `threshold` of the left text's distinct pairs of characters are in the right's. Exact.
+
+    The left side is a stated set of queries against all of the right. While it has at most `most` pairs of characters, it is broadcast as
+    posting lists, and every right text counts its hits in them where it is read: nothing is shuffled. Beyond that, by prefix
+    filtering: whoever holds `need` of a set of n holds at least k of any n - need + k of its members; the rarest such
+    members are joined on and counted, k being half the need, and the few pairs that reach k are verified. Texts without pairs
+    match nothing.
     """
-    packed = lambda text: F.transform(X.bigrams(F.col(text)), lambda g: F.ascii(g).cast("bigint") * 2097152 + F.ascii(F.substring(g, 2, 1)))
-    a = left.select(F.col(left_key).alias("a"), packed(left_text).alias("sa")).where("size(sa) > 0")
-    b = right.select(F.col(right_key).alias("b"), packed(right_text).alias("sb")).where("size(sb) > 0")
+    a = left.select(F.col(left_key).alias("a"), _packed(left_text).alias("sa")).where("size(sa) > 0")
+    b = right.select(F.col(right_key).alias("b"), _packed(right_text).alias("sb")).where("size(sb) > 0")
+    if (a.agg(F.sum(F.size("sa").cast("bigint")).alias("n")).first().n or 0) <= most:
+        return _counted(a, b, threshold)
     held = b.select("b", F.explode("sb").alias("g"))
     common = held.groupBy("g").agg(F.count("*").alias("df"))
     wanted = a.select("a", F.size("sa").alias("n"), F.explode("sa").alias("g")).join(common, "g", "left").fillna({"df": 0})
@@ -34,6 +53,44 @@ def containment_join(left: DataFrame, right: DataFrame, threshold: float, left_k
     return scored.where(F.col("score") >= threshold - 1e-9).select("a", "b", "score")
 
 
+def _counted(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of containment_join with the left side broadcast."""
+    rows = a.collect()
+    sizes = np.array([len(r.sa) for r in rows], np.int64)
+    grams = np.fromiter((g for r in rows for g in r.sa), np.int64, int(sizes.sum()))
+    own = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    order = np.argsort(grams, kind="stable")
+    known, starts = np.unique(grams[order], return_index=True)
+    need = np.ceil(threshold * sizes - 1e-9)
+    kind = a.schema["a"].dataType
+    shared = a.sparkSession.sparkContext.broadcast((known, np.append(starts, len(grams)), own[order], sizes, need, pa.array([r.a for r in rows], to_arrow_type(kind))))
+    schema = StructType([StructField("a", kind), StructField("b", b.schema["b"].dataType), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, starts, lists, sizes, need, keys = shared.value
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            flat = batch.column(1).flatten().to_numpy()
+            where = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            there = known[where] == flat if len(known) else np.zeros(len(flat), bool)
+            ends = np.cumsum(lengths)
+            out_a, out_b, scores = [], [], []
+            for i, (lo, hi) in enumerate(zip(ends - lengths, ends, strict=True)):
+                at = where[lo:hi][there[lo:hi]]
+                if not len(at):
+                    continue
+                hits = np.bincount(np.concatenate([lists[starts[j] : starts[j + 1]] for j in at.tolist()]), minlength=len(sizes))
+                good = np.flatnonzero((hits >= need) & (hits > 0))
+                out_a.append(good)
+                out_b.append(np.full(len(good), i))
+                scores.append(hits[good] / sizes[good])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(out_a))), batch.column(0).take(pa.array(np.concatenate(out_b))), pa.array(np.concatenate(scores))], schema=arrow)
+
+    return b.select("b", "sb").mapInArrow(run, schema)
+
+
 def best_per_left(links: DataFrame, n: int) -> DataFrame:
     """The n best of each left key; ties by the right key."""
     return links.withColumn("n_", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("n_") <= n).drop("n_")
@@ -87,18 +144,20 @@ def ordered_best(candidates: DataFrame, group: str) -> DataFrame:
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, column: str, prefix: str, values: list[str]) -> DataFrame:
     """Distinct values of `column` with those of the longest prefix they begin with, null for none.
 
-    An equality join on the value's own prefixes of the lengths that occur, so neither side is compared with all of the other.
+    An equality join on each value's own prefixes, so neither side is compared with all of the other.
     """
-    sizes = [r.n for r in prefixes.select(F.length(prefix).alias("n")).distinct().limit(1000).collect()]
-    every = rows.select(column).distinct().withColumn("n_", F.explode(F.array(*[F.lit(n) for n in sizes]))).where(F.length(column) >= F.col("n_"))
+    distinct = rows.select(column).distinct()
+    every = distinct.select(column, F.explode(F.sequence(F.lit(0), F.length(column))).alias("n_"))
     met = every.withColumn("p_", F.substring(F.col(column), F.lit(1), F.col("n_"))).join(prefixes.select(F.col(prefix).alias("p_"), *values), "p_")
     best = met.groupBy(column).agg(F.max_by(F.struct(*values), "n_").alias("v_"))
-    return rows.select(column).distinct().join(best, column, "left").select(column, *[F.col("v_")[v].alias(v) for v in values])
+    return distinct.join(best, column, "left").select(column, *[F.col("v_")[v].alias(v) for v in values])
 
 
-def upserted(links: DataFrame) -> DataFrame:
-    """One link of each classic and target: of links made again the one with the higher score."""
-    return links.groupBy("classic_id", "target_id").agg(F.max(F.struct("score", "target_kind", "method", "lecture_number")).alias("v")).select("classic_id", "target_id", "v.target_kind", "v.score", "v.method", "v.lecture_number")
+def upserted(links: DataFrame, order: str | None = None) -> DataFrame:
+    """One link of each classic and target: of links made again the one that comes last by `order`. A table without an order has no last
+    one; then the one with the higher score stays."""
+    by = F.struct(*([order] if order else []), "score", "target_kind", "method", "lecture_number")
+    return links.groupBy("classic_id", "target_id").agg(F.max(by).alias("v")).select("classic_id", "target_id", "v.target_kind", "v.score", "v.method", "v.lecture_number")
 
 
 def commentary(links: DataFrame, chunks: DataFrame, n: int = 6) -> DataFrame:
@@ -117,25 +176,43 @@ def coverage(links: DataFrame, classics: DataFrame) -> DataFrame:
     return met.join(F.broadcast(total)).select("target_kind", "linked", (F.col("linked") / F.col("total")).alias("rate"))
 
 
-def term_links(classics: DataFrame, targets: DataFrame, terms: DataFrame, n: int = 3, numbered: str = "[一二三四五六七八九十百千〇零0-9]{1,5}[、：]\\s*") -> DataFrame:
-    """(classic_id, target_id, kind, score): passages that name a classic's term, the best n of each classic and kind.
+def term_links(classics: DataFrame, targets: DataFrame, terms: DataFrame, n: int = 3, numbered: str = "[一二三四五六七八九十百千〇零\\d]{1,5}[、：]\\s*", strict: Column | None = None) -> DataFrame:
+    """(classic_id, target_id, kind, score): passages that name a classic's term, the best n of each classic and kind; ties by row.
 
-    `terms` (term, alias) is a dimension. Passages are matched to aliases by their own substrings of the alias lengths, an equality
-    join; the score adds a heading, an early mention, the passage before, and how much of the classic is in the passage.
+    `terms` (term, alias) is a dimension. Passages, and the passages before them in their source, are matched to aliases by their own
+    substrings of the alias lengths, an equality join. A passage qualifies by naming the term early (in its first 80
+    characters or at its section's end); where `strict` holds (of the columns `book`, the classic's title, and kind) by a numbered heading of
+    the term in it or in the passage before, even if it doesn't name the term itself. The score adds a heading, an early mention, the
+    passage before, and how much of the classic is in the passage.
     """
-    sizes = [r.n for r in terms.select(F.length("alias").alias("n")).distinct().limit(100).collect()]
+    sizes = [r.n for r in terms.select(F.length("alias").alias("n")).distinct().orderBy("n").collect()]
+    if not sizes:
+        sizes = [1]
     w = Window.partitionBy("kind", "source").orderBy("row")
-    rows = targets.select("row", "id", "kind", "source", "text", F.coalesce("section", F.lit("")).alias("place")).withColumn("earlier", F.lag("text").over(w))
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n_ + 1, F.lit(1))), lambda i, n_=n_: F.substring(F.col("text"), i, F.lit(n_))) for n_ in sizes])))
-    named = rows.select("row", F.explode(grams).alias("alias")).join(terms, "alias").select("row", "alias", "term")
+    rows = targets.select("row", "id", "kind", "source", "text", F.coalesce("section", F.lit("")).alias("place")).withColumn("earlier", F.coalesce(F.lag("text").over(w), F.lit("")))
+    grams = lambda c: F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n_ + 1, F.lit(1))), lambda i, n_=n_: F.substring(F.col(c), i, F.lit(n_))) for n_ in sizes]))
+    named = rows.select("row", F.explode(F.array_distinct(F.concat(grams("text"), grams("earlier"), F.array(F.element_at(F.split("place", r"\s+"), -1))))).alias("alias")).join(terms, "alias").select("row", "alias", "term")
     head = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit(numbered), F.regexp_replace("alias", r"([\\.^$|?*+()\[\]{}])", r"\\$1"))), F.lit(False))
-    hits = named.join(rows, "row").withColumns({"heading": head(F.col("text")), "nearby": head(F.col("earlier")), "early": F.contains(F.substring("text", 1, 80), F.col("alias")) | F.endswith(F.col("place"), F.col("alias"))}).where("heading or early")
-    of = classics.where("section is not null").select(F.col("id").alias("classic_id"), F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1).alias("term"), X.bigrams(F.substring("text", 1, 100)).alias("sa")).distinct()
-    scored = of.join(hits, "term").withColumn("score", F.round(0.35 + 0.25 * F.col("heading").cast("int") + 0.15 * F.col("early").cast("int") + 0.1 * F.col("nearby").cast("int") + 0.15 * X.containment(F.col("sa"), X.bigrams(F.col("text"))), 3))
+    hits = named.join(rows, "row").withColumns({"heading": head(F.col("text")), "nearby": head(F.col("earlier")), "early": F.contains(F.substring("text", 1, 80), F.col("alias")) | (F.element_at(F.split("place", r"\s+"), -1) == F.col("alias")), "holds": F.contains(F.col("text"), F.col("alias"))})
+    of_term = hits.groupBy("row", "id", "kind", "text", "term").agg(*[F.max(c).alias(c) for c in ("heading", "nearby", "early", "holds")])
+    of = classics.where("section is not null").select(F.col("id").alias("classic_id"), F.col("title").alias("book"), F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1).alias("term"), X.bigrams(F.substring("text", 1, 100)).alias("sa")).distinct()
+    met = of.join(of_term, "term")
+    by_heading = F.lit(False) if strict is None else F.coalesce(strict, F.lit(False))
+    near = F.col("nearby") & by_heading
+    met = met.withColumn("near", near).where(F.when(by_heading, F.col("heading") | F.col("near")).otherwise(F.col("early"))).where(F.col("holds") | F.col("near"))
+    scored = met.withColumn("score", F.round(0.35 + 0.25 * F.col("heading").cast("int") + 0.15 * F.col("early").cast("int") + 0.1 * F.col("near").cast("int") + 0.15 * X.containment(F.col("sa"), X.bigrams(F.col("text"))), 3))
     best = scored.groupBy("classic_id", "kind", "row", "id").agg(F.max("score").alias("score"))
     return best.withColumn("n_", F.row_number().over(Window.partitionBy("classic_id", "kind").orderBy(F.desc("score"), "row"))).where(F.col("n_") <= n).select("classic_id", F.col("id").alias("target_id"), "kind", "score")
 
 
+def lecture_entries(lectures: DataFrame) -> DataFrame:
+    """(row, id, at, number, body): the numbered lines of lecture passages, whose text has a key of at least eight characters."""
+    found = lambda g: F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(g))
+    lines = lectures.select("row", "id", F.posexplode(F.arrays_zip(found(1).alias("n"), found(2).alias("body"))).alias("at", "x"))
+    entries = lines.select("row", "id", "at", number_of(F.col("x.n")).alias("number"), F.regexp_replace(F.col("x.body"), r"^[」\"” ]+|[」\"” ]+$", "").alias("body"))
+    return entries.where((F.col("number") > 0) & (F.length(X.compact(F.col("body"))) >= 8))
+
+
 def course_links(classics: DataFrame, transcripts: DataFrame, threshold: float = 0.38, most: int = 7, needle: int = 160, chained: Callable[[DataFrame, str], DataFrame] = ordered_best) -> DataFrame:
     """(book, classic_id, target_id, score): passages that hold a classic unit, in one order for each book."""
     units = classics.select("source", F.col("row").alias("x"), F.col("id").alias("classic_id"), F.substring("text", 1, needle).alias("text")).where(F.length(X.compact(F.col("text"))) >= 12)
@@ -144,3 +221,62 @@ def course_links(classics: DataFrame, transcripts: DataFrame, threshold: float =
     targets = transcripts.select(F.col("row").alias("b"), F.col("id").alias("target_id"))
     candidates = found.join(books, "a").join(targets, "b").select("book", F.col("a").alias("x"), F.col("b").alias("y"), "score", "classic_id", "target_id")
     return chained(candidates, "book").select("book", "classic_id", "target_id", F.round("score", 3).alias("score"))
+
+
+def numbered_links(classics: DataFrame, lectures: DataFrame, threshold: float = 0.64, most: int = 8) -> DataFrame:
+    """(classic_id, target_id, target_kind, score, method, lecture_number): the numbered lines of lectures with the classic unit that holds
+    them, in one order for the whole table. An entry keeps its best `most` units before the order is looked for."""
+    entries = lecture_entries(lectures).withColumn("x", F.col("row") * 10_000 + F.col("at"))
+    found = best_per_left(containment_join(entries.select("x", F.col("body").alias("text")), classics.select("row", "text"), threshold, "x", "row"), most)
+    candidates = found.select(F.lit(0).alias("book"), F.col("a").alias("x"), F.col("b").alias("y"), "score")
+    best = ordered_best(candidates, "book")
+    return best.join(entries.select("x", F.col("id").alias("target_id"), "number"), "x").join(classics.select(F.col("row").alias("y"), F.col("id").alias("classic_id")), "y").select(
+        "classic_id", "target_id", F.lit("document").alias("target_kind"), F.round("score", 3).alias("score"), F.lit("numbered").alias("method"), F.col("number").cast("string").alias("lecture_number")
+    )
+
+
+def book_links(classics: DataFrame, lectures: DataFrame, transcripts: DataFrame, few: int = 20) -> DataFrame:
+    """The links of one book from three matchers: numbered lines of its lectures (0.64); where there are fewer than `few` of those,
+    units in passages of lectures (the first 180 characters, 0.53); units in transcripts (the first 160, 0.38)."""
+    shape = lambda d, kind, method: d.select("classic_id", "target_id", F.lit(kind).alias("target_kind"), "score", F.lit(method).alias("method"), F.lit(None).cast("string").alias("lecture_number"))
+    out = numbered_links(classics, lectures)
+    if lecture_entries(lectures).limit(few).count() < few:
+        out = out.unionByName(shape(course_links(classics, lectures, 0.53, 6, 180), "document", "direct"))
+    return out.unionByName(shape(course_links(classics, transcripts), "transcript", "transcript"))
+
+
+def named_sections(classics: DataFrame, targets: DataFrame, book: str, gap: int = 8, score: float = 0.9) -> DataFrame:
+    """(classic_id, target_id, target_kind, score): passages that name the book and, at most `gap` characters other than numerals
+    on, a unit's section. Passages are matched to sections by an equality join on what follows the book's name."""
+    sections = classics.where("section is not null").select(F.col("id").alias("classic_id"), "section")
+    sizes = [r.n for r in sections.select(F.length("section").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    after = F.regexp_extract_all("text", F.lit(f"(?={re.escape(book)}([^一二三四五六七八九十百千〇零\\d]{{0,{gap}}}.{{0,{max(sizes, default=1) + 1}}}))"), F.lit(1))
+    places = targets.select("id", "kind", F.explode(after).alias("rest"))
+    starts = places.select("id", "kind", "rest", F.explode(F.sequence(F.lit(1), F.lit(gap + 2))).alias("i"))
+    said = starts.select("id", "kind", "rest", "i", F.explode(F.array(*[F.lit(n) for n in sizes or [1]])).alias("n")).select("id", "kind", F.substring("rest", 1, F.col("i") - 1).alias("before"), F.substring("rest", F.col("i"), F.col("n")).alias("section"), "n")
+    fits = said.where((F.length("section") == F.col("n")) & F.regexp_like("before", F.lit(f"^[^一二三四五六七八九十百千〇零\\d]{{0,{gap}}}第?$")))
+    return fits.join(sections, "section").select("classic_id", F.col("id").alias("target_id"), F.col("kind").alias("target_kind"), F.lit(score).alias("score")).distinct()
+
+
+def unique_numbers(units: DataFrame, entries: DataFrame, unit: str = "unit", order: str = "unit") -> DataFrame:
+    """(unit, number): units (unit, text) that get the number of an entry (number, text) of equal key, where just one is left.
+
+    Of the units with one key each takes a number only if exactly one entry has the key, and then the first of them; so every number is
+    given once. The rest is found by anti joins on either side.
+    """
+    keyed = lambda d: d.withColumn("key", X.compact(F.col("text"))).where("key <> ''")
+    one = keyed(entries).groupBy("key").agg(F.count("*").alias("n"), F.min("number").alias("number")).where("n = 1")
+    first = keyed(units).withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(order))).where("k = 1")
+    return first.join(one, "key").select(unit, "number")
+
+
+def link_report(links: DataFrame, classics: DataFrame) -> DataFrame:
+    """(book, units, kind, linked, rate, unlinked): of each book and kind of target the linked units, their part, and the unit numbers
+    (unit_ids, JSON) of classics that nothing is linked to. A book is bounded."""
+    books = classics.groupBy(F.col("title").alias("book")).agg(F.countDistinct("id").alias("units"))
+    of = links.join(classics.select(F.col("id").alias("classic_id"), F.col("title").alias("book")).distinct(), "classic_id")
+    linked = of.groupBy("book", F.col("target_kind").alias("kind")).agg(F.countDistinct("classic_id").alias("linked"))
+    alone = classics.join(links.select(F.col("classic_id").alias("id")).distinct(), "id", "left_anti")
+    missing = alone.select(F.col("title").alias("book"), F.explode_outer(F.from_json("unit_ids", "array<string>")).alias("u")).groupBy("book").agg(F.sort_array(F.collect_set("u")).alias("unlinked"))
+    both = books.join(linked, "book", "left").join(missing, "book", "left")
+    return both.select("book", "units", "kind", F.coalesce("linked", F.lit(0)).alias("linked"), F.round(F.coalesce("linked", F.lit(0)) / F.col("units"), 4).alias("rate"), F.coalesce("unlinked", F.array().cast("array<string>")).alias("unlinked"))

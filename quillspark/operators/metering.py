@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.dedupe import last_wins
+from quillspark.operators.windows import folded
 
 
 def parsed(log: DataFrame) -> DataFrame:
@@ -34,8 +37,16 @@ def error_kind(error: Column) -> Column:
     return F.when(error.isNull(), "ok").when(e.rlike("quota|rate.?limit|429"), "quota").when(e.rlike("timeout|connection|network|unavailable|50[234]"), "network").when(e == "", "empty").otherwise("other")
 
 
-def provider(model: Column) -> Column:
-    return F.when(model.isNull(), "unknown").otherwise(F.regexp_extract(model, "^([^-]+)", 1))
+#: What a model's name begins with and its provider, as a parameter: each deployment has its own.
+PROVIDERS = {"quill-": "quill", "reed-": "reed"}
+
+
+def provider(model: Column, known: dict[str, str] | None = None) -> Column:
+    """The provider by the model's prefix; other for any other model and for none."""
+    out = F.lit("other")
+    for prefix, name in (PROVIDERS if known is None else known).items():
+        out = F.when(F.startswith(model, F.lit(prefix)), name).otherwise(out)
+    return out
 
 
 def usage(log: DataFrame) -> DataFrame:
@@ -50,17 +61,29 @@ def progress(rows: DataFrame, keys: list[str], done_hours: Column, wall_hours: C
     return s.select(*keys, "items", F.when(F.col("w") > 0, F.col("d") / F.col("w")).alias("speed"))
 
 
+class Alerts:
+    """Of one key's rows in order those that send. Holds whether it is active and when it last sent."""
+
+    def __init__(self, resend_micros: int) -> None:
+        self.resend, self.active, self.sent = resend_micros, False, 0
+
+    def step(self, row: dict) -> Iterator[dict]:
+        if row["active_"] and (not self.active or row["micros_"] - self.sent >= self.resend):
+            self.sent = row["micros_"]
+            yield {c: v for c, v in row.items() if c not in ("active_", "micros_")}
+        self.active = bool(row["active_"])
+
+    def end(self) -> Iterator[dict]:
+        return iter(())
+
+
 def alerts(rows: DataFrame, keys: list[str], ts: str, order: list[str], active: Column, resend_seconds: int = 6 * 3600) -> DataFrame:
-    """rows that send: on each rising edge, and while active again once more than `resend_seconds` passed since the edge, once for
-    each such span; cleared when inactive."""
-    w = Window.partitionBy(*keys).orderBy(ts, *order)
-    some = rows.withColumn("a_", F.coalesce(active, F.lit(False)))
-    edged = some.withColumn("edge_", F.col("a_") & ~F.coalesce(F.lag("a_").over(w), F.lit(False)))
-    begun = edged.withColumn("since_", F.last(F.when(F.col("edge_"), F.col(ts)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    passed = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("since_").cast("timestamp"))) / (resend_seconds * 1_000_000))
-    counted = begun.withColumn("span_", F.when(F.col("a_"), passed))
-    again = F.col("a_") & (F.col("edge_") | (F.col("span_") > F.coalesce(F.lag("span_").over(w), F.lit(0))))
-    return counted.withColumn("send_", again).where("send_").drop("a_", "edge_", "since_", "span_", "send_")
+    """(keys, order) of the rows that send: on each rising edge, and while active again once `resend_seconds` have passed since the last
+    one was sent; cleared when inactive. Each decision depends on the one before, so this is a fold over the rows of a key."""
+    columns = [*keys, *order]
+    some = rows.select(*columns, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros_"), F.coalesce(active, F.lit(False)).alias("active_"))
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return folded(some, keys, ["micros_", *order], fields, lambda: Alerts(resend_seconds * 1_000_000))
 
 
 def longest_countdown(text: Column) -> Column:

@@ -1,19 +1,26 @@
-"""Keyword search (BM25 over pairs of characters), vector search, rank fusion, neighbours, short ids."""
+"""Keyword search (BM25 over pairs of characters) on an index, vector search, rank fusion, neighbours, short ids, citations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions import vectors as V
+from quillspark.operators.layout import case_title, short_section
 
 K1, B, FUSION = 1.2, 0.75, 60
 KINDS = ("transcript", "document", "classic")
 
 
+#: Parts of the index by a term's first character, and rows of one of its files.
+PARTS, FILE_ROWS = 64, 4_000_000
+
+
 def postings(rows: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
-    """(term, key, tf): the index; write it sorted or bucketed by term for pruning."""
+    """(term, key, tf): how often each term stands in each row."""
     return rows.select(key, F.explode(X.tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
@@ -22,41 +29,104 @@ def lengths(rows: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
     return rows.select(key, F.size(X.tokens(F.col(text))).alias("size"))
 
 
-def bm25(rows: DataFrame, question: str, key: str = "row", text: str = "text", kind: str | None = None, limit: int | None = 50) -> DataFrame:
-    """(key, score) of the best rows for an OR of the question's terms; ties by key.
+def _part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(parts)).cast("int")
+
 
-    Each row is reduced to its size and its terms' counts in the scan, by regular expressions over the folded text: a pair of Han
-    characters is a token wherever it stands, so no token is ever made. A prefix term counts all tokens that begin so. Statistics
-    are the whole corpus's, also with a kind, which filters afterwards. No terms, no rows.
+def write_index(rows: DataFrame, folder: str, key: str = "row", text: str = "text", kind: str | None = "kind", parts: int = PARTS) -> None:
+    """The inverted index of rows below a folder: postings (term, key, tf, size, kind) and one row of figures.
+
+    A posting holds its row's size and kind, so a search joins nothing. Postings are put into parts by their term's first character and
+    sorted by term over all files of a part: what a search reads is pruned by the part's folder, then by the files' statistics. A
+    frequent term is spread over as many files as it fills.
     """
+    of_kind = F.col(kind) if kind and kind in rows.columns else F.lit(None).cast("string")
+    tokens = rows.select(F.col(key).alias("key"), of_kind.alias("kind"), X.tokens(F.col(text)).alias("tokens")).withColumn("size", F.size("tokens"))
+    terms = tokens.select("key", "kind", "size", F.explode("tokens").alias("term")).groupBy("term", "key", "kind", "size").agg(F.count("*").cast("int").alias("tf"))
+    placed = terms.withColumn("part", _part(F.col("term"), parts)).repartitionByRange("part", "term", "key").sortWithinPartitions("part", "term", "key")
+    placed.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").parquet(f"{folder}/postings")
+    tokens.agg(F.count("*").alias("count"), F.avg("size").alias("mean"), F.bit_xor(F.xxhash64("key", "size")).alias("digest")).withColumn("parts", F.lit(parts)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+
+
+@dataclass
+class Index:
+    """An index that write_index() wrote."""
+
+    postings: DataFrame
+    count: int
+    mean: float
+    digest: int
+    parts: int
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    figures = spark.read.parquet(f"{folder}/meta").first()
+    return Index(spark.read.parquet(f"{folder}/postings"), figures["count"], figures.mean or 0.0, figures.digest, figures.parts)
+
+
+def _checked(question: str, kind: str | None) -> list[tuple[str, bool]]:
     if kind is not None and kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
-    terms = X.query_terms(question)
-    if not terms:
-        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
-    of_kind = [F.col("kind")] if kind else []
-    folded = rows.select(key, *of_kind, F.coalesce(X.fold(F.col(text)), F.lit("")).alias("folded"))
-    size = F.length(F.regexp_replace("folded", f"[^{X.HAN}]", "")) + F.regexp_count("folded", F.lit("[0-9a-z]+"))
+    return X.query_terms(question)
 
-    def hits(term: str, prefix: bool) -> Column:
-        pattern = f"(?={term})" if not term.isascii() else rf"(?<![0-9a-z]){term}{'' if prefix else '(?![0-9a-z])'}"
-        return F.regexp_count("folded", F.lit(pattern))
 
-    counted = folded.select(key, *of_kind, size.alias("size"), *[hits(*t).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))])
+def _scored(counted: DataFrame, terms: list[tuple[str, bool]], count: Column, mean: Column, kind: str | None, key: str, limit: int | None) -> DataFrame:
+    """(key, score) from rows with their size and the terms' counts f0, f1, ...; the statistics are one row."""
+    stats = counted.agg(count.alias("n"), mean.alias("mean"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))])
 
     def part(i: int) -> Column:
         f, n = F.col(f"f{i}"), F.col(f"n{i}")
         idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
         return F.when(idf > 0, idf).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.col("mean")))
 
-    # the statistics are one row, whatever the corpus
     scored = counted.join(F.broadcast(stats)).where(" or ".join(f"f{i} > 0" for i in range(len(terms))))
     out = scored.where(F.col("kind") == kind) if kind else scored
     out = out.select(key, sum((part(i) for i in range(1, len(terms))), part(0)).alias("score"))
     return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
 
 
+def bm25_indexed(index: Index, question: str, kind: str | None = None, limit: int | None = 50, key: str = "row") -> DataFrame:
+    """(key, score) of the best rows for an OR of the question's terms; ties by key.
+
+    Only the postings of the terms are read. A prefix term counts all tokens that begin so. Statistics are the whole corpus's,
+    also with a kind, which filters afterwards. No terms, no rows.
+    """
+    terms = _checked(question, kind)
+    p = index.postings
+    if not terms:
+        return p.select(F.col("key").alias(key), F.lit(0.0).alias("score")).limit(0)
+    whole, begins = [t for t, prefix in terms if not prefix], [t for t, prefix in terms if prefix]
+    wanted = [F.col("term").isin(whole)] if whole else []
+    wanted += [F.col("term").startswith(t) for t in begins]
+    some = wanted[0]
+    for w in wanted[1:]:
+        some = some | w
+    spark = p.sparkSession
+    parts = [r.part for r in spark.createDataFrame([(t,) for t, _ in terms], "term string").select(_part(F.col("term"), index.parts).alias("part")).distinct().collect()]
+    hits = p.where(F.col("part").isin(parts)).where(some)
+    is_term = lambda t, prefix: F.col("term").startswith(t) if prefix else F.col("term") == t
+    counted = hits.groupBy("key", "kind", "size").agg(*[F.coalesce(F.sum(F.when(is_term(*t), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, t in enumerate(terms)])
+    return _scored(counted.withColumnRenamed("key", key), terms, F.lit(index.count), F.lit(index.mean), kind, key, limit)
+
+
+def bm25(rows: DataFrame, question: str, key: str = "row", text: str = "text", kind: str | None = None, limit: int | None = 50) -> DataFrame:
+    """bm25_indexed() without an index, for small frames: every row is reduced to its size and its terms' counts in the scan, by regular
+    expressions over the folded text; a pair of Han characters is a token wherever it stands."""
+    terms = _checked(question, kind)
+    if not terms:
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+    of_kind = [F.col("kind")] if kind else []
+    folded = rows.select(key, *of_kind, F.coalesce(X.fold(F.col(text)), F.lit("")).alias("folded"))
+    size = F.length(F.regexp_replace("folded", f"[^{X.HAN}]", "")) + F.regexp_count("folded", F.lit("[0-9a-z]+"))
+
+    def hits(term: str, prefix: bool) -> Column:
+        pattern = f"(?={term})" if not term.isascii() else rf"(?<![0-9a-z]){term}{'' if prefix else '(?![0-9a-z])'}"
+        return F.regexp_count("folded", F.lit(pattern))
+
+    counted = folded.select(key, *of_kind, size.alias("size"), *[hits(*t).alias(f"f{i}") for i, t in enumerate(terms)])
+    return _scored(counted, terms, F.count("*"), F.avg("size"), kind, key, limit)
+
+
 def vector_top(rows: DataFrame, query: list[float], key: str = "vec_id", vec: str = "embedding", where: Column | None = None, limit: int = 50) -> DataFrame:
     """(key, score): largest dot products with the normalised query; the filter comes before the top."""
     n = sum(v * v for v in query) ** 0.5
@@ -80,9 +150,10 @@ def fused(rankings: dict[str, DataFrame], key: str = "row", k: int | None = None
     return out.limit(k) if k else out
 
 
-def hybrid(rows: DataFrame, question: str, vectors: DataFrame | None, embed, key: str = "row", k: int = 10, kind: str | None = None) -> tuple[DataFrame, str, str | None]:
-    """(rows of the best k with score, 'hybrid' or 'bm25', what went wrong): any failure of the vector side leaves keyword search."""
-    ranks = {"bm25": bm25(rows, question, key, kind=kind)}
+def hybrid(rows: DataFrame, question: str, vectors: DataFrame | None, embed, key: str = "row", k: int = 10, kind: str | None = None, index: Index | None = None) -> tuple[DataFrame, str, str | None]:
+    """(rows of the best k with score, 'hybrid' or 'bm25', what went wrong): any failure of the vector side leaves keyword search. With an
+    index of the rows its postings are read, without one the rows."""
+    ranks = {"bm25": bm25(rows, question, key, kind=kind) if index is None else bm25_indexed(index, question, kind, key=key)}
     mode, wrong = "bm25", None
     try:
         if vectors is None:
@@ -96,19 +167,41 @@ def hybrid(rows: DataFrame, question: str, vectors: DataFrame | None, embed, key
     return rows.join(F.broadcast(best), key).orderBy(F.desc("score"), key), mode, wrong
 
 
+#: Rows of one bucket in which runs are looked for at once.
+BUCKET = 100_000
+
+
 def islands(rows: DataFrame, key: str = "row", source: str = "source") -> DataFrame:
-    """rows with `island`: equal for rows that follow one another without another source between, given keys without gaps."""
-    return rows.withColumn("island", F.col(key) - F.row_number().over(Window.partitionBy(source).orderBy(key)))
+    """rows with `island`: the first key of the run they are in, of successive whole keys of one source. Null sources are one.
+
+    Keys are cut into buckets of equal span; a run that enters a bucket from before is completed from the buckets' ends, so
+    no task holds more than a bucket, however many rows a source has.
+    """
+    bucket = F.floor(F.col(key) / BUCKET)
+    w = Window.partitionBy("bucket_").orderBy(key)
+    follows = (F.lag(key).over(w) == F.col(key) - 1) & F.lag(source).over(w).eqNullSafe(F.col(source))
+    marked = rows.withColumn("bucket_", bucket).withColumn("begin_", F.when(~F.coalesce(follows, F.lit(False)), F.col(key)))
+    inside = marked.withColumn("first_", F.max("begin_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # of each bucket its ends: whether its first row goes on from the bucket before, and where the run at its end begins
+    ends = inside.groupBy("bucket_").agg(
+        F.min(key).alias("lo"), F.min_by(F.struct(F.col(source).alias("s")), key).alias("lo_source"), F.max(key).alias("hi"), F.max_by(F.struct(F.col(source).alias("s")), key).alias("hi_source"), F.max("first_").alias("last")
+    )
+    over = Window.partitionBy(F.lit(1)).orderBy("bucket_")  # one row for each bucket
+    joined = (F.lag("hi").over(over) == F.col("lo") - 1) & F.lag("hi_source").over(over).eqNullSafe(F.col("lo_source"))
+    linked = ends.withColumn("joined", F.coalesce(joined, F.lit(False)))
+    # a run that goes on begins where the last run begins that a bucket before it starts anew
+    fresh = F.when(~(F.col("joined") & (F.col("last") == F.col("lo"))), F.col("last"))
+    carried = linked.withColumn("fresh", fresh).withColumn("carry_", F.last("fresh", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    carries = carried.where("joined").select("bucket_", F.col("lo").alias("first_"), "carry_")
+    return inside.join(carries, ["bucket_", "first_"], "left").withColumn("island", F.coalesce("carry_", "first_")).select(*rows.columns, "island")
 
 
 def neighbours(rows: DataFrame, wanted: DataFrame, before: int, after: int, key: str = "row", source: str = "source") -> DataFrame:
-    """(center, key): each wanted key's neighbours in its run of one source. A window's offsets, no join of rows with rows."""
-    run = islands(rows, key, source).select(key, source, "island")
-    asked = wanted.select(F.col(key).alias("center")).distinct()
-    near = asked.select("center", F.explode(F.sequence(F.col("center") - before, F.col("center") + after)).alias(key))
-    inside = near.join(run, key)
-    home = run.select(F.col(key).alias("center"), F.col(source).alias("home"), F.col("island").alias("at"))
-    return inside.join(home, "center").where((F.col(source) == F.col("home")) & (F.col("island") == F.col("at"))).select("center", key)
+    """(center, key): each wanted key's neighbours in its run of one source: its keys around it that exist and are in the same run."""
+    run = islands(rows, key, source).select(key, "island")
+    asked = wanted.select(F.col(key).alias("center")).distinct().join(run.select(F.col(key).alias("center"), F.col("island").alias("at")), "center")
+    near = asked.select("center", "at", F.explode(F.sequence(F.col("center") - before, F.col("center") + after)).alias(key))
+    return near.join(run, key).where(F.col("island") == F.col("at")).select("center", key)
 
 
 def short_ids(rows: DataFrame, id_column: str = "id", least: int = 6) -> DataFrame:
@@ -131,13 +224,18 @@ def find_prefix(rows: DataFrame, prefix: str, limit: int, id_column: str = "id")
     return rows.where((c >= prefix) & c.startswith(prefix)).select(id_column).distinct().orderBy(id_column).limit(limit)
 
 
-def citation(rows: DataFrame) -> DataFrame:
-    """rows with `cited`: where a passage is from, by kind, with its code."""
-    section = X.clip(F.regexp_replace(F.coalesce("section", F.lit("")), r"\s+", " "), 20)
-    code = F.concat(F.lit("（編號 "), F.substring("id", 1, 6), F.lit("）"))
+def citation(rows: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """rows with `cited`: where a passage is from, by kind, with its code: the shortest id that no other row has, from `short`
+    (id, short), else the first six characters. A case (name, date and complaint in a document's title) is cited without its name."""
+    known = rows.join(short.select("id", F.col("short").alias("code_")), "id", "left") if short is not None else rows.withColumn("code_", F.lit(None).cast("string"))
+    section = short_section(F.col("section"))
+    code = F.concat(F.lit("（編號 "), F.coalesce("code_", F.substring("id", 1, 6)), F.lit("）"))
     pages = F.when(F.col("page_start").isNull(), None).when(F.col("page_start") == F.col("page_end"), F.concat(F.lit("第 "), F.col("page_start"), F.lit(" 頁"))).otherwise(F.concat(F.lit("第 "), F.col("page_start"), F.lit("–"), F.col("page_end"), F.lit(" 頁")))
     none = lambda c: F.when(c != "", c)
-    classic = F.concat(F.lit("《"), F.coalesce("title", F.lit("")), F.lit("》"), section, F.coalesce(F.concat(F.lit(" "), F.col("episode")), F.lit("")))
-    transcript = F.concat_ws(" ", none(F.col("title")), none(F.col("episode")), F.concat(X.clock(F.col("start")), F.lit("–"), X.clock(F.col("end"))))
+    classic = F.concat(F.lit("《"), F.coalesce("title", F.lit("")), F.lit("》"), section, F.coalesce(F.concat(F.lit(" "), none(F.col("episode"))), F.lit("")))
+    transcript = F.concat(F.concat_ws(" ", none(F.col("title")), none(F.col("episode"))), F.lit(" "), X.clock(F.col("start")), F.lit("–"), X.clock(F.col("end")))
     document = F.concat_ws(" ", F.col("title"), none(section), none(F.col("date")), pages)
-    return rows.withColumn("cited", F.concat(F.when(F.col("kind") == "classic", classic).when(F.col("kind") == "transcript", transcript).otherwise(document), code))
+    title = case_title(F.coalesce("title", F.lit("")))
+    case = F.concat_ws(" ", F.lit("醫案"), none(title["date"]), none(X.clip(F.regexp_replace(title["complaint"], r"\s+", " "), 20)))
+    shown = F.when(F.col("kind") == "classic", classic).when(F.col("kind") == "transcript", transcript).when(title.isNotNull(), case).otherwise(document)
+    return known.withColumn("cited", F.concat(shown, code)).drop("code_")

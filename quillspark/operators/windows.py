@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import written
+
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """rows with `run` (its number within the keys) and `run_length`: successive rows of equal value; nulls equal one another."""
@@ -29,10 +31,25 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def totals_before(rows: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
+    """rows with the total of `amount` over the rows before them in their key, in two passes: no task holds a key.
+
+    Rows are put into ranges of keys and order and written; every range is summed on its own, and the totals of a key's ranges
+    before it, of which there are few, are added. `order` is total within a key. The null amount counts as 0.
+    """
+    ranged = written(rows.withColumn("amount_", F.coalesce(amount.cast("double"), F.lit(0.0))).repartitionByRange(*keys, *order).withColumn("range_", F.spark_partition_id()))
+    parts = ranged.groupBy("range_", *keys).agg(F.sum("amount_").alias("part_"))
+    carried_in = parts.withColumn("carry_", F.coalesce(F.sum("part_").over(Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("part_")
+    inside = F.coalesce(F.sum("amount_").over(Window.partitionBy("range_", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    same = [F.col(f"k_{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    renamed = carried_in.select(F.col("range_").alias("r_"), "carry_", *[F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)])
+    joined = ranged.withColumn("inside_", inside).join(renamed, [F.col("r_") == F.col("range_"), *same])
+    return joined.withColumn(name, F.col("inside_") + F.col("carry_")).select(*rows.columns, name)
+
+
 def until_total(rows: DataFrame, keys: list[str], order: list[str], amount: str, limit: float) -> DataFrame:
     """rows in order until the total before them reaches the limit; the row that crosses it is in."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before_", F.coalesce(F.sum(amount).over(w), F.lit(0.0))).where(F.col("before_") < limit).drop("before_")
+    return totals_before(rows, keys, order, F.col(amount), "before_").where(F.col("before_") < limit).drop("before_")
 
 
 def sessions(rows: DataFrame, keys: list[str], ts: str, order: list[str], gap_seconds: int) -> DataFrame:
@@ -77,12 +94,11 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, begi
     dicts of output columns. Rows stream through: a task holds an Arrow batch and the object's own state, however large a key is."""
     columns = rows.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        state, current = None, None
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                row = {c: None if v is pd.NaT or (isinstance(v, float) and v != v) else v for c, v in row.items()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current, out = None, None, []
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(columns, values, strict=True))
                 key = tuple(row[k] for k in keys)
                 if state is None or key != current:
                     if state is not None:
@@ -90,10 +106,16 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, begi
                     state, current = begin(), key
                 out.extend(state.step(row))
             if out:
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
         if state is not None:
-            rest = list(state.end())
-            if rest:
-                yield pd.DataFrame(rest)
+            out.extend(state.end())
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    return rows.select(*columns).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    return rows.select(*columns).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions import vectors as V
-from quillspark.operators import chunking, dedupe, inventory, links, metering, quality, search, windows
+from quillspark.functions import script
+from quillspark.operators import build, chunking, control, dedupe, inventory, links, metering, pages, pricing, quality, scoring, search, windows
+from quillspark.sources.shared import shared_folder
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +29,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# --- the same keys in SQL -------------------------------------------------------------------------------------------------
+# --- the same keys in SQL, written out apart from the code they check ------------------------------------------------------
 _q = lambda s: "'" + s.replace("'", "''") + "'"
+_NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_FULL = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+_HAN = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{3134f}"
 
 
 def s_fold(t: str) -> str:
-    return f"translate(replace(lower(translate({t}, {_q(X.WIDE)}, {_q(X.PLAIN)})), 'ß', 'ss'), {_q(''.join(X.VARIANTS) + 'ς')}, {_q(''.join(X.VARIANTS.values()) + 'σ')})"
+    return f"translate(replace(lower(translate({t}, '{_FULL}', '{_NARROW}')), 'ß', 'ss'), '溼芪痹谿ς', '濕耆痺溪σ')"
 
 
 def s_compact(t: str) -> str:
@@ -40,15 +45,14 @@ def s_compact(t: str) -> str:
 
 
 def s_tokens(t: str) -> str:
-    return f"flatten(list_transform(regexp_extract_all({s_fold(t)}, '{X.RUN}'), lambda r: CASE WHEN regexp_matches(r, '^[0-9a-z]') THEN [r] ELSE list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 2)) END))"
+    return f"flatten(list_transform(regexp_extract_all({s_fold(t)}, '[{_HAN}]+|[0-9a-z]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9a-z]') THEN [r] ELSE list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 2)) END))"
 
 
 def s_bigrams(t: str) -> str:
     return f"list_distinct(list_transform(range(1, length({t})), lambda i: substr({t}, i, 2)))"
 
 
-def s_bm25(source: str, key: str, question: str, kind: str | None = None) -> str:
-    terms = X.query_terms(question)
+def s_bm25(source: str, key: str, terms: list[tuple[str, bool]], kind: str | None = None) -> str:
     hit = lambda t, p: f"len(list_filter(toks, lambda x: {f'starts_with(x, {_q(t)})' if p else f'x = {_q(t)}'}))"
     f = ", ".join(f"{hit(*t)} AS f{i}" for i, t in enumerate(terms))
     n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
@@ -58,24 +62,65 @@ def s_bm25(source: str, key: str, question: str, kind: str | None = None) -> str
     return f"WITH t AS (SELECT {key}{', kind' if kind else ''}, CASE WHEN text IS NULL THEN [] ELSE {s_tokens('text')} END AS toks FROM {source}), c AS (SELECT *, len(toks) AS size, {f} FROM t), s AS (SELECT count(*)::DOUBLE AS n, avg(size) AS mean, {n} FROM c) SELECT {key}, round({part}, 6) AS score FROM c, s WHERE ({some}){of_kind} ORDER BY {part} DESC, {key} LIMIT 50"
 
 
-ASK = "脅下悶痛的霜壺湯"
+#: A question and its terms: pairs of characters, without those that hold a particle.
+ASK, _TERMS = "脅下悶痛的霜壺湯", [("脅下", False), ("下悶", False), ("悶痛", False), ("霜壺", False), ("壺湯", False)]
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str, name: str, key: str) -> search.Index:
+    """The index of a table, written once a session."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _INDEXES:
+        folder = shared_folder(spark)
+        search.write_index(table(spark, d, name), folder, key)
+        _INDEXES[at] = folder
+    return search.open_index(spark, _INDEXES[at])
+
+
+def dimension(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a small table of parameters; a larger one is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dimension has at most {most} rows")
+    return rows
+
+
 rounded = lambda df, *cs: df.withColumns({c: F.round(c, 6) for c in cs})
 
 
 # --- search ---------------------------------------------------------------------------------------------------------------
-@query(s_bm25("chunks", '"row"', ASK))
+@query(f"SELECT 'chunks' AS name, count(*) AS count, round(avg(n), 6) AS mean FROM (SELECT len({s_tokens('text')}) AS n FROM chunks) UNION ALL SELECT 'documents', count(*), round(avg(n), 6) FROM (SELECT CASE WHEN text IS NULL THEN 0 ELSE len({s_tokens('text')}) END AS n FROM documents)")
+def index_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the indexes of chunks and documents, which the searches then read."""
+    some = [(name, i.count, i.mean) for name, key in (("chunks", "row"), ("documents", "doc_id")) for i in [_index(spark, d, name, key)]]
+    return rounded(spark.createDataFrame(some, "name string, count bigint, mean double"), "mean")
+
+
+@query(s_bm25("chunks", '"row"', _TERMS))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(search.bm25(table(spark, d, "chunks"), ASK), "score")
+    return rounded(search.bm25_indexed(_index(spark, d, "chunks", "row"), ASK), "score")
 
 
-@query(s_bm25("chunks", '"row"', ASK, "classic"))
+@query(s_bm25("chunks", '"row"', _TERMS, "classic"))
 def bm25_kind_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(search.bm25(table(spark, d, "chunks"), ASK, kind="classic"), "score")
+    return rounded(search.bm25_indexed(_index(spark, d, "chunks", "row"), ASK, kind="classic"), "score")
 
 
-@query(s_bm25("documents", "doc_id", "汗"))
+@query(s_bm25("documents", "doc_id", [("汗", True)]))
 def bm25_prefix_term(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(search.bm25(table(spark, d, "documents"), "汗", key="doc_id"), "score")
+    return rounded(search.bm25_indexed(_index(spark, d, "documents", "doc_id"), "汗", key="doc_id"), "score")
+
+
+@query(s_bm25("chunks", '"row"', [("停了", False), ("了九", False)]))
+def bm25_particles(spark: SparkSession, d: str) -> DataFrame:
+    """A question whose pairs all hold a particle keeps them. Without an index."""
+    return rounded(search.bm25(table(spark, d, "chunks"), "停了九"), "score")
+
+
+@query(s_bm25("chunks", '"row"', [("大約", False)]))
+def bm25_without_particles(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a particle are left out where there are others."""
+    return rounded(search.bm25_indexed(_index(spark, d, "chunks", "row"), "大約了"), "score")
 
 
 @query(f"SELECT kind, any_value(c) AS chunks, count(t) AS tokens, count(DISTINCT t) AS terms FROM (SELECT kind, c, unnest(toks) AS t FROM (SELECT kind, count(*) OVER (PARTITION BY kind) AS c, {s_tokens('text')} AS toks FROM chunks)) GROUP BY kind")
@@ -86,9 +131,9 @@ def index_token_stats(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(terms, "kind")
 
 
-@query(f"SELECT \"row\", t AS term, count(*) AS tf FROM (SELECT \"row\", unnest({s_tokens('text')}) AS t FROM chunks WHERE kind = 'classic') GROUP BY ALL")
-def postings_classic(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(table(spark, d, "chunks").where("kind = 'classic'"))
+@query(f"SELECT \"row\", t AS term, count(*) AS tf FROM (SELECT \"row\", unnest({s_tokens('text')}) AS t FROM chunks) GROUP BY ALL")
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(table(spark, d, "chunks"))
 
 
 _UNIT = "(SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0)"
@@ -114,14 +159,14 @@ def l2_normalised(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", "label", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.norm(V.normalised(F.col("embedding"))), 6).alias("unit"))
 
 
-_B = s_bm25("documents", "doc_id", ASK)
+_B = s_bm25("documents", "doc_id", _TERMS)
 
 
 @query(f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_B})),
 b AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT vec_id AS doc_id, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), q) AS s FROM embeddings, {_UNIT} ORDER BY s DESC, vec_id LIMIT 50))
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1 / (60.0::DOUBLE + a.r), 0) + coalesce(1 / (60.0::DOUBLE + b.r), 0), 9) AS score, a.r AS bm25_rank, b.r AS vector_rank FROM a FULL JOIN b USING (doc_id)""")
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    one = rounded(search.bm25(table(spark, d, "documents"), ASK, key="doc_id"), "score")
+    one = rounded(search.bm25_indexed(_index(spark, d, "documents", "doc_id"), ASK, key="doc_id"), "score")
     two = search.vector_top(table(spark, d, "embeddings"), _query_vector(spark, d)).withColumnRenamed("vec_id", "doc_id")
     return search.fused({"bm25": one, "vector": two}, "doc_id").withColumn("score", F.round("score", 9)).withColumns({c: F.col(c).cast("bigint") for c in ("bm25_rank", "vector_rank")})
 
@@ -137,7 +182,10 @@ def neighbours_of_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f'SELECT source, island, count(*) AS n, min("row") AS "first", max("row") AS "last" FROM {_ISLAND} GROUP BY source, island')
 def contiguous_runs(spark: SparkSession, d: str) -> DataFrame:
-    return search.islands(table(spark, d, "chunks")).groupBy("source", "island").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
+    runs = search.islands(table(spark, d, "chunks")).groupBy("source", F.col("island").alias("first")).agg(F.count("*").alias("n"), F.max("row").alias("last"))
+    # numbered by the rows of the source before each run, from the runs, which are few
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return runs.select("source", (F.col("first") - before - 1).alias("island"), "n", "first", "last")
 
 
 @query("""WITH i AS (SELECT DISTINCT id FROM chunks), p AS (SELECT id, unnest(range(6, length(id) + 1)) AS n FROM i), k AS (SELECT substr(id, 1, n) AS s, n, count(*) AS c FROM p GROUP BY ALL)
@@ -151,13 +199,22 @@ def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
     return search.find_prefix(table(spark, d, "chunks"), "a1", 20)
 
 
-@query()
+_SHORT = """(WITH i AS (SELECT DISTINCT id FROM chunks), p AS (SELECT id, unnest(range(6, length(id) + 1)) AS n FROM i), k AS (SELECT substr(id, 1, n) AS s, n, count(*) AS c FROM p GROUP BY ALL)
+SELECT p.id, substr(p.id, 1, coalesce(min(p.n) FILTER (k.c = 1), length(p.id))) AS short FROM p JOIN k ON k.s = substr(p.id, 1, p.n) AND k.n = p.n GROUP BY p.id)"""
+_CLOCK = lambda c: f"(CASE WHEN coalesce({c}, 0)::BIGINT_ >= 3600 THEN printf('%d:%02d:%02d', coalesce({c}, 0)::BIGINT_ // 3600, coalesce({c}, 0)::BIGINT_ % 3600 // 60, coalesce({c}, 0)::BIGINT_ % 60) ELSE printf('%02d:%02d', coalesce({c}, 0)::BIGINT_ // 60, coalesce({c}, 0)::BIGINT_ % 60) END)".replace(f"coalesce({c}, 0)::BIGINT_", f"trunc(coalesce({c}, 0))::BIGINT")
+
+
+@query(f"""SELECT "row", CASE kind WHEN 'classic' THEN '《' || coalesce(title, '') || '》' || coalesce(section, '') || coalesce(' ' || nullif(episode, ''), '')
+WHEN 'transcript' THEN concat_ws(' ', nullif(title, ''), nullif(episode, '')) || ' ' || {_CLOCK('start')} || '–' || {_CLOCK('"end"')}
+ELSE concat_ws(' ', title, nullif(section, ''), nullif(date, ''), CASE WHEN page_start IS NULL THEN NULL WHEN page_start = page_end THEN '第 ' || page_start || ' 頁' ELSE '第 ' || page_start || '–' || page_end || ' 頁' END) END || '（編號 ' || s.short || '）' AS cited
+FROM chunks c JOIN {_SHORT} s ON s.id = c.id""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    return search.citation(table(spark, d, "chunks")).select("row", "cited")
+    c = table(spark, d, "chunks")
+    return search.citation(c, search.short_ids(c)).select("row", "cited")
 
 
 # --- text measures --------------------------------------------------------------------------------------------------------
-_OTHERS = f"length(regexp_replace(text, '[{X.HAN}]', '', 'g'))"
+_OTHERS = f"length(regexp_replace(text, '[{_HAN}]', '', 'g'))"
 
 
 @query(f"SELECT kind, count(*) AS n, sum(length(text) - {_OTHERS} + ceil({_OTHERS} / 3.0)::BIGINT + 1)::BIGINT AS estimate FROM chunks GROUP BY kind")
@@ -170,7 +227,21 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query()
+_DATES = [(r"(?:^|[^0-9])((?:19|20)[0-9]{2})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})(?:[^0-9]|$)", "123"), (r"(?:^|[^0-9])([0-9]{1,2})/([0-9]{1,2})/((?:19|20)[0-9]{2})(?:[^0-9]|$)", "312"), (r"(?:^|[^0-9])((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})(?:[^0-9]|$)", "123"), (r"(?:^|[^0-9])((?:19|20)[0-9]{2})\s*年\s*([0-9]{1,2})\s*月", "120")]
+
+
+def _s_dates() -> str:
+    out = []
+    for p, (y, m, day) in _DATES:
+        part = lambda g, p=p: f"regexp_extract_all(t, '{p}', {g})"
+        good = f"try_cast(z[2] AS INT) BETWEEN 1 AND 12{'' if day == '0' else ' AND try_cast(z[3] AS INT) BETWEEN 1 AND 31'}"
+        shown = "z[1] || '-' || lpad(ltrim(z[2], '0'), 2, '0')" + ("" if day == "0" else " || '-' || lpad(ltrim(z[3], '0'), 2, '0')")
+        zipped = f"list_zip({part(y)}, {part(m)}{'' if day == '0' else ', ' + part(day)})"
+        out.append(f"list_filter(list_transform({zipped}, lambda z: CASE WHEN {good} THEN {shown} END), lambda x: x IS NOT NULL)[1]")
+    return f"SELECT \"row\", coalesce({', '.join(out)}) AS found FROM (SELECT \"row\", concat_ws(' ', date, text) AS t FROM chunks) WHERE found IS NOT NULL"
+
+
+@query(_s_dates())
 def found_dates(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
     return c.select("row", X.find_date(F.concat_ws(" ", "date", "text")).alias("found")).where("found is not null")
@@ -181,16 +252,31 @@ def garbage_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where(X.is_garbage(F.col("raw_text"))).select("row")
 
 
-@query()
+def s_lines(source: str, key: str, text: str) -> str:
+    """(key, "at", paragraph): the lines of a text that aren't blank, numbered as they stand."""
+    line = "trim(regexp_replace(x, '[ \\t\\x{3000}\\x{a0}]+', ' ', 'g'))"
+    return f"(SELECT {key}, pos - 1 AS \"at\", regexp_replace({line}, '^\\s+|\\s+$', '', 'g') AS paragraph FROM (SELECT {key}, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT {key}, string_split(regexp_replace({text}, '\\r\\n?|\\x{{2028}}|\\x{{2029}}', chr(10), 'g'), chr(10)) AS l FROM {source} WHERE {text} IS NOT NULL)) WHERE length({line}) > 0)"
+
+
+_LEADERS = "list_sum(list_transform(regexp_extract_all(paragraph, '[·．.…•]{6,}'), lambda x: length(x)))"
+
+
+@query(f"SELECT \"row\", \"at\" FROM {s_lines('chunks', '\"row\"', 'raw_text')} WHERE NOT regexp_matches(paragraph, '\\p{{L}}') OR regexp_matches(paragraph, '(?i)^(?:第?\\s*[0-9]*\\s*[页頁]|P\\s*[0-9]+\\s*-\\s*[0-9][0-9 ]*|[IVXLC]+|[0-9]+|[-–—\\s0-9]+)$') OR coalesce({_LEADERS}, 0) > 0 AND {_LEADERS} >= 0.2 * length(paragraph)")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    p = dedupe.paragraphs(table(spark, d, "documents"))
-    return p.where(X.is_boilerplate(F.col("paragraph"))).select("doc_id", "at")
+    p = dedupe.paragraphs(table(spark, d, "chunks"), "row", "raw_text")
+    return p.where(X.is_boilerplate(F.col("paragraph"))).select("row", "at")
 
 
-@query()
+_FIRST = "regexp_matches(t, '^第[一二三四五六七八九十百千零〇两兩0-9]+[章講讲節节篇回課课卷部]') OR regexp_matches(t, '^[^，,。：:；]{2,20}第[一二三四五六七八九十百千零〇两兩0-9]+$') OR regexp_matches(t, '^辨.{1,16}[病脉脈].{0,10}[治篇法]') OR regexp_matches(t, '^[壹貳贰參叁肆伍陸陆柒捌玖拾]+[、．.]') OR (regexp_matches(t, '^【[^】]{1,30}】$') AND NOT regexp_matches(t, '社|報|报|網|网|新聞|新闻|記者|记者|電|电'))"
+_SECOND = "regexp_matches(t, '^[一二三四五六七八九十百千零〇两兩]{1,4}\\s*[、．.：:]\\s*\\S') OR regexp_matches(t, '^[（(][一二三四五六七八九十0-9]{1,3}[)）]\\s*\\S') OR regexp_matches(t, '^[0-9]{1,3}\\s*[、．.]\\s*[^0-9\\s]')"
+
+
+@query(f"SELECT \"row\", place, level FROM (SELECT \"row\", place, CASE WHEN length(t) = 0 OR length(t) > 40 THEN 0 WHEN {_FIRST} THEN 1 WHEN {_SECOND} THEN 2 ELSE 0 END AS level FROM (SELECT \"row\", 'section' AS place, trim(section) AS t FROM chunks WHERE section IS NOT NULL UNION ALL SELECT \"row\", 'line ' || \"at\", paragraph FROM {s_lines('chunks', '\"row\"', 'raw_text')})) WHERE level > 0")
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
-    p = dedupe.paragraphs(table(spark, d, "documents"))
-    return p.withColumn("level", X.heading_level(F.col("paragraph"))).where("level > 0").select("doc_id", "at", "level")
+    c = table(spark, d, "chunks")
+    lines = dedupe.paragraphs(c, "row", "raw_text").select("row", F.concat(F.lit("line "), F.col("at")).alias("place"), "paragraph")
+    every = c.where("section is not null").select("row", F.lit("section").alias("place"), F.col("section").alias("paragraph")).unionByName(lines)
+    return every.withColumn("level", X.heading_level(F.col("paragraph"))).where("level > 0").select("row", "place", "level")
 
 
 @query("SELECT \"row\", substr(sha1(source || chr(31) || id), 1, 16) AS made FROM chunks")
@@ -218,7 +304,10 @@ def excluded_twins(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.with_twins(t.where("lang is null").select("doc_id", "digest"), t.where("lang is not null and text is not null"), "digest", "doc_id").select("doc_id", "twin")
 
 
-@query()
+_KEY = lambda t: f"regexp_replace({s_fold(t)}, '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s\\x{{85}}\\x0b\\x1c-\\x1f]', '', 'g')"
+
+
+@query(f"SELECT doc_id, \"at\" FROM (SELECT doc_id, \"at\", length(k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, \"at\") AS i FROM (SELECT doc_id, \"at\", {_KEY('paragraph')} AS k FROM {s_lines('documents', 'doc_id', 'text')})) WHERE n >= 8 AND i > 1")
 def paragraph_dedupe_exact(spark: SparkSession, d: str) -> DataFrame:
     p = dedupe.repeated_exactly(dedupe.paragraphs(table(spark, d, "documents")), ["doc_id", "at"])
     return p.where("not first").select("doc_id", "at")
@@ -236,16 +325,14 @@ def members_vs_known(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(F.count(F.when(F.col("there"), 1)).alias("known"), F.count(F.when(F.col("cited_id").isNotNull() & F.col("there").isNull(), 1)).alias("gone"), F.count(F.when(F.col("cited_id").isNull(), 1)).alias("none"))
 
 
-_ORIG = "(SELECT id, min(\"row\") AS r FROM chunks GROUP BY id HAVING count(*) > 1)"
-
-
-@query(f"SELECT c.id, c.\"row\" AS again, CASE WHEN c.text IS DISTINCT FROM o.text THEN 'text' WHEN c.chars IS DISTINCT FROM o.chars THEN 'chars' WHEN c.raw_text IS DISTINCT FROM o.raw_text THEN 'raw_text' ELSE 'date' END AS reason FROM {_ORIG} g JOIN chunks o ON o.\"row\" = g.r JOIN chunks c ON c.id = g.id AND c.\"row\" > g.r WHERE c.text IS DISTINCT FROM o.text OR c.chars IS DISTINCT FROM o.chars OR c.raw_text IS DISTINCT FROM o.raw_text OR c.date IS DISTINCT FROM o.date")
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY received_at, rounds, input_tokens) AS i, row_number() OVER (PARTITION BY log_id ORDER BY received_at DESC, rounds DESC, input_tokens DESC) AS j FROM answer_log) SELECT a.log_id, CASE WHEN a.model IS DISTINCT FROM b.model THEN 'model' WHEN a.rounds IS DISTINCT FROM b.rounds THEN 'rounds' ELSE 'received_at' END AS reason FROM r a JOIN r b ON a.log_id = b.log_id AND a.i = 1 AND b.j = 1 WHERE a.model IS DISTINCT FROM b.model OR a.rounds IS DISTINCT FROM b.rounds OR a.received_at IS DISTINCT FROM b.received_at")
 def sequence_differences(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("id", "row", "text", "chars", "raw_text", "date")
-    first = c.groupBy("id").agg(F.min("row").alias("r"), F.count("*").alias("n")).where("n > 1").select("id", "r")
-    again = c.join(first, "id").where("row > r").select("id", F.col("row").alias("again"), "text", "chars", "raw_text", "date")
-    base = again.select("id", "again").join(c.join(first.select(F.col("r").alias("row")), "row", "left_semi").drop("row"), "id")
-    return dedupe.differences(base, again, ["id", "again"], ["text", "chars", "raw_text", "date"])
+    """Between the first and the last delivery of each log line."""
+    log = table(spark, d, "answer_log").select("log_id", "model", "rounds", "received_at", "input_tokens")
+    order = ["received_at", "rounds", "input_tokens"]
+    first = dedupe.last_wins(log, ["log_id"], [F.col(c) for c in order])
+    last = dedupe.last_wins(log, ["log_id"], [F.desc(c) for c in order])
+    return dedupe.differences(first, last, ["log_id"], ["model", "rounds", "received_at"])
 
 
 # --- chunking -------------------------------------------------------------------------------------------------------------
@@ -379,13 +466,18 @@ _N = lambda t: f"((length({t}) - length(replace({t}, w, ''))) // length(w))"  #
 
 @query(f"SELECT w AS term, sum(least({_N('text')}, {_N('raw_text')}))::BIGINT AS matched, sum(greatest({_N('text')} - {_N('raw_text')}, 0))::BIGINT AS missed FROM chunks, {_W} WHERE raw_text IS NOT NULL GROUP BY w HAVING sum({_N('text')}) > 0")
 def multiset_recall(spark: SparkSession, d: str) -> DataFrame:
-    words = [r.w for r in table(spark, d, "courses").select(F.explode("hotwords").alias("w")).distinct().orderBy("w").limit(1000).collect()]
+    words = [r.w for r in dimension(table(spark, d, "courses").select(F.explode("hotwords").alias("w")).distinct().orderBy("w"))]
     count = lambda c, w: (F.length(c) - F.length(F.replace(F.col(c), F.lit(w), F.lit("")))) / F.lit(len(w))
     c = table(spark, d, "chunks").where("raw_text is not null").select("text", "raw_text", F.explode(F.array(*[F.struct(F.lit(w).alias("term"), count("text", w).cast("bigint").alias("a"), count("raw_text", w).cast("bigint").alias("b")) for w in words])).alias("t")).select("t.*")
     return c.groupBy("term").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missed"), F.sum("a").alias("n")).where("n > 0").drop("n")
 
 
-@query()
+_N_ = lambda t: f"length(regexp_replace({t}, '[\\s\\p{{Z}}\\x{{85}}\\x0b\\x1c-\\x1f]', '', 'g'))"
+
+
+@query(f"""WITH l AS (SELECT source, {_N_('raw_text')} AS b, {_N_('text')} AS a, length(text) AS n, length(regexp_replace(raw_text, '[嗯啊哈呃哦噢唉欸呀耶、，。！？!?\\s\\p{{Z}}]', '', 'g')) AS said FROM chunks WHERE kind = 'transcript' AND raw_text IS NOT NULL),
+s AS (SELECT source, count(*) AS lines, count(n) AS matched, CASE WHEN sum(b) > 0 THEN sum(a)::DOUBLE / sum(b) WHEN sum(a) = 0 THEN 1.0 ELSE 'inf'::DOUBLE END AS ratio, sum((n IS NOT NULL AND ((n = 0 AND said >= 4) OR a > greatest(2 * b, b + 20)))::INT)::BIGINT AS anomalies FROM l GROUP BY source)
+SELECT source, lines, matched, round(ratio, 6) AS length_ratio, anomalies, CASE WHEN NOT (ratio BETWEEN 0.6 AND 1.5 AND anomalies::DOUBLE / lines <= 0.05) THEN 'failed' WHEN matched = lines THEN 'ok' WHEN matched::DOUBLE / lines >= 0.95 THEN 'partial' ELSE 'failed' END AS status FROM s""")
 def correction_accepted(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").where("kind = 'transcript' and raw_text is not null").select("source", "row", F.lit(1).alias("attempt"), F.col("raw_text").alias("before"), F.col("text").alias("after"))
     return quality.chosen(quality.correction_scores(c, ["source", "attempt"]), ["source"]).select("source", "lines", "matched", F.round("length_ratio", 6).alias("length_ratio"), "anomalies", "status")
@@ -395,7 +487,7 @@ def correction_accepted(spark: SparkSession, d: str) -> DataFrame:
 def loops_filtered(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").where("kind = 'transcript' and raw_text is not null").select("row", "source", F.col("raw_text").alias("text_raw"))
     marked = quality.repeated_segments(c, ["source"], ["row"])
-    prompts = {r.name: r.prompt for r in table(spark, d, "courses").select("name", "prompt").limit(1000).collect()}
+    prompts = {r.name: r.prompt for r in dimension(table(spark, d, "courses").select("name", "prompt"))}
     named = marked.join(links.longest_prefix(c, table(spark, d, "courses"), "source", "prefix", ["name"]), "source").withColumnRenamed("name", "course")
     return quality.filtered(named, prompts, ["請訂閱", "字幕由"]).where("reason is not null").select("row", "reason", F.length("dropped").alias("dropped_chars"))
 
@@ -415,12 +507,16 @@ def budget_gate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metering.gate(table(spark, d, "answer_log"), 0.15), "spent").drop("open")
 
 
-@query(f"SELECT CASE WHEN model IS NULL THEN 'unknown' ELSE split_part(model, '-', 1) END AS provider, effort, CASE WHEN error_type IS NULL THEN 'ok' WHEN regexp_matches(lower(error_type), 'quota|rate.?limit|429') THEN 'quota' WHEN regexp_matches(lower(error_type), 'timeout|connection|network|unavailable|50[234]') THEN 'network' WHEN error_type = '' THEN 'empty' ELSE 'other' END AS kind, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(avg(rounds), 6) AS mean_rounds FROM {_LOG} GROUP BY ALL")
+@query(f"SELECT CASE WHEN starts_with(model, 'quill-') THEN 'quill' WHEN starts_with(model, 'reed-') THEN 'reed' ELSE 'other' END AS provider, effort, CASE WHEN error_type IS NULL THEN 'ok' WHEN regexp_matches(lower(error_type), 'quota|rate.?limit|429') THEN 'quota' WHEN regexp_matches(lower(error_type), 'timeout|connection|network|unavailable|50[234]') THEN 'network' WHEN error_type = '' THEN 'empty' ELSE 'other' END AS kind, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(avg(rounds), 6) AS mean_rounds FROM {_LOG} GROUP BY ALL")
 def usage_totals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metering.usage(table(spark, d, "answer_log")), "mean_rounds")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, a ORDER BY i) AS run FROM e), x AS (SELECT * FROM r WHERE a),
+s AS (SELECT user_id, run, min(i) AS i FROM x GROUP BY user_id, run
+UNION ALL SELECT n.user_id, n.run, min(n.i) FROM s JOIN x p ON p.user_id = s.user_id AND p.i = s.i JOIN x n ON n.user_id = s.user_id AND n.run = s.run AND n.i > s.i AND n.t - p.t >= 21600000000 GROUP BY n.user_id, n.run, s.i)
+SELECT x.user_id, x.event_id FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i""")
 def alert_dedupe(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return metering.alerts(e, ["user_id"], "ts", ["event_id"], F.col("event_type") == "error").select("user_id", "event_id")
@@ -462,3 +558,196 @@ def build_totals(spark: SparkSession, d: str) -> DataFrame:
 def work_missing(spark: SparkSession, d: str) -> DataFrame:
     made = table(spark, d, "chunks").select(F.concat(F.lit("m|64|doc|"), F.sha1("text")).alias("key"))
     return table(spark, d, "cache").where("tokens > 0").select("key").join(made, "key", "left_anti")
+
+
+# --- script, names and numbers --------------------------------------------------------------------------------------------
+_SIMPLE, _TRAD = "气阴阳药脉医见现与从后么会开关门问间头来对时说湿", "氣陰陽藥脈醫見現與從後麼會開關門問間頭來對時說濕"
+SCRIPTS = script.Scripts(dict(zip(_SIMPLE, _TRAD, strict=True)), dict(zip(_TRAD, _SIMPLE, strict=True)), variants={"溼": "濕"})
+
+
+@query(f"SELECT \"row\", length(text) - length(translate(text, '{_SIMPLE}', '')) AS simplified, length(text) - length(translate(text, '{_TRAD}', '')) AS traditional FROM chunks")
+def script_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("row", script.evidence(F.col("text"), SCRIPTS).alias("e")).select("row", "e.*")
+
+
+_SEGMENT = f"CASE WHEN (length(s) > length(translate(s, '{_TRAD}', '')) AND NOT length(s) > length(translate(s, '{_SIMPLE}', ''))) OR (length(s) > length(translate(s, '{_TRAD}', '')) AND length(s) > length(translate(s, '{_SIMPLE}', '')) AND translate(translate(s, '{_TRAD}', '{_SIMPLE}'), '{_SIMPLE}', '{_TRAD}') = s) OR (length(s) = length(translate(s, '{_TRAD}{_SIMPLE}', '')) AND most) THEN s ELSE translate(s, '{_SIMPLE}', '{_TRAD}') END"
+
+
+@query(f"SELECT \"row\", translate(array_to_string(list_transform(regexp_extract_all(text, '[^\\s\\p{{P}}\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\p{{P}}\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]'), lambda s: {_SEGMENT.replace('most', f'(length(translate(text, {_q(_TRAD)}, {_q(str())})) < length(translate(text, {_q(_SIMPLE)}, {_q(str())})))')}), ''), '溼', '濕') AS made FROM chunks")
+def traditional_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("row", script.traditional(F.col("text"), SCRIPTS).alias("made"))
+
+
+@query("SELECT DISTINCT source, CASE WHEN regexp_matches(t, '[\\p{L}\\p{N}_]') THEN t ELSE f END AS title FROM (SELECT source, regexp_replace(regexp_replace(regexp_replace(regexp_extract(source, '([^/]+)$', 1), '(?i)\\.(?:docx?|html?|txt|pdf|lrc|chm)$', ''), '[0-9]{7}', ''), '^[ \\-_,，]+|[ \\-_,，]+$', '', 'g') AS t, regexp_extract(source, '([^/]+)/[^/]*$', 1) AS f FROM chunks)")
+def clean_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("source").distinct().select("source", build.clean_title(F.col("source"), ["[0-9]{7}"]).alias("title"))
+
+
+@query("SELECT DISTINCT source, CASE WHEN contains(source, '筆記') THEN split_part(source, '筆記', 1) || '筆記…/[' || substr(sha1(source), 1, 8) || ']' ELSE source END AS path FROM chunks")
+def safe_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("source").distinct().select("source", build.safe_path(F.col("source"), F.lit(None).cast("string"), "筆記").alias("path"))
+
+
+@query("SELECT \"row\", concat_ws(' ', nullif(title, ''), nullif(episode, ''), nullif(section, '')) AS made FROM chunks")
+def embedding_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("row", build.embedding_title(F.col("title"), F.col("episode"), F.col("section")).alias("made"))
+
+
+# --- linking, continued ---------------------------------------------------------------------------------------------------
+_NUM = "([一二三四五六七八九十百千〇零兩两0-9]{1,7})"
+
+
+@query(f"SELECT \"row\", count(*) AS entries FROM (SELECT \"row\", unnest(regexp_extract_all(text, '(?m)^\\s*{_NUM}\\s*[、：:]\\s*[「\"“]?(.{{8,}})$', 2)) AS b FROM (SELECT \"row\", concat_ws(chr(10), section || '說明此條的文字在這裡', text) AS text FROM chunks WHERE kind <> 'classic')) WHERE length({s_compact('b')}) >= 8 GROUP BY \"row\"")
+def lecture_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered lines; the sections of these tables stand for the lines of a lecture."""
+    c = table(spark, d, "chunks").where("kind <> 'classic'").withColumn("text", F.concat_ws("\n", F.concat("section", F.lit("說明此條的文字在這裡")), "text"))
+    return links.lecture_entries(c).groupBy("row").agg(F.count("*").alias("entries"))
+
+
+@query()
+def book_links(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks")
+    return links.book_links(c.where("kind = 'classic'"), c.where("kind = 'document'"), c.where("kind = 'transcript'"))
+
+
+_DOSES = [("a", "每日五錢"), ("b", "每日八錢"), ("c", "每日十錢"), ("d", "八錢")]
+
+
+@query(f"SELECT DISTINCT k.id AS classic_id, c.id AS target_id, c.kind AS target_kind, 0.9::DOUBLE AS score FROM chunks c JOIN (VALUES {', '.join(map(str, _DOSES))}) k(id, section) ON regexp_matches(c.text, '服法[^一二三四五六七八九十百千〇零0-9]{{0,8}}第?' || k.section) WHERE c.kind <> 'classic'")
+def named_sections(spark: SparkSession, d: str) -> DataFrame:
+    """A few phrases stand for the sections of a book."""
+    return links.named_sections(spark.createDataFrame(_DOSES, "id string, section string"), table(spark, d, "chunks").where("kind <> 'classic'"), "服法")
+
+
+@query(f"WITH e AS (SELECT {s_compact('text')} AS k, min(doc_id) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) = 1), u AS (SELECT doc_id, {s_compact('text')} AS k FROM documents WHERE text IS NOT NULL) SELECT min(u.doc_id) AS unit, e.n AS number FROM u JOIN e USING (k) WHERE k <> '' GROUP BY e.k, e.n")
+def unique_numbers(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where("text is not null")
+    return links.unique_numbers(t.select(F.col("doc_id").alias("unit"), "text"), t.select(F.col("doc_id").alias("number"), "text"))
+
+
+@query("WITH b AS (SELECT title AS book, count(DISTINCT id) AS units FROM chunks WHERE kind = 'classic' GROUP BY 1), o AS (SELECT c.book, l.target_kind AS kind, count(DISTINCT l.classic_id) AS linked FROM classic_links l JOIN (SELECT DISTINCT id, title AS book FROM chunks WHERE kind = 'classic') c ON c.id = l.classic_id GROUP BY ALL), m AS (SELECT title AS book, list_sort(list_distinct(list(u))) AS unlinked FROM (SELECT title, unnest(CAST(unit_ids AS JSON)::VARCHAR[]) AS u FROM chunks WHERE kind = 'classic' AND id NOT IN (SELECT classic_id FROM classic_links)) GROUP BY 1) SELECT book, units, kind, coalesce(linked, 0) AS linked, round(coalesce(linked, 0)::DOUBLE / units, 4) AS rate, array_to_string(coalesce(unlinked, []), ' ') AS unlinked FROM b LEFT JOIN o USING (book) LEFT JOIN m USING (book)")
+def link_report(spark: SparkSession, d: str) -> DataFrame:
+    return links.link_report(table(spark, d, "classic_links"), table(spark, d, "chunks").where("kind = 'classic'")).withColumn("unlinked", F.array_join("unlinked", " "))
+
+
+# --- prices and usage -----------------------------------------------------------------------------------------------------
+_PRICES = [("quill-3", "2024-01-01", 2.0, 0.1, 2.5, 10.0), ("quill-3", "2024-12-01", 4.0, 0.2, 5.0, 20.0), ("quill-4", "2024-01-01", 1.0, 0.1, 1.0, 5.0)]
+_P = ", ".join(str(p) for p in _PRICES)
+
+
+@query(f"SELECT a.log_id, round((input_tokens * p.input + output_tokens * p.output) / 1e6, 9) AS cost FROM (SELECT *, (at_ AT TIME ZONE 'UTC')::DATE AS day FROM {_LOG} WHERE at_ IS NOT NULL) a ASOF LEFT JOIN (SELECT model, start::DATE AS start, input, output FROM (VALUES {_P}) t(model, start, input, cache_read, cache_write, output)) p ON a.model = p.model AND a.day >= p.start")
+def price_asof(spark: SparkSession, d: str) -> DataFrame:
+    prices = spark.createDataFrame(_PRICES, "model string, start string, input double, cache_read double, cache_write double, output double").withColumn("start", F.to_date("start"))
+    log = metering.parsed(table(spark, d, "answer_log")).where("at is not null").select("log_id", "model", F.to_date("at").alias("day"), F.col("input_tokens").cast("bigint").alias("input_tokens"), F.lit(0).alias("cache_read_tokens"), F.lit(0).alias("cache_write_tokens"), F.col("output_tokens").cast("bigint").alias("output_tokens"))
+    return pricing.priced(log, prices).select("log_id", F.round(pricing.cost(), 9).alias("cost"))
+
+
+@query(f"SELECT CASE WHEN starts_with(model, 'quill-') THEN 'quill' WHEN starts_with(model, 'reed-') THEN 'reed' ELSE 'other' END AS provider, count(*) FILTER ({_DAY} = DATE '2024-11-28') AS today, round(coalesce(sum(cost) FILTER ({_DAY} = DATE '2024-11-28'), 0), 6) AS today_cost, count(*) AS month, round(sum(cost), 6) AS month_cost FROM {_LOG} WHERE at_ IS NOT NULL AND isfinite(cost) AND date_trunc('month', {_DAY}) = DATE '2024-11-01' GROUP BY 1")
+def spent_today_month(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pricing.spent(table(spark, d, "answer_log"), "2024-11-27T20:00:00Z"), "today_cost", "month_cost")
+
+
+@query("SELECT log_id, greatest(input_tokens - output_tokens, 0) + rounds AS input_tokens, output_tokens AS cache_read_tokens, 0 AS cache_write_tokens, 2 * output_tokens AS output_tokens FROM answer_log")
+def usage_mapped(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "answer_log")
+    return a.select("log_id", *pricing.mapped_usage(F.col("input_tokens"), F.col("output_tokens"), F.col("output_tokens"), F.col("output_tokens"), F.col("rounds")))
+
+
+# --- work and events ------------------------------------------------------------------------------------------------------
+@query("SELECT 'event_type' AS by, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'user_id', user_id::VARCHAR, count(*) FROM events GROUP BY 2")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return control.counts_by(table(spark, d, "events"), ["event_type", "user_id"])
+
+
+@query("SELECT event_id FROM events ORDER BY user_id, ts, event_id LIMIT 50")
+def first_over_all(spark: SparkSession, d: str) -> DataFrame:
+    return control.first_over_all(table(spark, d, "events"), ["user_id", "ts", "event_id"], 50).select("event_id")
+
+
+@query("SELECT user_id::VARCHAR AS label, count(*) AS n FROM events WHERE event_type = 'click' AND value > 5 GROUP BY 1")
+def allowed_calls(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    lines = e.select(F.to_json(F.struct(F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("tool"), (F.col("value") > 5).alias("allow"))).alias("value"))
+    return control.allowed_calls(lines.unionByName(spark.createDataFrame([("no JSON",)], "value string")), "click")
+
+
+@query("SELECT user_id, max(CASE WHEN event_type = 'error' THEN event_id END) IS NOT NULL AS had, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END), 0) + 1 AS attempt FROM events GROUP BY user_id")
+def next_attempts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_id", "attempt")
+    wrong = e.where("event_type = 'error'")
+    return control.next_attempts(wrong, e, ["user_id"]).join(wrong.select("user_id").distinct().withColumn("had", F.lit(True)), "user_id", "left").select("user_id", F.coalesce("had", F.lit(False)).alias("had"), "attempt")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, i FROM e WHERE i = 1 UNION ALL SELECT n.user_id, min(n.i) FROM s JOIN e p ON p.user_id = s.user_id AND p.i = s.i JOIN e n ON n.user_id = s.user_id AND n.i > s.i AND n.t - p.t >= 86400000000 GROUP BY n.user_id, s.i)
+SELECT e.user_id, e.event_id FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i""")
+def throttled(spark: SparkSession, d: str) -> DataFrame:
+    return control.throttled(table(spark, d, "events"), "user_id", "ts", "event_id", 86400)
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'UTC' + INTERVAL 8 HOUR)::DATE ORDER BY ts, event_id) AS n FROM events WHERE hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'UTC' + INTERVAL 8 HOUR) >= 9) WHERE n = 1")
+def daily_firsts(spark: SparkSession, d: str) -> DataFrame:
+    return control.daily_firsts(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], 9).select("user_id", "event_id")
+
+
+@query()
+def quota_windows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("reset", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 18_000_000_000) * 18_000)
+    return control.quota_windows(e, "user_id", "event_id", "value", "reset").select("user_id", "event_id", F.round("used", 6).alias("used"), "reset")
+
+
+# --- building -------------------------------------------------------------------------------------------------------------
+@query("SELECT row_number() OVER (ORDER BY part, \"row\") - 1 AS at, part, id FROM (SELECT CASE kind WHEN 'transcript' THEN 0 WHEN 'classic' THEN 1 ELSE 2 END AS part, \"row\", id FROM chunks)")
+def emission_order(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").select(F.col("row").alias("old"), "id", "kind")
+    return build.in_emission_order([c.where(F.col("kind") == k) for k in ("transcript", "classic", "document")], ["old"]).select(F.col("row").alias("at"), "part", "id")
+
+
+@query(f"SELECT kind AS \"group\", count(DISTINCT source) AS files, count(*) AS paragraphs_before, sum(length(paragraph))::BIGINT AS chars_before, count(*) FILTER (regexp_matches(paragraph, '\\p{{L}}')) AS paragraphs_after, coalesce(sum(length(paragraph)) FILTER (regexp_matches(paragraph, '\\p{{L}}')), 0)::BIGINT AS chars_after, 0 AS dropped_garbage, count(*) FILTER (NOT regexp_matches(paragraph, '\\p{{L}}')) AS dropped_boilerplate, 0 AS dropped_repeated, 0 AS dropped_covered FROM {s_lines('chunks', '\"row\"', 'raw_text')} JOIN (SELECT \"row\", kind, source FROM chunks) USING (\"row\") GROUP BY ROLLUP (kind)")
+def group_statistics(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks")
+    p = dedupe.paragraphs(c, "row", "raw_text").join(c.select("row", F.col("kind").alias("group"), F.col("source").alias("path")), "row")
+    return build.group_statistics(p.select("group", "path", F.col("paragraph").alias("text"), F.when(~F.col("paragraph").rlike(r"\p{L}"), "boilerplate").alias("reason")))
+
+
+@query("WITH k AS (SELECT DISTINCT md5(text) AS m FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0), u AS (SELECT source FROM documents WHERE text IS NOT NULL AND md5(text) NOT IN (SELECT m FROM k)) SELECT '.' || source AS suffix, count(*) AS n, 0 AS same_name FROM u GROUP BY 1")
+def unmatched_members(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of odd ids stand for an archive's members, those of even ids for the known files."""
+    t = table(spark, d, "documents").where("text is not null").select(F.concat_ws("", F.lit("m/"), F.col("doc_id").cast("string"), F.lit("."), "source").alias("path"), F.md5("text").alias("md5"), (F.col("doc_id") % 2 == 0).alias("known"))
+    return build.unmatched_by_suffix(t, t.where("known"))
+
+
+@query("SELECT c.\"row\", list_dot_product(list_transform(v.vec, lambda x: x::DOUBLE), list_transform(v.vec, lambda x: x::DOUBLE)) > 0 AS some FROM (SELECT \"row\", row_number() OVER (ORDER BY \"row\") AS i FROM chunks) c JOIN (SELECT vec, row_number() OVER (ORDER BY key) AS i FROM cache WHERE len(vec) = 64) v USING (i)")
+def embedding_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors in row order; rows and entries are matched by their places here."""
+    number = lambda df, by: build.in_emission_order([df], [by]).withColumnRenamed("row", "key")
+    c = number(table(spark, d, "chunks").select(F.col("row").alias("r")), "r").select(F.col("r").alias("row"), "key")
+    v = number(table(spark, d, "cache").where("size(vec) = 64").select(F.col("key").alias("k"), "vec"), "k").select("key", "vec")
+    out = build.embedding_matrix(c.join(v, "key", "left_semi"), v)
+    return out.select("row", (V.norm(F.col("vec")) > 0).alias("some"))
+
+
+@query("SELECT key, (floor(coalesce(sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS batch FROM (SELECT key, greatest(tokens / 20000.0::DOUBLE, 1 / 128.0::DOUBLE) AS w FROM cache WHERE truncated = 0)")
+def request_batches(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cache")
+    return build.request_batches(c.withColumn("o", F.col("key")), c.where("truncated <> 0"), order="o", items=128).select("key", "batch")
+
+
+# --- pages and speech -----------------------------------------------------------------------------------------------------
+@query("SELECT user_id, count(*) AS kept FROM (SELECT a.user_id, a.event_id FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.event_id < a.event_id AND abs(b.value - a.value) <= 1.5 AND abs(epoch_us(b.ts) - epoch_us(a.ts)) / 3600000000.0 <= 1.5)) GROUP BY 1")
+def without_overprint(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for glyphs: their kind for the character, value and hours for the place."""
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("n"), F.col("event_type").alias("char"), F.col("value").alias("x"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("y"))
+    return pages.without_overprint(e, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+@query()
+def clip_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts against their raw text as the reference, a clip each, by two settings of which one has no results."""
+    c = table(spark, d, "chunks").where("kind = 'transcript' and raw_text is not null")
+    clips = c.select(F.col("row").cast("string").alias("label"), "source")
+    results = c.select(F.col("row").cast("string").alias("label"), F.lit("one").alias("setting"), F.col("text").alias("hypothesis"), F.lit(1).alias("segments"), F.lit(0).alias("low_confidence"), F.lit(1.0).alias("elapsed"), (F.col("end") - F.col("start")).alias("audio"))
+    references = c.select(F.col("row").cast("string").alias("label"), F.col("raw_text").alias("reference"))
+    words = [r.key for r in dimension(scoring.term_keys(table(spark, d, "courses").select(F.explode("hotwords").alias("term")))[0])]
+    scores = scoring.clip_scores(scoring.grid(clips, ["one", "two"], results, references), words)
+    return rounded(scoring.summary(scores), "cer", "term_recall", "mean_rtf", "low_confidence")

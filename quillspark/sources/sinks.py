@@ -14,13 +14,10 @@ def json_lines(rows: DataFrame, path: str, order: list[str], id_column: str = "i
     with_suffixes(rows, id_column, order).write.mode("overwrite").json(path)
 
 
-def index(chunks: DataFrame, folder: str, buckets: int = 16) -> None:
-    """chunks, postings sorted by term within hash parts of it, lengths, and a row of figures with a digest of the chunks."""
+def index(chunks: DataFrame, folder: str, parts: int = search.PARTS) -> None:
+    """chunks, and their inverted index with a row of figures, for search.open_index()."""
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{folder}/chunks")
-    search.postings(stored).repartition(buckets, "term").sortWithinPartitions("term", "row").write.mode("overwrite").parquet(f"{folder}/postings")
-    search.lengths(stored).write.mode("overwrite").parquet(f"{folder}/lengths")
-    stored.agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("row", "id", "text")).alias("digest")).write.mode("overwrite").parquet(f"{folder}/meta")
+    search.write_index(chunks.sparkSession.read.parquet(f"{folder}/chunks"), folder, parts=parts)
 
 
 def fits(spark: SparkSession, folder: str, vectors_meta: DataFrame) -> bool:
@@ -51,7 +48,10 @@ def manifest(rows: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def report(rows: DataFrame, columns: list[str]) -> str:
-    """A Markdown table of a small, aggregated frame."""
-    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.select(*columns).limit(1000).collect()]
+def report(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A Markdown table of a small, aggregated frame; more than `most` rows are an error."""
+    lines = rows.select(*columns).limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in lines]
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *body])

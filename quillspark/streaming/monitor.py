@@ -16,8 +16,8 @@ def tail(spark, folder: str) -> DataFrame:
 
 
 def rising_edges(events: DataFrame, resend_seconds: int = 6 * 3600) -> DataFrame:
-    """(kind, ts) to send, of a stream (kind, ts, active): when a kind becomes active, and again each time the span has passed while it
-    stays so; cleared when inactive. State is two numbers a kind."""
+    """(kind, ts) to send, of a stream (kind, ts, active): when a kind becomes active, and again once the span has passed since the last
+    one while it stays so; cleared when inactive. State is two numbers a kind."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         active, sent = state.get if state.exists else (False, 0)
@@ -26,7 +26,7 @@ def rising_edges(events: DataFrame, resend_seconds: int = 6 * 3600) -> DataFrame
             at = int(row.ts.value // 1000)
             if not row.active:
                 active = False
-            elif not active or at - sent > resend_seconds * 1_000_000:
+            elif not active or at - sent >= resend_seconds * 1_000_000:
                 out.append((key[0], row.ts))
                 active, sent = True, at
         state.update((bool(active), int(sent)))

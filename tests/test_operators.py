@@ -141,7 +141,7 @@ def test_metering(spark):
 def test_inventory(spark):
     df = spark.createDataFrame([("g", i) for i in range(10)], "k string, n int")
     assert [r.n for r in inventory.systematic(df, ["k"], ["n"], 4).orderBy("n").collect()] == [0, 3, 6, 9]
-    assert [r.n for r in inventory.systematic(df, ["k"], ["n"], 1).collect()] == [5]
+    assert [r.n for r in inventory.systematic(df, ["k"], ["n"], 1).collect()] == [4]
     paths = spark.createDataFrame([("古籍/a.wiki",), ("講座/x/y.json",), ("文件/舊檔/z.PDF",)], "source string")
     assert [(r.group, r.include) for r in inventory.classified(paths).collect()] == [("classics", True), ("transcripts", True), ("old", False)]
     assert [r.c for r in paths.select(inventory.category(F.col("source")).alias("c")).collect()] == ["document", "document", "document"]
