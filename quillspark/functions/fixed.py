@@ -41,3 +41,8 @@ NUMBERED = r"(?m)^\s*([一二三四五六七八九十百千〇零兩两\d]{1,7})
 #: Fillers of speech that scoring leaves out; those that don't count as spoken in a correction.
 FILLERS = "嗯啊哈呃哦欸誒诶喔唉噢"
 SPOKEN_FILLERS = "嗯啊哈呃哦噢唉欸呀耶"
+#: What symbol fonts leave in the private use area, and what it is.
+SYMBOLS = {"\uf0e0": "→", "\uf0e8": "⇒", "\uf0df": "←", "\uf04a": "☺", "\uf0b2": "•"}
+#: A glossary of pronunciations begins with the name of a chapter; an entry of it.
+GLOSS_HEAD = "^(?:序|[\u3400-\u9fff]{1,12}(?:論|篇))："
+GLOSS_ENTRY = "（[^）]*(?:切|音)[^）]*）"

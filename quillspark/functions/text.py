@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillspark.functions.fixed import DATES, HEADINGS_1, HEADINGS_2, PAGE_MARK, PARTICLES, SENTENCE, VARIANTS
+from quillspark.functions.fixed import DATES, HEADINGS_1, HEADINGS_2, PAGE_MARK, PARTICLES, SENTENCE, SYMBOLS, VARIANTS
 
 #: Han as the token rule has it.
 HAN = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{3134f}"
@@ -163,7 +163,9 @@ def is_garbage(text: Column, least: int = 20) -> Column:
 
 
 def clean_extracted(text: Column) -> Column:
-    """Private-use and replacement characters become nothing at an edge or beside white space, a space elsewhere."""
+    """Symbols of known fonts become what they show; other private-use and replacement characters nothing at an edge or beside white
+    space, a space elsewhere."""
+    text = F.translate(text, "".join(SYMBOLS), "".join(SYMBOLS.values()))
     run = r"[\x{e000}-\x{f8ff}\x{fffd}]+"
     edges = F.regexp_replace(text, rf"(?U)^{run}|{run}$|(?<=\s){run}|{run}(?=\s)", "")
     return F.regexp_replace(edges, run, " ")

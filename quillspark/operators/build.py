@@ -182,7 +182,11 @@ def cited_answers(answers: DataFrame, citations: DataFrame) -> DataFrame:
     Answers are matched to bases by the bases' own lengths, an equality join.
     """
     sizes = [r.n for r in citations.select(F.length("base").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("answer_text") - n + 1, F.lit(1))), lambda i, n=n: F.struct(i.alias("at"), F.substring(F.col("answer_text"), i, F.lit(n)).alias("base"))) for n in sizes or [1]]))
+
+    def said(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("answer_text") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring(F.col("answer_text"), i, F.lit(n)).alias("base")))
+
+    grams = F.flatten(F.array(*[said(n) for n in sizes or [1]]))
     places = answers.select("answer", F.col("text").alias("answer_text")).select("answer", "answer_text", F.explode(grams).alias("g")).select("answer", "answer_text", "g.at", "g.base")
     named = places.join(citations.select("base").distinct(), "base").withColumn("until", F.col("at") + F.length("base"))
     w = Window.partitionBy("answer").orderBy("at", F.desc("until"))

@@ -157,3 +157,24 @@ def daily_firsts(rows: DataFrame, keys: list[str], ts: str, order: list[str], ho
     some = rows.withColumn("day_", F.to_date(local)).where(F.hour(local) >= hour)
     w = Window.partitionBy(*keys, "day_").orderBy(ts, *order)
     return some.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_", "day_")
+
+
+#: Of a tool's arguments: their kind, bounds (of a whole number, or of a text's length), default; no default: it has to be there.
+Arguments = dict[str, tuple[type, int, int, object]]
+
+
+def arguments(spec: Arguments, given: object) -> dict:
+    """The arguments of a call with their defaults; unknown ones, wrong kinds and values out of bounds are errors. Texts are trimmed, and
+    not empty; true and false are no numbers."""
+    if not isinstance(given, dict):
+        raise ValueError("arguments are an object")
+    if given.keys() - spec.keys():
+        raise ValueError(f"unknown arguments: {sorted(given.keys() - spec.keys())}")
+    out = {}
+    for name, (kind, lo, hi, default) in spec.items():
+        value = given.get(name, default)
+        value = value.strip() if isinstance(value, str) else value
+        if type(value) is not kind or not lo <= (len(value) if kind is str else value) <= hi:
+            raise ValueError(f"{name} is not a {kind.__name__} from {lo} to {hi}")
+        out[name] = value
+    return out

@@ -135,6 +135,49 @@ def repaired_name(name: str) -> str:
     return name
 
 
+def repaired_part(name: str) -> str:
+    """A name that Big5 bytes were read as GB, as far as it can be undone: from each place the longest run that decodes; other characters
+    stay. Names are short."""
+    out, i = [], 0
+    while i < len(name):
+        for j in range(len(name), i, -1):
+            if not name[i:j].isascii():
+                try:
+                    out.append(name[i:j].encode("gb18030").decode("big5"))
+                    break
+                except (UnicodeDecodeError, UnicodeEncodeError):
+                    pass
+        else:
+            j = i + 1
+            out.append(name[i])
+        i = j
+    return "".join(out)
+
+
+def repaired_paths(path: Column, folder: str) -> Column:
+    """Paths whose parts below a folder (whose name holds `folder`) were read in the wrong encoding, repaired as far as possible; others
+    as they are."""
+
+    @F.pandas_udf(StringType())
+    def f(s: pd.Series) -> pd.Series:
+        def one(p: str | None) -> str | None:
+            parts = p.split("/") if p else []
+            at = next((i for i, x in enumerate(parts) if folder in x), None)
+            if at is None:
+                return p
+            return "/".join([*parts[: at + 1], *(repaired_part(x) for x in parts[at + 1 :])])
+
+        return s.map(one)
+
+    return F.when(F.contains(path, F.lit(folder)), f(path)).otherwise(path)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def word_paragraphs(data: pd.Series) -> pd.Series:
+    """recovered_word of a binary column."""
+    return data.map(lambda d: recovered_word(bytes(d)) if d is not None else [])
+
+
 def recovered_word(data: bytes, least: int = 8) -> list[str]:
     """Paragraphs of text in a broken compound Word file: runs of UTF-16 without field codes, in which most characters are text."""
     text = data[len(data) % 2 :].decode("utf-16-le", "replace") if len(data) % 2 else data.decode("utf-16-le", "replace")

@@ -190,7 +190,11 @@ def term_links(classics: DataFrame, targets: DataFrame, terms: DataFrame, n: int
         sizes = [1]
     w = Window.partitionBy("kind", "source").orderBy("row")
     rows = targets.select("row", "id", "kind", "source", "text", F.coalesce("section", F.lit("")).alias("place")).withColumn("earlier", F.coalesce(F.lag("text").over(w), F.lit("")))
-    grams = lambda c: F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n_ + 1, F.lit(1))), lambda i, n_=n_: F.substring(F.col(c), i, F.lit(n_))) for n_ in sizes]))
+
+    def parts(c: str, n_: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n_ + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n_)))
+
+    grams = lambda c: F.flatten(F.array(*[parts(c, n_) for n_ in sizes]))
     named = rows.select("row", F.explode(F.array_distinct(F.concat(grams("text"), grams("earlier"), F.array(F.element_at(F.split("place", r"\s+"), -1))))).alias("alias")).join(terms, "alias").select("row", "alias", "term")
     head = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit(numbered), F.regexp_replace("alias", r"([\\.^$|?*+()\[\]{}])", r"\\$1"))), F.lit(False))
     hits = named.join(rows, "row").withColumns({"heading": head(F.col("text")), "nearby": head(F.col("earlier")), "early": F.contains(F.substring("text", 1, 80), F.col("alias")) | (F.element_at(F.split("place", r"\s+"), -1) == F.col("alias")), "holds": F.contains(F.col("text"), F.col("alias"))})

@@ -55,6 +55,11 @@ def usage(log: DataFrame) -> DataFrame:
     return p.groupBy(provider(F.col("model")).alias("provider"), "effort", error_kind(F.col("error_type")).alias("kind")).agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.avg("rounds").alias("mean_rounds"))
 
 
+def remaining(progress: DataFrame, left_hours: Column) -> DataFrame:
+    """progress with `eta_hours`: how long what is left takes at the speed so far; null without a speed."""
+    return progress.withColumn("eta_hours", F.when(F.col("speed") > 0, left_hours / F.col("speed")))
+
+
 def progress(rows: DataFrame, keys: list[str], done_hours: Column, wall_hours: Column) -> DataFrame:
     """(keys, items, speed): hours of material for an hour of work."""
     s = rows.groupBy(*keys).agg(F.count("*").alias("items"), F.sum(done_hours).alias("d"), F.sum(wall_hours).alias("w"))

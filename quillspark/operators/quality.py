@@ -250,3 +250,52 @@ def transcript_problems(raw: DataFrame, text: str = "value") -> DataFrame:
         return s.map(check)
 
     return raw.withColumn("problems", f(F.col(text)))
+
+
+def corrected_problems(raw: DataFrame, text: str = "value") -> DataFrame:
+    """raw with `problems`: what is wrong with a corrected transcript in JSON: with its pieces, with what a correction adds to its lines, and
+    with what is left without them, as for any transcript."""
+    import json
+
+    kept = {"text_asr", "corrected"}
+
+    def check(t: str | None) -> tuple[list[str], str]:
+        try:
+            d = json.loads(t or "")
+            pieces, lines = d["correction"]["chunks"], d["segments"]
+        except (ValueError, KeyError, TypeError):
+            return ["not a corrected document"], ""
+        out = []
+        for i, p in enumerate(pieces):
+            if p.get("status") not in ("ok", "partial", "failed"):
+                out.append(f"piece {i} has no status")
+            if any(type(p.get(c)) is not int or p[c] < 0 for c in ("attempts", "searches", "fallback_lines")):
+                out.append(f"piece {i} has bad counts")
+        for i, s in enumerate(lines):
+            if not isinstance(s.get("text_asr"), str) or type(s.get("corrected")) is not bool:
+                out.append(f"line {i} lacks its correction")
+            elif not s["corrected"] and s.get("text") != s["text_asr"]:
+                out.append(f"line {i} differs though it isn't corrected")
+        rest = {k: v for k, v in d.items() if k != "correction"} | {"segments": [{k: v for k, v in s.items() if k not in kept} for s in lines]}
+        return out, json.dumps(rest)
+
+    kind = StructType([StructField("own", ArrayType(StringType())), StructField("rest", StringType())])
+
+    @F.pandas_udf(kind)
+    def f(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([check(t) for t in s], columns=["own", "rest"])
+
+    checked = raw.withColumn("c_", f(F.col(text))).withColumn("rest_", F.col("c_.rest"))
+    whole = transcript_problems(checked, "rest_")
+    return whole.withColumn("problems", F.when(F.col("rest_") == "", F.col("c_.own")).otherwise(F.concat("c_.own", "problems"))).drop("c_", "rest_")
+
+
+def aligned_lines(replies: DataFrame, keys: list[str], output: str = "output", labels: str = "labels") -> DataFrame:
+    """(keys, at, label, line) of replies and the labels they should have: aligned() for a column; null for a line that isn't there."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def f(o: pd.Series, l: pd.Series) -> pd.Series:  # noqa: E741
+        return pd.Series([aligned(a or "", list(b)) for a, b in zip(o, l, strict=True)], dtype=object)
+
+    both = replies.select(*keys, F.col(labels).alias("l_"), f(F.col(output), F.col(labels)).alias("a_"))
+    return both.select(*keys, F.posexplode(F.arrays_zip(F.col("l_").alias("label"), F.col("a_").alias("line"))).alias("at", "x")).select(*keys, "at", "x.label", "x.line")

@@ -33,6 +33,16 @@ def _part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(parts)).cast("int")
 
 
+def _parts_of(spark: SparkSession, terms: list[str], parts: int) -> list[int]:
+    """_part of a few terms, without a job where the hash is at hand."""
+    try:
+        import xxhash
+    except ImportError:
+        return [r.part for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"), parts).alias("part")).distinct().collect()]
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    return sorted({signed(xxhash.xxh64(t[:1].encode(), seed=42).intdigest()) % parts for t in terms})
+
+
 def write_index(rows: DataFrame, folder: str, key: str = "row", text: str = "text", kind: str | None = "kind", parts: int = PARTS) -> None:
     """The inverted index of rows below a folder: postings (term, key, tf, size, kind) and one row of figures.
 
@@ -101,8 +111,7 @@ def bm25_indexed(index: Index, question: str, kind: str | None = None, limit: in
     some = wanted[0]
     for w in wanted[1:]:
         some = some | w
-    spark = p.sparkSession
-    parts = [r.part for r in spark.createDataFrame([(t,) for t, _ in terms], "term string").select(_part(F.col("term"), index.parts).alias("part")).distinct().collect()]
+    parts = _parts_of(p.sparkSession, [t for t, _ in terms], index.parts)
     hits = p.where(F.col("part").isin(parts)).where(some)
     is_term = lambda t, prefix: F.col("term").startswith(t) if prefix else F.col("term") == t
     counted = hits.groupBy("key", "kind", "size").agg(*[F.coalesce(F.sum(F.when(is_term(*t), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, t in enumerate(terms)])

@@ -64,7 +64,7 @@ def s_bm25(source: str, key: str, terms: list[tuple[str, bool]], kind: str | Non
 
 #: A question and its terms: pairs of characters, without those that hold a particle.
 ASK, _TERMS = "脅下悶痛的霜壺湯", [("脅下", False), ("下悶", False), ("悶痛", False), ("霜壺", False), ("壺湯", False)]
-_INDEXES: dict[tuple[str, str, str], str] = {}
+_INDEXES: dict[tuple[str, str, str], search.Index] = {}
 
 
 def _index(spark: SparkSession, d: str, name: str, key: str) -> search.Index:
@@ -73,8 +73,8 @@ def _index(spark: SparkSession, d: str, name: str, key: str) -> search.Index:
     if at not in _INDEXES:
         folder = shared_folder(spark)
         search.write_index(table(spark, d, name), folder, key)
-        _INDEXES[at] = folder
-    return search.open_index(spark, _INDEXES[at])
+        _INDEXES[at] = search.open_index(spark, folder)
+    return _INDEXES[at]
 
 
 def dimension(df: DataFrame, most: int = 10_000) -> list:
@@ -441,7 +441,15 @@ def course_links(spark: SparkSession, d: str) -> DataFrame:
     return links.course_links(c.where("kind = 'classic'"), c.where("kind = 'transcript'"))
 
 
-@query()
+_LAST = lambda c, p: f"regexp_split_to_array(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '{p}')[-1]"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT {_LAST('section', '\\s+|、')} AS term FROM chunks WHERE kind = 'classic' AND section IS NOT NULL AND length({_LAST('section', '\\s+|、')}) >= 2),
+h AS (SELECT "row", id, kind, term, text, regexp_matches(text, '[一二三四五六七八九十百千〇零0-9]{{1,5}}[、：]\\s*' || term) AS heading FROM chunks, t WHERE kind <> 'classic' AND contains(text, term) AND (contains(substr(text, 1, 80), term) OR coalesce(regexp_split_to_array(section, '\\s+')[-1], '') = term)),
+o AS (SELECT DISTINCT id AS classic_id, {_LAST('section', '\\s+|、')} AS term, {s_compact('substr(text, 1, 100)')} AS k FROM chunks WHERE kind = 'classic' AND section IS NOT NULL),
+m AS (SELECT classic_id, kind, "row", id, heading, {s_bigrams('k')} AS a, {s_bigrams(s_compact('text'))} AS b FROM o JOIN h USING (term)),
+s AS (SELECT classic_id, kind, "row", id, max(round(0.35 + CASE WHEN heading THEN 0.25 ELSE 0 END + 0.15 + 0.15 * CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0 END + 1e-10, 3)) AS score FROM m GROUP BY ALL)
+SELECT classic_id, id AS target_id, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY classic_id, kind ORDER BY score DESC, "row") AS n FROM s) WHERE n <= 3""")
 def term_links(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
     terms = c.where("kind = 'classic' and section is not null").select(F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1).alias("term")).distinct().where("length(term) >= 2").withColumn("alias", F.col("term"))

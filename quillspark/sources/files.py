@@ -178,3 +178,14 @@ def external(rows: DataFrame, schema: str, call: Callable[[dict], dict]) -> Data
                 yield pd.DataFrame([call(r) for r in f.to_dict("records")])
 
     return rows.mapInPandas(run, schema)
+
+
+CORRECTED = f"schema string, source string, duration_sec double, segments array<struct<start: double, end: double, text_raw: string, text: string, text_asr: string, corrected: boolean, speaker: string, low_confidence: boolean>>, correction struct<model: string, prompt_sha256: string, max_search: int, chunks: array<struct<start: double, end: double, status: string, attempts: int, searches: int, fallback_lines: int, engine: string>>>"
+
+
+def corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, at, segment fields, piece): segments of corrected transcripts below a folder, each with the number of the piece it is in."""
+    docs = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").schema(CORRECTED).json(folder)
+    lines = docs.select("source", F.col("correction.chunks").alias("pieces"), F.posexplode("segments").alias("at", "s"))
+    piece = F.size(F.filter("pieces", lambda p: p["start"] <= F.col("s.start")))
+    return lines.select("source", "at", "s.*", piece.alias("piece"))

@@ -55,3 +55,12 @@ def report(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
         raise ValueError(f"a report has at most {most} rows")
     body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in lines]
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *body])
+
+
+def checked_documents(documents: DataFrame, path: str, problems) -> None:
+    """Writes documents (value: JSON) if `problems` (a function that adds the column problems) finds nothing in any of them; else nothing is
+    written. The commit of the job is all or nothing."""
+    wrong = problems(documents).where(F.size("problems") > 0).limit(1).collect()
+    if wrong:
+        raise ValueError(f"a document is not valid: {wrong[0].problems[:3]}")
+    documents.select("value").write.mode("overwrite").text(path)

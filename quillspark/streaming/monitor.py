@@ -74,3 +74,28 @@ def to_memory(stream: DataFrame, name: str, mode: str = "append"):
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def snapshots(lines: DataFrame, kind: str) -> DataFrame:
+    """Status snapshots from a stream of JSON lines (value): the fields of `kind` and `readable`; what isn't an object is a row of nulls that
+    isn't readable, so that it can alert."""
+    read = F.from_json("value", kind, {"mode": "PERMISSIVE"})
+    return lines.select(read.alias("s"), F.col("value").rlike(r"^\s*\{.*\}\s*$").alias("readable")).select("s.*", "readable")
+
+
+def daily_summaries(status: DataFrame, hour: int, offset_hours: int = 8) -> DataFrame:
+    """(key, day, ts): of a stream (key, ts, ...) the first time each local day that it isn't before `hour`. State is a day a key."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (last,) = state.get if state.exists else ("",)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
+            local = row.ts + pd.Timedelta(hours=offset_hours)
+            day = f"{local:%Y-%m-%d}"
+            if local.hour >= hour and day > last:
+                out.append((key[0], day, row.ts))
+                last = day
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["key", "day", "ts"])
+
+    return status.groupBy("key").applyInPandasWithState(step, "key string, day string, ts timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
