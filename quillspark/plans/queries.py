@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions import vectors as V
-from quillspark.functions import script
-from quillspark.operators import build, chunking, control, dedupe, inventory, links, metering, pages, pricing, quality, scoring, search, windows
+from quillspark.functions import numerals, script
+from quillspark.operators import build, chunking, control, dedupe, inventory, layout, links, metering, pages, pricing, quality, scoring, search, windows
 from quillspark.sources.shared import shared_folder
 from quillspark.sources.tables import table
+from quillspark.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -759,3 +760,55 @@ def clip_summary(spark: SparkSession, d: str) -> DataFrame:
     words = [r.key for r in dimension(scoring.term_keys(table(spark, d, "courses").select(F.explode("hotwords").alias("term")))[0])]
     scores = scoring.clip_scores(scoring.grid(clips, ["one", "two"], results, references), words)
     return rounded(scoring.summary(scores), "cer", "term_recall", "mean_rtf", "low_confidence")
+
+
+# --- layout, numerals, streams --------------------------------------------------------------------------------------------
+_DIGITS = "一二三四五六七八九"
+_COUNTED = [((_DIGITS[t - 1] if t > 1 else "") + ("十" if t else "") + (_DIGITS[o - 1] if o else ""), 10 * t + o) for t in range(10) for o in range(10) if t + o]
+
+
+@query(f"SELECT \"row\", n AS number FROM chunks JOIN (VALUES {', '.join(map(str, _COUNTED))}) v(w, n) ON w = split_part(section, '、', 1) WHERE section LIKE '%、%'")
+def section_numbers(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").where("section like '%、%'")
+    return c.select("row", numerals.number_of(F.substring_index("section", "、", 1)).alias("number")).where("number is not null")
+
+
+@query("SELECT log_id, received_at FROM (SELECT *, row_number() OVER (PARTITION BY effort ORDER BY received_at DESC) AS n FROM answer_log) WHERE n <= 50")
+def newest_logs(spark: SparkSession, d: str) -> DataFrame:
+    return layout.newest(table(spark, d, "answer_log"), ["effort"], "received_at", 50)[0].select("log_id", "received_at")
+
+
+@query("SELECT doc_id, CASE WHEN n <= 9000 - before THEN text ELSE substr(text, 1, greatest(9000 - before - 1, 0)::INT) || '…' END AS text FROM (SELECT doc_id, text, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WHERE text IS NOT NULL) WHERE before < 9000")
+def capped_texts(spark: SparkSession, d: str) -> DataFrame:
+    return layout.capped_output(table(spark, d, "documents").where("text is not null"), ["source"], ["doc_id"], "text", 9000).select("doc_id", "text")
+
+
+@query("SELECT source, round(sum(greatest(coalesce(next, \"end\") - start, 0)) / 3600, 6) AS hours FROM (SELECT source, start, \"end\", lead(start) OVER (PARTITION BY source ORDER BY start) AS next FROM chunks WHERE start IS NOT NULL AND \"end\" IS NOT NULL) GROUP BY source")
+def audio_hours(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").where("start is not null and `end` is not null")
+    return rounded(layout.audio_hours(c, ["source"]).groupBy("source").agg(F.sum("hours").alias("hours")), "hours")
+
+
+@query("WITH s AS (SELECT event_id, user_id, ts::DATE AS page, {'t': regexp_replace(event_type, '[0-9]+', '#', 'g'), 'x': floor(value / 40 / 6), 'y': 0} AS shape FROM events), p AS (SELECT user_id, count(DISTINCT page) AS pages FROM s GROUP BY 1), o AS (SELECT user_id, shape FROM s JOIN p USING (user_id) GROUP BY user_id, shape, pages HAVING count(DISTINCT page) >= greatest(3, pages * 0.3)) SELECT event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id = s.user_id AND o.shape = s.shape)")
+def page_furniture(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for spans: users for documents, days for pages."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.to_date(F.col("ts").cast("timestamp")).alias("page"), (F.col("value") / 40).alias("x"), F.lit(0.0).alias("y"), F.col("event_type").alias("text"))
+    return layout.furniture(e, ["user_id"]).select("event_id")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts)::TIMESTAMP - INTERVAL 1 HOUR FROM events) GROUP BY ALL")
+def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, counted by days as they close."""
+    kind = table(spark, d, "events").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = shared_folder(spark)
+    counts = monitor.sliding_counts(stream, size="1 day", step="1 day")
+    counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema("span struct<start: timestamp, `end`: timestamp>, event_type string, n bigint").parquet(out)
+    return closed.select(F.col("span.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query()
+def classic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").where("kind = 'classic'")
+    return chunking.classic_chunks(c.select(F.col("source").alias("book"), F.col("row").alias("ordinal"), F.col("id").alias("unit"), "section", F.lit(None).cast("int").alias("number"), "text"))
