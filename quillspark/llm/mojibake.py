@@ -27,6 +27,7 @@ PHRASES, DRAWN, DICTIONARY, RARE = 4000, 4000, 32 * 1024, 0.004
 CHAIN_COST, LEAST_GAIN = 2.0, 3.0
 #: Fixed values: (read as, written in). "1252" is cp1252 with the bytes it leaves out taken as they are.
 CHAINS = [(w, "utf-8") for w in ("1252", "latin-1", "cp437", "mac_roman", "koi8_r", "gb18030", "cp950", "cp1251", "cp866")] + [(w, t) for t in ("gb18030", "cp950", "cp932") for w in ("1252", "latin-1", "mac_roman", "cp437", "koi8_r", "cp1251", "gb18030", "cp950") if w != t]
+READ_AS = tuple(dict.fromkeys(w for w, _ in CHAINS))
 #: Kinds that misreading makes: controls, Latin supplement and signs, box drawing, private use, the replacement mark.
 STRANGE = re.compile(r"[\x80-\x9f¡-¿Â-Ã×Ø÷ø‚„…†‡ˆ‰‹•˜™›œžŸŒŽƒ∏∑√∞∫≈≠≤≥◊⌐⌠⌡─-▟Ѐ-ӿ-�]")
 LOST = "�"
@@ -47,20 +48,24 @@ def _single_byte(name: str) -> dict[str, int]:
 _TABLES = {w: _single_byte(w) for w in ("1252", "latin-1", "cp437", "mac_roman", "koi8_r", "cp1251", "cp866")}
 
 
-def unread(text: str, read_as: str, written_in: str) -> tuple[str, bool] | None:
-    """The text as it was written, and whether something was lost; null if it can't have come so."""
-    parts = text.split(LOST)
+def bytes_of(text: str, read_as: str) -> bytes | None:
+    """The bytes that were read as this text, marks of losses as 0xff; null if it can't have come so, or if they are ASCII, which all readings share."""
     try:
         if read_as in _TABLES:
             table = _TABLES[read_as]
-            raw = b"\xff".join(bytes([table[c] for c in p]) for p in parts)
+            raw = bytes([0xFF if c == LOST else table[c] for c in text])
+        elif LOST in text:
+            raw = b"\xff".join(p.encode(read_as) for p in text.split(LOST))
         else:
-            raw = b"\xff".join(p.encode(read_as) for p in parts)
+            raw = text.encode(read_as)
     except (KeyError, UnicodeEncodeError):
         return None
-    if raw.isascii():
-        return None
-    if len(parts) == 1:
+    return None if raw.isascii() else raw
+
+
+def decoded(raw: bytes, lost: bool, written_in: str) -> tuple[str, bool] | None:
+    """Bytes as they were written, and whether something was lost, be it before (`lost`) or here; null if too much was."""
+    if not lost:
         try:
             return raw.decode(written_in), False
         except UnicodeDecodeError:
@@ -70,6 +75,12 @@ def unread(text: str, read_as: str, written_in: str) -> tuple[str, bool] | None:
     return (out, True) if out.count(LOST) * 4 <= len(out) else None
 
 
+def unread(text: str, read_as: str, written_in: str) -> tuple[str, bool] | None:
+    """The text as it was written, and whether something was lost; null if it can't have come so."""
+    raw = bytes_of(text, read_as)
+    return None if raw is None else decoded(raw, LOST in text, written_in)
+
+
 def language(text: str) -> str:
     """A coarse class for the dictionaries."""
     kana, han = len(re.findall(r"[ぁ-ヿ]", text)), len(re.findall(r"[㐀-鿿]", text))
@@ -105,15 +116,21 @@ def hidden(text: str) -> list[tuple[int, int]]:
     return out
 
 
+WIDE = ("ja", "hans", "hant")
+_WIDE = re.compile(r"[ぁ-ヿ㐀-鿿]")
+
+
 class Describer:
-    """Lengths of description, in bytes: the shortest over the languages."""
+    """Lengths of description, in bytes: the shortest over the languages that are written in the text's script."""
 
-    def __init__(self, dictionaries: list[bytes]):
-        self.of = [zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in dictionaries] or [zstandard.ZstdCompressor(level=6)]
+    def __init__(self, dictionaries: list[tuple[str, bytes]]):
+        made = lambda d: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+        some = [(name in WIDE, made(d)) for name, d in dictionaries] or [(False, zstandard.ZstdCompressor(level=6))]
+        self.of = {wide: [c for w, c in some if w == wide] or [c for _, c in some] for wide in (False, True)}
 
     def __call__(self, text: str) -> int:
         raw = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(raw)) for c in self.of)
+        return min(len(c.compress(raw)) for c in self.of[_WIDE.search(text) is not None])
 
 
 _PHRASE = {True: re.compile(r"[^\s\x00-\x7f　-〿！-／：-？［-｀｛-､‘-”…]{3,16}"), False: re.compile(r"[^\n.,;:!?()\"]{4,40}")}
@@ -124,7 +141,7 @@ def phrases(text: str) -> tuple[str, list[str]] | None:
     if len(STRANGE.findall(text)) * 50 > len(text) or hidden(text):
         return None
     name = language(text)
-    return name, [p for p in _PHRASE[name in ("ja", "hans", "hant")].findall(text) if not STRANGE.search(p)]
+    return name, [p for p in _PHRASE[name in WIDE].findall(text) if not STRANGE.search(p)]
 
 
 def frequent_phrases(df: DataFrame, text: str) -> list[tuple[str, str, int]]:
@@ -146,20 +163,20 @@ def frequent_phrases(df: DataFrame, text: str) -> list[tuple[str, str, int]]:
     return [(r.lang, r.phrase, r.n) for r in counted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PHRASES).orderBy("lang", "k").collect()]
 
 
-def dictionaries(best: list[tuple[str, str, int]]) -> list[bytes]:
+def dictionaries(best: list[tuple[str, str, int]]) -> list[tuple[str, bytes]]:
     """One dictionary a language, trained on passages of its phrases, drawn as often as the corpus has them."""
     out = []
     for name in sorted({b[0] for b in best}):
         some = [p.encode() for lang, p, _ in best if lang == name]
         often = np.array([n for lang, _, n in best if lang == name], float)
         drawn = np.random.default_rng(31).choice(len(some), (DRAWN, 12), p=often / often.sum())
-        pause = "，" if name in ("ja", "hans", "hant") else ", "
+        pause = "，" if name in WIDE else ", "
         try:
             made = zstandard.train_dictionary(DICTIONARY, [pause.encode().join(some[i] for i in row) for row in drawn], level=6).as_bytes()
         except zstandard.ZstdError:  # too little to train on: the phrases themselves are the dictionary, the best last
             made = b"".join(reversed(some))[-DICTIONARY:]
         if len(made) >= 8:
-            out.append(made)
+            out.append((name, made))
     return out
 
 
@@ -184,7 +201,7 @@ def rare_characters(df: DataFrame, text: str) -> tuple[str, int]:
 
 
 class Finder:
-    def __init__(self, common: str, dicts: list[bytes]):
+    def __init__(self, common: str, dicts: list[tuple[str, bytes]]):
         self.odd = np.ones(0x110000, np.int8)
         self.odd[[ord(c) for c in common]] = 0
         self.odd[:128] = -1
@@ -236,13 +253,16 @@ class Finder:
             return known and (known[0], a0 + known[1], a0 + known[2], *known[3:])
         if whole[1] in self.hopeless:
             return None
-        best, own, core, some = None, None, set(text[lo:hi]), False
+        best, own, some = None, None, False
+        core = set(whole[1]) - {LOST}
+        raws = {w: bytes_of(whole[1], w) for w in READ_AS if w not in _TABLES or core <= _TABLES[w].keys()}
         for w, t in CHAINS:
-            if w in _TABLES and not core <= _TABLES[w].keys() | {LOST}:
+            raw = raws.get(w)
+            if raw is None:
                 continue
             tries: list[tuple[int, int, str, bool]] = []
-            got = unread(text[lo:hi], w, t)
-            if got is None or got[0] == text[lo:hi]:
+            got = decoded(raw, LOST in whole[1], t)
+            if got is None or got[0] == whole[1]:
                 continue
             some = True
             tries.append((lo, hi, *got))
