@@ -29,8 +29,8 @@ SAMPLE, SETTLED = 12, 0.01
 FEW = 20_000
 #: Entries kept where only those above a similarity are of interest.
 WIDE = 48
-#: Of the greedy search: the beam's width, its steps, and the nodes from which a query can start.
-BEAM, STEPS, ENTRIES = 128, 5, 1024
+#: Of the greedy search: the beam's width, its steps, the nodes from which queries can start, and from how many of them one does.
+BEAM, STEPS, ENTRIES, STARTS = 192, 6, 4096, 96
 #: The least cosine of a pair, and how far codes can be off.
 COSINE, SLACK = 0.90, 0.01
 
@@ -458,7 +458,7 @@ def search(queries: DataFrame, vectors: DataFrame, lists: DataFrame, report: int
                 if len(u) in known:
                     ids, units = known[len(u)]
                     s = units @ np.frombuffer(u, np.float32)
-                    top = np.argsort(-s, kind="stable")[:8]
+                    top = np.argsort(-s, kind="stable")[:STARTS]
                     yield {"query": np.full(len(top), q), "other": ids[top], "s": s[top]}
 
         return work
