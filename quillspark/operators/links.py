@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
@@ -17,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quillspark.functions import text as X
 from quillspark.functions.fixed import NUMBERED
 from quillspark.functions.numerals import number_of
+from quillspark.sources.tables import spread
 
 
 #: Pairs of characters of the left side, all texts together, up to which they are broadcast.
@@ -38,9 +38,10 @@ def containment_join(left: DataFrame, right: DataFrame, threshold: float, left_k
     match nothing.
     """
     a = left.select(F.col(left_key).alias("a"), _packed(left_text).alias("sa")).where("size(sa) > 0")
-    b = right.select(F.col(right_key).alias("b"), _packed(right_text).alias("sb")).where("size(sb) > 0")
+    texts = spread(right.select(F.col(right_key).alias("b"), F.col(right_text).alias("text_")))
     if (a.agg(F.sum(F.size("sa").cast("bigint")).alias("n")).first().n or 0) <= most:
-        return _counted(a, b, threshold)
+        return _counted(a, texts.select("b", X.compact(F.col("text_")).alias("key")).where("length(key) > 1"), threshold)
+    b = texts.select("b", _packed("text_").alias("sb")).where("size(sb) > 0")
     held = b.select("b", F.explode("sb").alias("g"))
     common = held.groupBy("g").agg(F.count("*").alias("df"))
     wanted = a.select("a", F.size("sa").alias("n"), F.explode("sa").alias("g")).join(common, "g", "left").fillna({"df": 0})
@@ -54,7 +55,7 @@ def containment_join(left: DataFrame, right: DataFrame, threshold: float, left_k
 
 
 def _counted(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of containment_join with the left side broadcast."""
+    """The pairs of containment_join with the left side (a, sa) broadcast; the right one is (b, key), its pairs are made where they are counted."""
     rows = a.collect()
     sizes = np.array([len(r.sa) for r in rows], np.int64)
     grams = np.fromiter((g for r in rows for g in r.sa), np.int64, int(sizes.sum()))
@@ -70,14 +71,13 @@ def _counted(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, starts, lists, sizes, need, keys = shared.value
         for batch in batches:
-            lengths = pc.list_value_length(batch.column(1)).to_numpy()
-            flat = batch.column(1).flatten().to_numpy()
-            where = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-            there = known[where] == flat if len(known) else np.zeros(len(flat), bool)
-            ends = np.cumsum(lengths)
             out_a, out_b, scores = [], [], []
-            for i, (lo, hi) in enumerate(zip(ends - lengths, ends, strict=True)):
-                at = where[lo:hi][there[lo:hi]]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                grams = np.unique(codes[:-1] * 2097152 + codes[1:])
+                where = np.searchsorted(known, grams)
+                near = where < len(known)
+                at = where[near][known[where[near]] == grams[near]]
                 if not len(at):
                     continue
                 hits = np.bincount(np.concatenate([lists[starts[j] : starts[j + 1]] for j in at.tolist()]), minlength=len(sizes))
@@ -88,7 +88,7 @@ def _counted(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(out_a))), batch.column(0).take(pa.array(np.concatenate(out_b))), pa.array(np.concatenate(scores))], schema=arrow)
 
-    return b.select("b", "sb").mapInArrow(run, schema)
+    return b.select("b", "key").mapInArrow(run, schema)
 
 
 def best_per_left(links: DataFrame, n: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions import vectors as V
 from quillspark.operators.layout import case_title, short_section
+from quillspark.sources.shared import written
+from quillspark.sources.tables import spread
 
 K1, B, FUSION = 1.2, 0.75, 60
 KINDS = ("transcript", "document", "classic")
@@ -21,7 +23,7 @@ PARTS, FILE_ROWS = 64, 4_000_000
 
 def postings(rows: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
     """(term, key, tf): how often each term stands in each row."""
-    return rows.select(key, F.explode(X.tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    return spread(rows.select(key, text)).select(key, F.explode(X.tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def lengths(rows: DataFrame, key: str = "row", text: str = "text") -> DataFrame:
@@ -51,7 +53,9 @@ def write_index(rows: DataFrame, folder: str, key: str = "row", text: str = "tex
     frequent term is spread over as many files as it fills.
     """
     of_kind = F.col(kind) if kind and kind in rows.columns else F.lit(None).cast("string")
-    tokens = rows.select(F.col(key).alias("key"), of_kind.alias("kind"), X.tokens(F.col(text)).alias("tokens")).withColumn("size", F.size("tokens"))
+    # tokens are dear to make, so they are made once
+    some = spread(rows.select(F.col(key).alias("key"), of_kind.alias("kind"), F.col(text).alias("text")))
+    tokens = written(some.select("key", "kind", X.tokens(F.col("text")).alias("tokens")).withColumn("size", F.size("tokens")))
     terms = tokens.select("key", "kind", "size", F.explode("tokens").alias("term")).groupBy("term", "key", "kind", "size").agg(F.count("*").cast("int").alias("tf"))
     placed = terms.withColumn("part", _part(F.col("term"), parts)).repartitionByRange("part", "term", "key").sortWithinPartitions("part", "term", "key")
     placed.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").parquet(f"{folder}/postings")
