@@ -30,6 +30,10 @@ SENTENCE = "[^。！？；!?;\\n]*[。！？；!?;\\n]+|[^。！？；!?;\\n]+$"
 PAGE_MARK = r"(?i)^(?:第?\s*\d*\s*[页頁]|P\s*\d+\s*-\s*\d[\d ]*|[IVXLC]+|\d+|[-–—\s\d]+)$"
 #: Eight digits that are a date in a title; words before it that are no name.
 TITLE_DATE = r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
+#: What may follow it: the end of a span of dates, the number of a visit; what is trimmed off a name and a complaint.
+TITLE_SPAN = r"^\s*[~～]\s*(?:19|20)\d{6}"
+TITLE_VISIT = r"^[\s_\-－]*(?:\d{1,2}[_\-－])?"
+TITLE_EDGE = r"^[ _\-－,，]+|[ _\-－,，]+$"
 NO_NAMES = ("醫案", "医案", "病案", "病例", "病患", "診療", "诊疗", "日誌", "日志")
 #: A time code in a section; an article of a section: its number and its text.
 TIME_CODE = r"\s*[（(]\s*\d+\s*[-－]\s*\d{1,2}:\d{2}:\d{2}\s*[）)]"

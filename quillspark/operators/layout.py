@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from quillspark.functions.fixed import ARTICLE, BRACKETS, NO_NAMES, TIME_CODE, TITLE_DATE
+from quillspark.functions.fixed import ARTICLE, BRACKETS, NO_NAMES, TIME_CODE, TITLE_DATE, TITLE_EDGE, TITLE_SPAN, TITLE_VISIT
 from quillspark.functions.text import clip, once, trimmed
 
 
@@ -60,15 +60,14 @@ def recognised_paragraphs(text: pd.Series) -> pd.Series:
 
 def case_title(title: Column) -> Column:
     """struct(date, complaint) of a title of name, eight digits and complaint; null for others. The name doesn't come out."""
-    edge = r"^[ _\-－,，]+|[ _\-－,，]+$"
 
     def parts(t: Column) -> Column:
-        name = F.regexp_replace(F.regexp_extract(t, rf"^(.*?){TITLE_DATE}", 1), edge, "")
+        name = F.regexp_replace(F.regexp_extract(t, rf"^(.*?){TITLE_DATE}", 1), TITLE_EDGE, "")
         named = once(name, lambda x: x.rlike(r"[A-Za-zＡ-Ｚａ-ｚ]") | (x.rlike(r"^[\x{3400}-\x{9fff}]{2,3}$") & ~x.isin(*NO_NAMES)))
         rest = F.regexp_extract(t, rf"^.*?{TITLE_DATE}(.*)$", 4)
-        rest = F.regexp_replace(F.regexp_replace(rest, r"^\s*[~～]\s*(?:19|20)\d{6}", ""), r"^[\s_\-－]*(?:\d{1,2}[_\-－])?", "")
+        rest = F.regexp_replace(F.regexp_replace(rest, TITLE_SPAN, ""), TITLE_VISIT, "")
         shown = F.concat_ws("-", *[F.regexp_extract(t, TITLE_DATE, i) for i in (1, 2, 3)])
-        return F.when(t.rlike(TITLE_DATE) & named, F.struct(shown.alias("date"), F.regexp_replace(rest, edge, "").alias("complaint")))
+        return F.when(t.rlike(TITLE_DATE) & named, F.struct(shown.alias("date"), F.regexp_replace(rest, TITLE_EDGE, "").alias("complaint")))
 
     return once(title, parts)
 
