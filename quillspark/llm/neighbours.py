@@ -36,7 +36,7 @@ COSINE, SLACK = 0.90, 0.01
 
 
 def usable(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:
-    """(key, digest, dims, unit): keys with a vector that isn't null, empty, all zero or not finite; `unit` has length one, as 4-byte
+    """(key, digest, dims, unit): keys, null ones left out, with a vector that isn't null, empty, all zero or not finite; `unit` has length one, as 4-byte
     floats; `digest` has 16 bytes and is equal for equal vectors."""
 
     def make():
@@ -63,7 +63,7 @@ def usable(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:
 
         return work
 
-    return map_batches(df.where(F.size(vec) > 0), [key, vec], f"{key} {df.schema[key].dataType.simpleString()}, digest binary, dims int, unit binary", make)
+    return map_batches(df.where((F.size(vec) > 0) & F.col(key).isNotNull()), [key, vec], f"{key} {df.schema[key].dataType.simpleString()}, digest binary, dims int, unit binary", make)
 
 
 def nodes(keyed: DataFrame) -> DataFrame:

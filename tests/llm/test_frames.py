@@ -168,7 +168,7 @@ def test_queries_from_outside_the_graph(spark):
 
 def test_vectors_of_several_lengths(spark):
     rng = np.random.default_rng(2)
-    rows = [(f"a{i}", rng.normal(size=4).tolist()) for i in range(20)] + [(f"b{i}", rng.normal(size=7).tolist()) for i in range(20)] + [("n", [1.0, None])]
+    rows = [(f"a{i}", rng.normal(size=4).tolist()) for i in range(20)] + [(f"b{i}", rng.normal(size=7).tolist()) for i in range(20)] + [("n", [1.0, None]), (None, [1.0, 2.0, 3.0, 4.0])]
     df = spark.createDataFrame(rows, "key string, vec array<float>")
     out = neighbours.nearest_of_all(df).collect()
     assert len(out) == 400 and all(r.key[0] == r.other_key[0] for r in out)
