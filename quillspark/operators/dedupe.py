@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators.windows import totals_before
 from quillspark.sources.shared import written
 
 LEAST_KEY, COVER = 8, 0.8
@@ -34,10 +35,14 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def repeated_exactly(paras: DataFrame, order: list[str], text: str = "paragraph") -> DataFrame:
-    """paras with `first`: whether no earlier paragraph has the same key; keys under eight characters never count as repeats."""
-    k = X.dedupe_key(F.col(text))
-    n = F.row_number().over(Window.partitionBy("dedupe_key").orderBy(*order))
-    return paras.withColumn("dedupe_key", k).withColumn("first", (F.length("dedupe_key") < LEAST_KEY) | (n == 1))
+    """paras with `first`: whether no earlier paragraph has the same key; keys under eight characters never count as repeats.
+
+    Only keys that come again are joined, with the place of their first, so a key of any number of rows is no task's alone.
+    """
+    keyed = paras.withColumn("dedupe_key", X.dedupe_key(F.col(text)))
+    again = keyed.where(F.length("dedupe_key") >= LEAST_KEY).groupBy("dedupe_key").agg(F.min(F.struct(*order)).alias("first_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    marked = keyed.join(again, "dedupe_key", "left").withColumn("first", F.col("first_").isNull() | (F.struct(*order) == F.col("first_")))
+    return marked.select(*paras.columns, "dedupe_key", "first")
 
 
 def kept_paragraphs(paras: DataFrame, order: list[str], text: str = "paragraph", cover: float = COVER, most: int = 200) -> DataFrame:
@@ -83,9 +88,13 @@ def kept_paragraphs(paras: DataFrame, order: list[str], text: str = "paragraph",
 
 
 def with_suffixes(rows: DataFrame, id_column: str, order: list[str]) -> DataFrame:
-    """Ids made unique: the second of the same id gets -2, the third -3, in order."""
-    n = F.row_number().over(Window.partitionBy(id_column).orderBy(*order))
-    return rows.withColumn("n_", n).withColumn(id_column, F.when(F.col("n_") > 1, F.concat(F.col(id_column), F.lit("-"), F.col("n_"))).otherwise(F.col(id_column))).drop("n_")
+    """Ids made unique: the second of the same id gets -2, the third -3, in order. Only ids that come again are numbered, over ranges, so
+    an id of any number of rows is no task's alone."""
+    again = rows.groupBy(id_column).agg(F.count("*").alias("n_")).where("n_ > 1").select(F.col(id_column).alias("again_"))
+    same = F.col("again_").eqNullSafe(F.col(id_column))
+    numbered = totals_before(rows.join(again, same, "left_semi"), [id_column], order, F.lit(1), "n_")
+    made = F.when(F.col("n_") > 0, F.concat(F.col(id_column), F.lit("-"), (F.col("n_") + 1).cast("bigint"))).otherwise(F.col(id_column))
+    return rows.join(again, same, "left_anti").unionByName(numbered.withColumn(id_column, made).drop("n_"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.windows import totals_before
+
 #: Categories by suffix.
 CATEGORIES = {"video": "mp4 mkv avi mov wmv flv rmvb", "audio": "mp3 m4a wav flac wma", "subtitle": "lrc srt", "document": "doc docx pdf txt htm html chm json wiki", "image": "jpg jpeg png gif", "archive": "zip rar 7z"}
 
@@ -63,14 +65,19 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 
 
 def systematic(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """n rows of each key at equal steps, both ends included; one row: the middle; fewer rows than n: all."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("i_", F.row_number().over(w.orderBy(*order)) - 1).withColumn("m_", F.count("*").over(w))
+    """n rows of each key at equal steps, both ends included; one row: the middle; fewer rows than n: all. Places are found by two passes
+    over ranges, so no task holds a key."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("m_")).withColumnsRenamed({k: f"k_{i}_" for i, k in enumerate(keys)})
+    same = [F.col(f"k_{i}_").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    placed = totals_before(rows, keys, order, F.lit(1), "i_").join(sizes, same)
+    i, m = F.col("i_").cast("bigint"), F.col("m_")
     if n == 1:
-        wanted = F.array(F.floor((F.col("m_") - 1) / 2))
+        taken = i == F.floor((m - 1) / 2)
     else:
-        wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("m_") - 1) / (n - 1)))
-    return placed.where((F.col("m_") <= n) | F.array_contains(wanted, F.col("i_").cast("bigint"))).drop("i_", "m_")
+        # i is floor(k (m - 1) / (n - 1)) for some k: then for the smallest k that reaches it
+        k = F.ceil(i * (n - 1) / (m - 1))
+        taken = F.floor(k * (m - 1) / (n - 1)) == i
+    return placed.where((m <= n) | taken).select(*rows.columns)
 
 
 def episode_and_date(name: Column) -> tuple[Column, Column]:
