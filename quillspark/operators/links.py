@@ -92,7 +92,7 @@ def _counted(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
 
 
 def best_per_left(links: DataFrame, n: int) -> DataFrame:
-    """The n best of each left key; ties by the right key."""
+    """The n best of each left key; ties by the right key. For one left text the order by score is that by shared pairs."""
     return links.withColumn("n_", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("n_") <= n).drop("n_")
 
 
@@ -176,35 +176,54 @@ def coverage(links: DataFrame, classics: DataFrame) -> DataFrame:
     return met.join(F.broadcast(total)).select("target_kind", "linked", (F.col("linked") / F.col("total")).alias("rate"))
 
 
+#: Aliases up to which they are looked for by a pattern.
+ALIASES = 500
+
+
+def held_aliases(terms: DataFrame) -> Callable[[str], Column]:
+    """column → an array that has every alias of terms (alias) that the column's text holds, at every place. Few aliases are looked for by one
+    pattern for each of their lengths, so that overlapping ones are all found; of more than ALIASES all substrings of their lengths
+    come out, of which a join keeps those that are aliases."""
+    sizes = [r.n for r in terms.select(F.length("alias").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    known = [r.alias for r in terms.select("alias").where("alias <> ''").distinct().orderBy("alias").limit(ALIASES + 1).collect()]
+
+    def parts(c: str, n: int) -> Column:
+        if len(known) <= ALIASES:
+            quoted = "|".join(rf"\Q{k}\E" for k in known if len(k) == n)
+            return F.regexp_extract_all(c, F.lit(f"(?=({quoted}))"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+
+    return lambda c: F.flatten(F.array(*[parts(c, n) for n in sizes])) if sizes else F.array().cast("array<string>")
+
+
 def term_links(classics: DataFrame, targets: DataFrame, terms: DataFrame, n: int = 3, numbered: str = "[一二三四五六七八九十百千〇零\\d]{1,5}[、：]\\s*", strict: Column | None = None) -> DataFrame:
     """(classic_id, target_id, kind, score): passages that name a classic's term, the best n of each classic and kind; ties by row.
 
-    `terms` (term, alias) is a dimension. Passages, and the passages before them in their source, are matched to aliases by their own
-    substrings of the alias lengths, an equality join. A passage qualifies by naming the term early (in its first 80
+    `terms` (term, alias) is a dimension. Passages, and the passages before them in their source, are reduced to the aliases they hold (see
+    held_aliases) and joined with the terms by these. A passage qualifies by naming the term early (in its first 80
     characters or at its section's end); where `strict` holds (of the columns `book`, the classic's title, and kind) by a numbered heading of
     the term in it or in the passage before, even if it doesn't name the term itself. The score adds a heading, an early mention, the
     passage before, and how much of the classic is in the passage.
     """
-    sizes = [r.n for r in terms.select(F.length("alias").alias("n")).distinct().orderBy("n").collect()]
-    if not sizes:
-        sizes = [1]
-    w = Window.partitionBy("kind", "source").orderBy("row")
-    rows = targets.select("row", "id", "kind", "source", "text", F.coalesce("section", F.lit("")).alias("place")).withColumn("earlier", F.coalesce(F.lag("text").over(w), F.lit("")))
-
-    def parts(c: str, n_: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n_ + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n_)))
-
-    grams = lambda c: F.flatten(F.array(*[parts(c, n_) for n_ in sizes]))
-    named = rows.select("row", F.explode(F.array_distinct(F.concat(grams("text"), grams("earlier"), F.array(F.element_at(F.split("place", r"\s+"), -1))))).alias("alias")).join(terms, "alias").select("row", "alias", "term")
+    rows = spread(targets.select("row", "id", "kind", "source", "text", F.coalesce("section", F.lit("")).alias("place")))
+    # the passage before is asked for only where a heading in it can decide
+    before = F.lit("") if strict is None else F.coalesce(F.lag("text").over(Window.partitionBy("kind", "source").orderBy("row")), F.lit(""))
+    rows, find = rows.withColumn("earlier", before), held_aliases(terms)
+    held = F.array_distinct(F.concat(find("text"), *([] if strict is None else [find("earlier")]), F.array(F.element_at(F.split("place", r"\s+"), -1))))
+    named = rows.select("row", F.explode(held).alias("alias")).join(terms, "alias").select("row", "alias", "term")
     head = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit(numbered), F.regexp_replace("alias", r"([\\.^$|?*+()\[\]{}])", r"\\$1"))), F.lit(False))
     hits = named.join(rows, "row").withColumns({"heading": head(F.col("text")), "nearby": head(F.col("earlier")), "early": F.contains(F.substring("text", 1, 80), F.col("alias")) | (F.element_at(F.split("place", r"\s+"), -1) == F.col("alias")), "holds": F.contains(F.col("text"), F.col("alias"))})
-    of_term = hits.groupBy("row", "id", "kind", "text", "term").agg(*[F.max(c).alias(c) for c in ("heading", "nearby", "early", "holds")])
-    of = classics.where("section is not null").select(F.col("id").alias("classic_id"), F.col("title").alias("book"), F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1).alias("term"), X.bigrams(F.substring("text", 1, 100)).alias("sa")).distinct()
+    of_term = hits.groupBy("row", "id", "kind", "term").agg(*[F.max(c).alias(c) for c in ("heading", "nearby", "early", "holds")])
+    of = classics.where("section is not null").select(F.col("id").alias("classic_id"), F.col("title").alias("book"), F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1).alias("term"), F.substring("text", 1, 100).alias("begin")).distinct()
     met = of.join(of_term, "term")
     by_heading = F.lit(False) if strict is None else F.coalesce(strict, F.lit(False))
     near = F.col("nearby") & by_heading
     met = met.withColumn("near", near).where(F.when(by_heading, F.col("heading") | F.col("near")).otherwise(F.col("early"))).where(F.col("holds") | F.col("near"))
-    scored = met.withColumn("score", F.round(0.35 + 0.25 * F.col("heading").cast("int") + 0.15 * F.col("early").cast("int") + 0.1 * F.col("near").cast("int") + 0.15 * X.containment(F.col("sa"), X.bigrams(F.col("text"))), 3))
+    # the pairs of characters of a text are made once, not for each unit it is met with
+    units = of.select("begin").distinct().select("begin", X.bigrams(F.col("begin")).alias("sa"))
+    texts = spread(targets.select("row", "text")).join(met.select("row").distinct(), "row", "left_semi").select("row", X.bigrams(F.col("text")).alias("sb"))
+    both = met.join(units, "begin").join(texts, "row")
+    scored = both.withColumn("score", F.round(0.35 + 0.25 * F.col("heading").cast("int") + 0.15 * F.col("early").cast("int") + 0.1 * F.col("near").cast("int") + 0.15 * X.containment(F.col("sa"), F.col("sb")), 3))
     best = scored.groupBy("classic_id", "kind", "row", "id").agg(F.max("score").alias("score"))
     return best.withColumn("n_", F.row_number().over(Window.partitionBy("classic_id", "kind").orderBy(F.desc("score"), "row"))).where(F.col("n_") <= n).select("classic_id", F.col("id").alias("target_id"), "kind", "score")
 
