@@ -347,7 +347,9 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.document_chunks(table(spark, d, "documents"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT key, i, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT m.key, min(m.i), s.n + 1 FROM s JOIN e p ON p.key = s.key AND p.i = s.i JOIN e m ON m.key = s.key AND m.i > s.i AND (m.t - p.t >= 86400 OR m.i - s.i >= 150) GROUP BY m.key, s.i, s.n)
+SELECT e.key, s.n AS "window", min(e.t) AS "first", max(e.t) AS "last", count(*) AS "rows" FROM e ASOF JOIN s ON e.key = s.key AND e.i >= s.i GROUP BY ALL""")
 def correction_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return chunking.time_windows(e, "user_id", "t", ["event_id"], seconds=86400)
@@ -699,7 +701,7 @@ def daily_firsts(spark: SparkSession, d: str) -> DataFrame:
     return control.daily_firsts(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], 9).select("user_id", "event_id")
 
 
-@query()
+@query("SELECT user_id, event_id, round(max(value) OVER (PARTITION BY user_id, r ORDER BY event_id), 6) AS used, r AS reset FROM (SELECT user_id, event_id, value, floor(epoch_us(ts) / 18000000000) * 18000 AS r FROM events)")
 def quota_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("reset", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 18_000_000_000) * 18_000)
     return control.quota_windows(e, "user_id", "event_id", "value", "reset").select("user_id", "event_id", F.round("used", 6).alias("used"), "reset")
