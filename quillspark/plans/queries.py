@@ -11,7 +11,7 @@ from quillspark.functions import text as X
 from quillspark.functions import vectors as V
 from quillspark.functions import numerals, script
 from quillspark.operators import build, chunking, control, dedupe, inventory, layout, links, metering, pages, pricing, quality, scoring, search, windows
-from quillspark.sources.shared import shared_folder
+from quillspark.sources.shared import shared_folder, until_exit
 from quillspark.sources.tables import table
 from quillspark.streaming import monitor
 
@@ -74,6 +74,7 @@ def _index(spark: SparkSession, d: str, name: str, key: str) -> search.Index:
     if at not in _INDEXES:
         folder = shared_folder(spark)
         search.write_index(table(spark, d, name), folder, key)
+        until_exit(spark, folder)
         _INDEXES[at] = search.open_index(spark, folder)
     return _INDEXES[at]
 
@@ -806,6 +807,8 @@ def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
     out = shared_folder(spark)
     counts = monitor.sliding_counts(stream, size="1 day", step="1 day")
     counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    for folder in (out, f"{out}-state"):
+        until_exit(spark, folder)
     closed = spark.read.schema("span struct<start: timestamp, `end`: timestamp>, event_type string, n bigint").parquet(out)
     return closed.select(F.col("span.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 

@@ -23,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The folder, which is there by now, goes when the driver's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: lineage ends, and a lost executor costs nothing.
 
@@ -30,7 +36,5 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

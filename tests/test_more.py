@@ -313,3 +313,37 @@ def test_status_streams(spark, tmp_path):
     assert monitor.to_memory(some, "snaps").where("not readable").count() == 1
     daily = monitor.daily_summaries(some.where("readable"), 9)
     assert sorted((r.day, f"{r.ts:%d %H}") for r in monitor.to_memory(daily, "days").collect()) == [("2024-01-01", "01 05"), ("2024-01-02", "02 05")]
+
+
+def test_small_rules(spark):
+    from quillspark.functions import text as X
+    from quillspark.operators import inventory, metering
+    from quillspark.sources import files
+
+    units = spark.createDataFrame([("v", ["a", "b"]), ("v", []), ("w", None)], "volume string, annotations array<string>")
+    assert {r.volume: r.n for r in build.annotations_by_volume(units).collect()} == {"v": 2, "w": 0}
+    seg = spark.createDataFrame([([("改", "聽", True)],)], "s array<struct<text: string, text_asr: string, corrected: boolean>>").select(build.base_segments(F.col("s")).alias("s"))
+    assert [r.asDict() for r in seg.first().s] == [{"text": "聽"}]
+    one = spark.createDataFrame([("甲乙 �丙",)], "t string")
+    assert one.select(X.clean_extracted(F.col("t")).alias("x")).first().x == "甲 乙 丙→"
+    assert one.select(script.display(F.lit("溼芪")).alias("x")).first().x == "濕耆"
+    f = spark.createDataFrame([("a.mp4", "video", 2 << 20), ("b.mp4", "video", 2 << 20), ("c.zip", "archive", 2 << 20), ("d.zip", "archive", 2 << 20), ("e.mp4", "video", 5), ("f.mp4", "video", 5)], "path string, category string, size long")
+    assert [(r.n, r.first, r.extra) for r in inventory.duplicate_files(f).collect()] == [(2, "a.mp4", 2 << 20)]
+    names = spark.createDataFrame([("第三講240131.lrc", bytearray.fromhex("D0CF11E0A1"))], "n string, head binary")
+    episode, day = inventory.episode_and_date(F.col("n"))
+    assert tuple(names.select(episode, day, inventory.file_format(F.col("n"), F.col("head")), build.folder_group(F.col("n"), [("講", "talks")], "rest")).first()) == ("第三講", "2024-01-31", "doc", "talks")
+    log = spark.createDataFrame([("key=abcdefgh12",)], "question string")
+    assert build.redacted_log(log, ["question"]).first().question == "key=***"
+    ref = spark.createDataFrame([("# 註",), ("[00:01]甲",), ("",)], "value string")
+    assert [r.text for r in files.reference_text(ref).collect()] == ["甲"]
+    speed = metering.progress(spark.createDataFrame([("k", 2.0, 1.0), ("k", 4.0, 2.0)], "k string, d double, w double"), ["k"], F.col("d"), F.col("w"))
+    r = metering.remaining(speed, F.lit(10.0)).first()
+    assert (r["items"], r.speed, r.eta_hours) == (2, 2.0, 5.0)
+    new = build.to_extract(spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "path string, md5 string"), spark.createDataFrame([("y",)], "md5 string"))
+    assert [r.md5 for r in new.collect()] == ["x"]
+    courses = spark.createDataFrame([("s/", "short"), ("s/x", "long")], "prefix string, name string")
+    clips = spark.createDataFrame([("s/x/1",), ("s/y",), ("t",)], "source string")
+    assert {r.source: r.course for r in scoring.with_course(clips, courses, "none").collect()} == {"s/x/1": "long", "s/y": "short", "t": "none"}
+    assert chunking.classic_units([("一", "甲。", None), ("一", "乙。", 3), ("一", "丙。", None)]) == ["甲。", "乙。", "丙。"]
+    cites = layout.citation_map(spark.createDataFrame([("b", "1", "x"), ("b", "2", "y")], "base string, id string, text string")).first()
+    assert cites.texts == {"1": "x", "2": "y"}
