@@ -2,8 +2,8 @@
 
 Deletion-variant signatures. Each distinct text gets a signature of minhash positions, one byte each, over its 3-character
 sequences. The signature is cut into few segments, so few that of two texts at the threshold some segment almost surely differs in
-at most one position. For each segment the variants with one position left out (a wildcard) are indexed; an equality join on
-them gives the candidates, and these are verified on the texts themselves.
+at most one position. For each segment the variants with one position left out (a wildcard) are indexed; texts that meet in
+one are candidates if sketches of their whole signatures are alike too, and these are verified on the texts themselves.
 
 The unit that may differ is a minhash position, not a single bit: at a similarity of 0.70 one-bit positions differ so often
 that segments selective enough would need about 480 variants a text; see the README.
@@ -12,6 +12,7 @@ that segments selective enough would need about 480 variants a text; see the REA
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,15 @@ GRAM, SIMILARITY = 3, 0.70
 SEGMENTS, POSITIONS = 12, 7
 #: Candidates whose signatures agree in fewer positions than this are no pair at 0.70 (four standard deviations below).
 AGREE = 42
-#: Texts of one variant that are paired in one task.
-HOT = 256
+#: Fewest positions whose two-bit sketches agree in a candidate (four standard deviations below what a pair at 0.70 has).
+SKETCHED = 49
+#: Texts of one variant that are paired in one task. Records, half a segment of a text each, that a task is to hold.
+HOT, RECORDS = 4096, 400_000
+#: Positions of a segment that are its first half.
+HALF = (POSITIONS + 1) // 2
+#: Positions in a word of a sketch, and words. Bytes of a record: of the segment and its half, of the id, of each word.
+THIRD, WORDS = SEGMENTS * POSITIONS // 3, 3
+_BYTES = [8, 8, *[7] * WORDS]
 _SEEDS = mix64(np.arange(1, 2 * SEGMENTS * POSITIONS + 1)).reshape(2, -1) | np.uint64(1)
 
 
@@ -80,6 +88,75 @@ def variants(sig: np.ndarray) -> np.ndarray:
     return keys.reshape(len(sig), -1)
 
 
+def halves(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segments, places), two columns for each segment of each text. A segment is its positions, a byte each from the lowest, below its
+    number and half; a place is the same for equal halves.
+
+    Two segments that differ in at most one position have the other half in common, so a variant needs no row of its own: where a half
+    meets its like, the variants that leave out a position of the other half are made.
+    """
+    parts = sig.reshape(len(sig), SEGMENTS, POSITIONS).astype(np.uint64)
+    word = np.zeros((len(sig), SEGMENTS), np.uint64)
+    for p in range(POSITIONS):
+        word |= parts[:, :, p] << np.uint64(8 * p)
+    tags = np.arange(2 * SEGMENTS, dtype=np.uint64).reshape(SEGMENTS, 2) << np.uint64(56)
+    segments = word[:, :, None] | tags
+    low, high = np.uint64((1 << 8 * HALF) - 1), np.uint64((1 << 56) - (1 << 8 * HALF))
+    places = mix64((word[:, :, None] & np.array([low, high])) | tags)
+    return segments.reshape(len(sig), -1), places.reshape(len(sig), -1)
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The two lowest bits of every position: WORDS words a text, each with the low bits of THIRD positions and then their high bits."""
+    out = np.zeros((len(sig), WORDS), np.uint64)
+    for k in range(sig.shape[1]):
+        word, at = divmod(k, THIRD)
+        bits = sig[:, k].astype(np.uint64)
+        out[:, word] |= ((bits & np.uint64(1)) << np.uint64(at)) | ((bits >> np.uint64(1) & np.uint64(1)) << np.uint64(at + THIRD))
+    return out
+
+
+def alike(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Whether sketches side by side, given by words, agree in SKETCHED positions."""
+    differ = np.zeros(len(one[0]), np.uint8)
+    for x, y in zip(one, two, strict=True):
+        x = x ^ y
+        differ += np.bitwise_count((x | (x >> np.uint64(THIRD))) & np.uint64((1 << THIRD) - 1))
+    return differ <= SEGMENTS * POSITIONS - SKETCHED
+
+
+def packed_records(columns: list[np.ndarray]) -> bytes:
+    """Records as planes of bytes, so that what repeats is compressed."""
+    return b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes() for c, n in zip(columns, _BYTES, strict=True))
+
+
+def unpacked_records(blobs: list[bytes]) -> list[np.ndarray]:
+    """The columns of all records in the blobs."""
+    counts = [len(b) // sum(_BYTES) for b in blobs]
+    out = [np.zeros((sum(counts), 8), np.uint8) for _ in _BYTES]
+    at = 0
+    for blob, rows in zip(blobs, counts, strict=True):
+        planes, plane = np.frombuffer(blob, np.uint8).reshape(-1, rows), 0
+        for column, n in zip(out, _BYTES, strict=True):
+            column[at : at + rows, :n] = planes[plane : plane + n].T
+            plane += n
+        at += rows
+    return [c.view("<u8").ravel() for c in out]
+
+
+def met(ends: np.ndarray, ids: np.ndarray, words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids, smaller first, of records in one group whose sketches are alike. ends: for each record, where its group ends."""
+    at = np.arange(len(ids))
+    for step in range(1, len(ids)):
+        at = at[at + step < ends[at]]
+        if not len(at):
+            return
+        for part in np.array_split(at, -(-len(at) // 500_000)):
+            i = part[alike([w[part] for w in words], [w[part + step] for w in words])]
+            x, y = ids[i], ids[i + step]
+            yield np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+
+
 def jaccard(one: list[str], two: list[str]) -> np.ndarray:
     """The exact similarity of texts side by side."""
     a, ao = grams(one)
@@ -112,6 +189,107 @@ def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return map_batches(df.where(F.length(text) > 0), [key, text], f"{key} {df.schema[key].dataType.simpleString()}, digest binary, plain string", make)
 
 
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in larger parts, each pair once a part."""
+    held, rows = [], 0
+
+    def once() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return a[first], b[first]
+
+    for pair in pairs:
+        held.append(pair)
+        rows += len(pair[0])
+        if rows >= least:
+            yield once()
+            held, rows = [], 0
+    if rows:
+        yield once()
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """(a, b) with a < b for texts (id, sig) that have a variant in common and whose sketches are alike.
+
+    The number of pairs that only have a variant in common grows with the square of the table, so they are never written: every record
+    of the index carries its text's sketch, and each task compares what meets in it. A variant of more than HOT texts is cut into blocks;
+    every two blocks are compared in a task of their own.
+    """
+    spark, hot = signed.sparkSession, HOT
+    parts = max(1, -(-signed.count() * 2 * SEGMENTS // RECORDS))
+
+    def index():
+        def work(batch: pa.RecordBatch):
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SEGMENTS * POSITIONS)
+            segments, places = halves(sig)
+            to = (places.ravel() % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            text = order // (2 * SEGMENTS)
+            columns = [segments.ravel()[order], batch.column(0).to_numpy()[text], *sketches(sig)[text].T]
+            some, starts = np.unique(to[order], return_index=True)
+            ends = np.append(starts[1:], len(order))
+            yield {"part": some, "records": [packed_records([c[i:j] for c in columns]) for i, j in zip(starts, ends, strict=True)]}
+
+        return work
+
+    schema = T._parse_datatype_string("a bigint, b bigint, cell binary")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], schema=arrow)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, ids, *words = unpacked_records([blob for batch in batches for blob in batch.column(0).to_pylist()])
+        second = (segments >> np.uint64(56) & np.uint64(1)).astype(bool)
+        for gone in range(POSITIONS):
+            order = np.flatnonzero(second == (gone < HALF))
+            key = segments[order] & ~np.uint64(0xFF << 8 * gone)
+            by = np.argsort(key)
+            order, key = order[by], key[by]
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            for start, n in zip(starts[sizes > hot], sizes[sizes > hot], strict=True):
+                blocks = np.array_split(order[start : start + n], -(-n // hot))
+                packed = [packed_records([segments[b], ids[b], *[w[b] for w in words]]) for b in blocks]
+                for i, one in enumerate(packed):
+                    for two in packed[i:]:
+                        cell = len(one).to_bytes(8, "little") + one + (two if two is not one else b"")
+                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([cell], pa.binary())], schema=arrow)
+            few = (sizes > 1) & (sizes <= hot)
+            order, sizes = order[np.repeat(few, sizes)], sizes[few]
+            ends = np.repeat(np.cumsum(sizes), sizes)
+            for a, b in gathered(met(ends, ids[order].view(np.int64), [w[order] for w in words])):
+                yield rows(a, b)
+
+    def across(one: list[np.ndarray], two: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        many = max(1, 500_000 // len(two[0]))
+        for at in range(0, len(one[0]), many):
+            x, y = ([np.repeat(c[at : at + many], len(two[0])) for c in one], [np.tile(c, len(one[0][at : at + many])) for c in two])
+            kept = alike(x[1:], y[1:]) & (x[0] != y[0])
+            yield np.minimum(x[0], y[0])[kept], np.maximum(x[0], y[0])[kept]
+
+    def compare():
+        def work(batch: pa.RecordBatch):
+            for cell in batch.column(0).to_pylist():
+                n = int.from_bytes(cell[:8], "little")
+                one = [c.view(np.int64) if k == 0 else c for k, c in enumerate(unpacked_records([cell[8 : 8 + n]])[1:])]
+                two = [c.view(np.int64) if k == 0 else c for k, c in enumerate(unpacked_records([cell[8 + n :] or cell[8:]])[1:])]
+                for a, b in gathered(across(one, two)):
+                    yield {"a": a, "b": b}
+
+        return work
+
+    keyed = map_batches(signed, ["id", "sig"], "part int, records binary", index)
+    found = written(keyed.repartitionById(parts, F.col("part")).select("records").mapInArrow(meet, schema))
+    cells = found.where("cell is not null").select("cell").repartition(spark.sparkContext.defaultParallelism * 4)
+    return found.where("cell is null").select("a", "b").union(map_batches(cells, ["cell"], "a bigint, b bigint", compare)).distinct()
+
+
 def links(texts: DataFrame) -> DataFrame:
     """(a, b, similarity) with a < b for distinct texts (id, plain) that are at least SIMILARITY alike."""
 
@@ -125,30 +303,8 @@ def links(texts: DataFrame) -> DataFrame:
 
         return work
 
-    def index():
-        def work(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SEGMENTS * POSITIONS)
-                yield {"variant": variants(sig).view(np.int64).ravel(), "id": np.repeat(part.column(0).to_numpy(), SEGMENTS * POSITIONS)}
-
-        return work
-
     signed = written(map_batches(texts, ["id", "plain"], "id bigint, sig binary, grams int", sign))
-    keyed = map_batches(signed, ["id", "sig"], "variant bigint, id bigint", index)
-    # a variant that one text alone has joins nothing: dropped in the same sort that the join needs
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("variant")
-    met = keyed.withColumn("n", F.count("*").over(w)).where("n > 1")
-    # a variant of many texts is cut into cells of two blocks of them each; every two blocks meet in one cell
-    blocks = F.ceil(F.col("n") / HOT).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    cold = met.where(F.col("n") <= HOT).select("variant", F.lit(0).alias("cell"), "id")
-    hot = met.where(F.col("n") > HOT).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    hot = hot.select("variant", (F.least("own", "other") * blocks + F.greatest("own", "other")).cast("int").alias("cell"), "id")
-    cells = cold.union(hot)
-    pairs = cells.withColumnRenamed("id", "a").join(cells.withColumnRenamed("id", "b"), ["variant", "cell"]).where("a < b").select("a", "b").distinct()
+    pairs = candidates(signed)
     one, two = (signed.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "ab")
     near = pairs.join(one, "a").join(two, "b").where(F.least("grams_a", "grams_b") >= SIMILARITY * F.greatest("grams_a", "grams_b"))
 

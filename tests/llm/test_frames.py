@@ -196,3 +196,21 @@ def test_mixture(spark):
     again = lambda: keys(mixture.mixture(sized, t), "doc_id", "copy")
     assert again() == again()
     assert mixture.mixture(mixture.sized(d.limit(0), t), t).count() == 0
+
+
+def test_texts_of_one_template_are_no_candidates(spark):
+    rng = np.random.default_rng(5)
+    frame = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 180)))
+    texts = [frame + "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 220))) for _ in range(1500)]  # any two have 0.29 in common
+    texts += [t[:200] + "添" + t[200:] for t in texts[:40]]
+    sig = neardup.signatures(*neardup.grams(texts))
+    by: dict[int, list[int]] = {}
+    for i, of in enumerate(neardup.variants(sig)):
+        for v in of.tolist():
+            by.setdefault(v, []).append(i)
+    share = {(a, b) for met in by.values() for n, a in enumerate(met) for b in met[n + 1 :] if a < b}
+    signed = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sig)], "id long, sig binary")
+    got = neardup.candidates(signed).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b) for r in got} <= share
+    assert {(i, 1500 + i) for i in range(40)} <= {(r.a, r.b) for r in got}
+    assert len(share) > 10_000 and len(got) < len(share) / 20

@@ -234,3 +234,31 @@ def encoder():
     if not _ENCODER:
         _ENCODER.append(encoding.Encoder())
     return _ENCODER[0]
+
+
+def test_halves_meet_where_variants_do():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (400, neardup.SEGMENTS * neardup.POSITIONS)).astype(np.uint8)
+    b = a.copy()
+    for i in range(len(b)):  # in every segment as many positions differ as the row's number says, 0 to 3
+        for s in range(neardup.SEGMENTS):
+            b[i, s * neardup.POSITIONS + rng.permutation(neardup.POSITIONS)[: i % 4]] ^= 1
+    (segments, places), (others, at) = neardup.halves(a), neardup.halves(b)
+    for i in range(len(a)):
+        met = 0
+        for k in np.flatnonzero(places[i] == at[i]):
+            left = range(neardup.HALF, neardup.POSITIONS) if k % 2 == 0 else range(neardup.HALF)
+            met += sum((int(segments[i, k]) ^ int(others[i, k])) & ~(0xFF << 8 * g) == 0 for g in left)
+        assert met == np.intersect1d(neardup.variants(a[i : i + 1]), neardup.variants(b[i : i + 1])).size
+
+
+def test_sketches_and_records():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 4, (2000, neardup.SEGMENTS * neardup.POSITIONS)).astype(np.uint8) for _ in "ab")
+    share = rng.random((2000, 1))
+    b = np.where(rng.random(b.shape) < share, a, b)
+    got = neardup.alike(list(neardup.sketches(a).T), list(neardup.sketches(b).T))
+    assert (got == ((a == b).sum(1) >= neardup.SKETCHED)).all() and 100 < got.sum() < 1900
+    columns = [rng.integers(0, 1 << 8 * n - 1, 50).astype(np.uint64) for n in (8, 8, 7, 7, 7)]
+    back = neardup.unpacked_records([neardup.packed_records([c[:20] for c in columns]), neardup.packed_records([c[20:] for c in columns])])
+    assert all((x == y).all() for x, y in zip(columns, back, strict=True))
