@@ -12,6 +12,7 @@ that segments selective enough would need about 480 variants a text; see the REA
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import code_points, expanded, map_batches, mix64, written
+from quillspark.llm.common import code_points, expanded, map_batches, mix64, owners, written
 from quillspark.llm.forms import Prototypes, composed
 
 GRAM, SIMILARITY = 3, 0.70
@@ -45,33 +46,89 @@ def normal(text: str, table: Prototypes) -> str:
     return "".join(composed(text, table).split())
 
 
+class Normals:
+    """`normal` of many texts, characters replaced in one array. That is the same as long as no character acts on another: texts with marks,
+    with parts of syllables, or with a character whose one form isn't a single other one go one by one."""
+
+    GONE, APART = 0xFFFFFFFE, 0xFFFFFFFF
+
+    def __init__(self) -> None:
+        self.table = Prototypes()
+        self.known, self.to = np.zeros(0x110000, bool), np.zeros(0x110000, np.uint32)
+
+    def replaced(self, code: int) -> int:
+        out = composed(chr(code), self.table)
+        for c in chr(code) + out:
+            if unicodedata.category(c)[0] == "M" or 0x1100 <= ord(c) < 0x1200 or 0x16D63 <= ord(c) <= 0x16D6A:
+                return self.APART
+        out = "".join(out.split())
+        return ord(out) if len(out) == 1 else self.APART if out else self.GONE
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        codes, offsets = code_points(texts)
+        for code in np.unique(codes[~self.known[codes]]).tolist():
+            self.to[code], self.known[code] = self.replaced(code), True
+        made = self.to[codes]
+        apart = set(np.searchsorted(offsets, np.flatnonzero(made == self.APART), "right").tolist())
+        kept = made < self.GONE
+        at = np.concatenate([[0], np.cumsum(kept)])[offsets].tolist()
+        every = made[kept].tobytes().decode("utf-32-le", "surrogatepass")
+        return [normal(t, self.table) if i + 1 in apart else every[at[i] : at[i + 1]] for i, t in enumerate(texts)]
+
+
+def _keys(texts: list[str]) -> tuple[np.ndarray, int, np.ndarray] | None:
+    """(keys, bits, used): the distinct 3-character sequences of each text, in order: the text's number above three ranks of `bits` bits in
+    `used`, the code points that occur. One word each, so they are sorted by value; None where a word is too short for it."""
+    codes, offsets = code_points([t if len(t) >= GRAM else t + "\x00" * (GRAM - len(t)) for t in texts])
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    seen[codes] = True
+    used = np.flatnonzero(seen).astype(np.uint64)
+    bits = max(1, (len(used) - 1).bit_length())
+    if GRAM * bits + len(texts).bit_length() > 64:
+        return None
+    c = (np.cumsum(seen) - 1).astype(np.uint64)[codes]
+    own = owners(offsets).astype(np.uint64)
+    keys = (own << np.uint64(3 * bits))[:-2] | (c[:-2] << np.uint64(2 * bits)) | (c[1:-1] << np.uint64(bits)) | c[2:]
+    keys = np.sort(keys[own[:-2] == own[2:]])
+    return _once(keys), bits, used
+
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys, each once."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first]
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct 3-character sequences of each text, packed into 63 bits, in order; a shorter text is one sequence."""
-    codes, offsets = code_points([t if len(t) >= GRAM else t + "\x00" * (GRAM - len(t)) for t in texts])
-    c = codes.astype(np.uint64)
-    packed = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:] if len(c) >= GRAM else np.zeros(0, np.uint64)
-    own = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    inside = own[: len(packed)] == own[2:] if len(packed) else np.zeros(0, bool)
-    packed, own = packed[inside], own[: len(packed)][inside]
-    order = np.lexsort((packed, own))
-    packed, own = packed[order], own[order]
-    first = np.ones(len(packed), bool)
-    first[1:] = (packed[1:] != packed[:-1]) | (own[1:] != own[:-1])
-    packed, own = packed[first], own[first]
-    return packed, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(texts)))])
+    made = _keys(texts)
+    if made is None:  # never a single text
+        (a, ao), (b, bo) = grams(texts[: len(texts) // 2]), grams(texts[len(texts) // 2 :])
+        return np.concatenate([a, b]), np.concatenate([ao, ao[-1] + bo[1:]])
+    keys, bits, used = made
+    one, two, three = (used[keys >> np.uint64(k * bits) & np.uint64((1 << bits) - 1)] for k in (2, 1, 0))
+    counts = np.bincount((keys >> np.uint64(3 * bits)).astype(np.int64), minlength=len(texts))
+    return (one << np.uint64(42)) | (two << np.uint64(21)) | three, np.concatenate([[0], np.cumsum(counts)])
 
 
 def signatures(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of SEGMENTS x POSITIONS bytes for each text."""
+    """One row of SEGMENTS x POSITIONS bytes for each text; as many sequences at a time as the caches of a core hold."""
     h = mix64(packed)
-    out = np.empty((len(offsets) - 1, SEGMENTS * POSITIONS), np.uint8)
-    with np.errstate(over="ignore"):
-        for k in range(out.shape[1]):
-            x = h * _SEEDS[0, k]
-            x ^= x >> np.uint64(29)
-            least = np.minimum.reduceat(x * _SEEDS[1, k], offsets[:-1])
-            out[:, k] = (mix64(least) & np.uint64(0xFF)).astype(np.uint8)
-    return out
+    least = np.empty((SEGMENTS * POSITIONS, len(offsets) - 1), np.uint64)
+    begin = 0
+    while begin < len(offsets) - 1:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 8192, "right")) - 1)
+        part, starts = h[offsets[begin] : offsets[end]], offsets[begin:end] - offsets[begin]
+        x, y = np.empty_like(part), np.empty_like(part)
+        for k in range(len(least)):
+            np.multiply(part, _SEEDS[0, k], out=x)
+            np.right_shift(x, np.uint64(29), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, _SEEDS[1, k], out=x)
+            np.minimum.reduceat(x, starts, out=least[k, begin:end])
+        begin = end
+    return np.ascontiguousarray((mix64(least) & np.uint64(0xFF)).astype(np.uint8).T)
 
 
 def variants(sig: np.ndarray) -> np.ndarray:
@@ -159,16 +216,23 @@ def met(ends: np.ndarray, ids: np.ndarray, words: list[np.ndarray]) -> Iterator[
 
 def jaccard(one: list[str], two: list[str]) -> np.ndarray:
     """The exact similarity of texts side by side."""
-    a, ao = grams(one)
-    b, bo = grams(two)
     n = len(one)
-    own = np.concatenate([np.repeat(np.arange(n), np.diff(ao)), np.repeat(np.arange(n), np.diff(bo))])
-    every = np.concatenate([a, b])
-    order = np.lexsort((every, own))
-    every, own = every[order], own[order]
-    same = (every[1:] == every[:-1]) & (own[1:] == own[:-1])
-    common = np.bincount(own[1:][same], minlength=n)
-    return common / np.maximum(1, np.diff(ao) + np.diff(bo) - common)
+    made = _keys([*one, *two])
+    if made is None and n > 1:
+        return np.concatenate([jaccard(one[: n // 2], two[: n // 2]), jaccard(one[n // 2 :], two[n // 2 :])])
+    if made is None:  # one pair of nearly every character
+        a, b = (grams(side)[0] for side in (one, two))
+        common = np.array([len(np.intersect1d(a, b, assume_unique=True))])
+        return common / (len(a) + len(b) - common)
+    keys, bits, _ = made
+    text = (keys >> np.uint64(3 * bits)).astype(np.int64)
+    sizes = np.bincount(text, minlength=2 * n)
+    half = int(sizes[:n].sum())
+    keys[half:] -= np.uint64(n << 3 * bits)
+    keys = np.sort(keys)
+    both = keys[1:][keys[1:] == keys[:-1]]
+    common = np.bincount((both >> np.uint64(3 * bits)).astype(np.int64), minlength=n)
+    return common / np.maximum(1, sizes[:n] + sizes[n:] - common)
 
 
 def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -176,10 +240,10 @@ def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     group."""
 
     def make():
-        table = Prototypes()
+        normals = Normals()
 
         def work(batch: pa.RecordBatch):
-            plain = [normal(t, table) for t in batch.column(1).to_pylist()]
+            plain = [p for at in range(0, batch.num_rows, 1000) for p in normals(batch.column(1).slice(at, 1000).to_pylist())]
             kept = [i for i, p in enumerate(plain) if p]
             digests = [hashlib.blake2b(plain[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in kept]
             yield {key: batch.column(0).take(pa.array(kept, pa.int64())), "digest": digests, "plain": [plain[i] for i in kept]}

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -262,3 +263,43 @@ def test_sketches_and_records():
     columns = [rng.integers(0, 1 << 8 * n - 1, 50).astype(np.uint64) for n in (8, 8, 7, 7, 7)]
     back = neardup.unpacked_records([neardup.packed_records([c[:20] for c in columns]), neardup.packed_records([c[20:] for c in columns])])
     assert all((x == y).all() for x, y in zip(columns, back, strict=True))
+
+
+def test_normals_of_many_texts_are_those_of_each():
+    rng, table = random.Random(3), forms.Prototypes()
+    marks = [" ", "　", "​", "é", "é", "ﬁ", "가", "ᄀ", "ᅡ", "ᆨ", "か", "゙", "Å", "А", "①", "½", "\ud800", "̣̇"]
+    pool = [chr(c) for c in range(0x20, 0x3200, 7)] + marks * 40
+    texts = ["", " "] + ["".join(rng.choices(pool, k=rng.randrange(1, 7))) for _ in range(20_000)]
+    assert neardup.Normals()(texts) == [neardup.normal(t, table) for t in texts]
+
+
+def test_near_duplicate_kernels_take_whole_batches():
+    """One by one, or sorted by two keys, these took most of p3_found's time."""
+    rng, table, many = random.Random(4), forms.Prototypes(), neardup.Normals()
+    texts = ["".join(rng.choices("諸藥，。服之 則愈ＡＢ甲乙丙丁戊己庚辛壬癸", k=450)) for _ in range(1000)]
+
+    def least(work):
+        times = []
+        for _ in range(4):
+            began = time.process_time()
+            out = work()
+            times.append(time.process_time() - began)
+        return out, min(times)
+
+    (plain, batch), (same, single) = least(lambda: many(texts)), least(lambda: [neardup.normal(t, table) for t in texts])
+    assert plain == same and batch < single / 2
+    packed, offsets = neardup.grams(plain)
+    own = np.repeat(np.arange(len(plain)), np.diff(offsets))
+    (_, sorting), (found, whole) = least(lambda: [np.lexsort((x, own)) for x in (packed[::-1].copy(), packed) for _ in "ab"]), least(lambda: neardup.jaccard(plain, plain[::-1]))
+    assert whole < sorting and (found[:500] == found[500:][::-1]).all()
+
+
+def test_sequences_of_very_many_characters():
+    every = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[k::5]) for k in range(3)] + ["".join(every), "甲"]
+    packed, offsets = neardup.grams(texts)
+    for i, t in enumerate(texts[:4]):
+        of = packed[offsets[i] : offsets[i + 1]]
+        assert len(of) == len(t) - 2 and (np.diff(of.astype(np.int64)) > 0).all()
+    assert neardup.jaccard(texts[3:4], ["".join(every[:-9])]).tolist() == [(len(every) - 11) / (len(every) - 2)]
+    assert neardup.jaccard(texts[:3], texts[:2] + ["甲乙丙"]).tolist() == [1.0, 1.0, 0.0]
