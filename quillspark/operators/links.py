@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from quillspark.functions import text as X
 from quillspark.functions.fixed import NUMBERED
 from quillspark.functions.numerals import number_of
+from quillspark.sources.shared import written
 from quillspark.sources.tables import spread
 
 
@@ -176,54 +180,161 @@ def coverage(links: DataFrame, classics: DataFrame) -> DataFrame:
     return met.join(F.broadcast(total)).select("target_kind", "linked", (F.col("linked") / F.col("total")).alias("rate"))
 
 
-#: Aliases up to which they are looked for by a pattern.
-ALIASES = 500
+#: Terms that are looked for in one pass over the passages, passages of a term that are compared in one task, units of those that are compared
+#: at once, and cells of a table of pairs.
+TERMS, TOGETHER, UNITS, CELLS = 200_000, 4096, 1000, 4_000_000
+_FLAGS = ("heading", "nearby", "early", "holds")
 
 
-def held_aliases(terms: DataFrame) -> Callable[[str], Column]:
-    """column → an array that has every alias of terms (alias) that the column's text holds, at every place. Few aliases are looked for by one
-    pattern for each of their lengths, so that overlapping ones are all found; of more than ALIASES all substrings of their lengths
-    come out, of which a join keeps those that are aliases."""
-    sizes = [r.n for r in terms.select(F.length("alias").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
-    known = [r.alias for r in terms.select("alias").where("alias <> ''").distinct().orderBy("alias").limit(ALIASES + 1).collect()]
+def _named(rows: DataFrame, terms: DataFrame, numbered: str, strict: bool) -> DataFrame:
+    """Of rows (row, id, kind, key, text, last, earlier) those that name a term so that it may qualify: (row, id, kind, key, found), found
+    being the terms, each with _FLAGS over its aliases. Only the first 80 characters are looked through if only they can decide."""
+    aliases: dict[str, list[str]] = {}
+    of: dict[str, list[str]] = {}
+    for r in terms.where("alias is not null and term is not null").select("term", "alias").distinct().orderBy("term", "alias").collect():
+        aliases.setdefault(r.term, []).append(r.alias)
+        of.setdefault(r.alias, []).append(r.term)
+    shared = rows.sparkSession.sparkContext.broadcast((aliases, of, sorted({len(x) for x in of if x})))
+    schema = StructType([*(rows.schema[c] for c in ("row", "id", "kind", "key")), StructField("found", ArrayType(StructType([StructField("term", StringType()), *(StructField(c, BooleanType()) for c in _FLAGS)])))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aliases, of, sizes = shared.value
+        heads = re.compile(numbered, re.ASCII)
+        heading: dict[str, re.Pattern] = {}
 
-    def parts(c: str, n: int) -> Column:
-        if len(known) <= ALIASES:
-            quoted = "|".join(rf"\Q{k}\E" for k in known if len(k) == n)
-            return F.regexp_extract_all(c, F.lit(f"(?=({quoted}))"), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+        def headed(text: str, alias: str) -> bool:
+            if alias not in heading:
+                heading[alias] = re.compile(f"(?:{numbered}){re.escape(alias)}", re.ASCII)
+            return heading[alias].search(text) is not None
 
-    return lambda c: F.flatten(F.array(*[parts(c, n) for n in sizes])) if sizes else F.array().cast("array<string>")
+        def held(text: str) -> set[str]:
+            return {x for n in sizes for x in {text[i : i + n] for i in range(len(text) - n + 1)} if x in of}
+
+        for batch in batches:
+            at, out = [], []
+            for i, (text, last, earlier) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "last", "earlier")), strict=True)):
+                if text is None:
+                    continue
+                known = held(text if strict else text[:80]) | (held(earlier) if strict else set()) | ({last} if last in of else set())
+                if not known:
+                    continue
+                numbers, before = heads.search(text) is not None, strict and heads.search(earlier) is not None
+                found = []
+                for term in sorted({t for x in known for t in of[x]}):
+                    # an empty alias is named only by an empty section
+                    names = [x for x in aliases[term] if x or last == ""]
+                    head, near = numbers and any(headed(text, x) for x in names), before and any(headed(earlier, x) for x in names)
+                    early, holds = any(x in text[:80] or x == last for x in names), any(x in text for x in names)
+                    if (early or head or near) and (holds or near):
+                        found.append({"term": term, "heading": head, "nearby": near, "early": early, "holds": holds})
+                if found:
+                    at.append(i)
+                    out.append(found)
+            kept = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept).cast(arrow.field(c).type) for c in ("row", "id", "kind", "key")), pa.array(out, arrow.field("found").type)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _text_pairs(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(own, pair): the distinct pairs of characters of each key, as numbers, and the key's place."""
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    own = np.repeat(np.arange(len(keys), dtype=np.uint64), sizes)
+    both = ((own << np.uint64(42))[:-1] | (codes[:-1] << np.uint64(21)) | codes[1:])[own[:-1] == own[1:]]
+    both = np.sort(both)
+    both = both[np.concatenate([np.ones(min(1, len(both)), bool), both[1:] != both[:-1]])]
+    return (both >> np.uint64(42)).astype(np.int64), both & np.uint64((1 << 42) - 1)
+
+
+def _thousandths(x: np.ndarray) -> np.ndarray:
+    """x rounded to three places as `round` does it: what is written as half a place goes up."""
+    y = x * 1000
+    out = np.floor(y + 0.5).astype(np.int32)
+    close = np.abs(y - np.floor(y) - 0.5) < 1e-6
+    if close.any():
+        values, at = np.unique(x[close], return_inverse=True)
+        exact = [int(Decimal(repr(v)).scaleb(3).quantize(Decimal(1), ROUND_HALF_UP)) for v in values.tolist()]
+        out[close] = np.array(exact, np.int32)[at.ravel()]
+    return out
+
+
+def _scored(units: pa.Table, rows: pa.Table, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(unit, row, thousandths): places of units (key, by) and their best n of rows (row, key, _FLAGS), ties by row. Shared pairs of characters
+    are counted by a product of two tables, as many rows at a time as CELLS allow, so a unit may have more than n in all."""
+    own, pair = _text_pairs(units["key"].to_pylist())
+    sizes = np.bincount(own, minlength=len(units))
+    known, place = np.unique(pair, return_inverse=True)
+    has = np.zeros((len(units), len(known)), np.float32)
+    has[own, place] = 1
+    by = units["by"].to_numpy(zero_copy_only=False)[:, None].astype(bool)
+    order = pc.sort_indices(rows["row"]).to_numpy()
+    keys, flags = rows["key"].to_pylist(), {c: rows[c].to_numpy(zero_copy_only=False).astype(bool) for c in _FLAGS}
+    for part in np.array_split(order, max(1, -(-len(order) * (len(known) + len(units)) // CELLS))):
+        if not len(part):
+            continue
+        own, pair = _text_pairs([keys[i] for i in part])
+        at = np.searchsorted(known, pair)
+        met = at < len(known)
+        met[met] = known[at[met]] == pair[met]
+        holding = np.zeros((len(part), len(known)), np.float32)
+        holding[own[met], at[met]] = 1
+        share = (has @ holding.T).astype(float) / np.maximum(1, sizes)[:, None]
+        heading, nearby, early, holds = (flags[c][part][None, :] for c in _FLAGS)
+        near = nearby & by
+        score = _thousandths(0.35 + 0.25 * heading + 0.15 * early + 0.1 * near + 0.15 * share)
+        score[~(np.where(by, heading | near, early) & (holds | near))] = -1
+        unit = np.arange(len(units))
+        for _ in range(min(n, len(part))):
+            best = score.argmax(1)
+            value = score[unit, best]
+            good = value >= 0
+            yield unit[good], part[best[good]], value[good]
+            score[unit, best] = -1
 
 
 def term_links(classics: DataFrame, targets: DataFrame, terms: DataFrame, n: int = 3, numbered: str = "[一二三四五六七八九十百千〇零\\d]{1,5}[、：]\\s*", strict: Column | None = None) -> DataFrame:
     """(classic_id, target_id, kind, score): passages that name a classic's term, the best n of each classic and kind; ties by row.
 
-    `terms` (term, alias) is a dimension. Passages, and the passages before them in their source, are reduced to the aliases they hold (see
-    held_aliases) and joined with the terms by these. A passage qualifies by naming the term early (in its first 80
-    characters or at its section's end); where `strict` holds (of the columns `book`, the classic's title, and kind) by a numbered heading of
-    the term in it or in the passage before, even if it doesn't name the term itself. The score adds a heading, an early mention, the
-    passage before, and how much of the classic is in the passage.
+    `terms` (term, alias) is a dimension, `numbered` a pattern that means the same in Java and Python. A passage qualifies by naming the term
+    early (in its first 80 characters or at its section's end); where `strict` holds (of the columns `book`, the classic's title, and
+    kind) by a numbered heading of the term in it or in the passage before, even if it doesn't name the term itself. The score adds a
+    heading, an early mention, the passage before, and how much of the classic is in the passage.
+
+    Every passage that names a term is compared with every classic of the term. The passages of a term and kind are parted into at most
+    about TOGETHER, each part meets all the term's classics in one task, and only its best n of each classic go on.
     """
-    rows = spread(targets.select("row", "id", "kind", "source", "text", F.coalesce("section", F.lit("")).alias("place")))
     # the passage before is asked for only where a heading in it can decide
     before = F.lit("") if strict is None else F.coalesce(F.lag("text").over(Window.partitionBy("kind", "source").orderBy("row")), F.lit(""))
-    rows, find = rows.withColumn("earlier", before), held_aliases(terms)
-    held = F.array_distinct(F.concat(find("text"), *([] if strict is None else [find("earlier")]), F.array(F.element_at(F.split("place", r"\s+"), -1))))
-    named = rows.select("row", F.explode(held).alias("alias")).join(terms, "alias").select("row", "alias", "term")
-    head = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit(numbered), F.regexp_replace("alias", r"([\\.^$|?*+()\[\]{}])", r"\\$1"))), F.lit(False))
-    hits = named.join(rows, "row").withColumns({"heading": head(F.col("text")), "nearby": head(F.col("earlier")), "early": F.contains(F.substring("text", 1, 80), F.col("alias")) | (F.element_at(F.split("place", r"\s+"), -1) == F.col("alias")), "holds": F.contains(F.col("text"), F.col("alias"))})
-    of_term = hits.groupBy("row", "id", "kind", "term").agg(*[F.max(c).alias(c) for c in ("heading", "nearby", "early", "holds")])
-    of = classics.where("section is not null").select(F.col("id").alias("classic_id"), F.col("title").alias("book"), F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1).alias("term"), F.substring("text", 1, 100).alias("begin")).distinct()
-    met = of.join(of_term, "term")
+    rows = targets.select("row", "id", "kind", "text", F.element_at(F.split(F.coalesce("section", F.lit("")), r"\s+"), -1).alias("last"), before.alias("earlier"))
+    rows = spread(rows).withColumn("key", X.compact(F.col("text")))
+    passes = max(1, -(-terms.select("term").distinct().count() // TERMS))
+    some = [terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i) if passes > 1 else terms for i in range(passes)]
+    named = written(reduce(DataFrame.unionByName, [_named(rows, t, numbered, strict is not None) for t in some]))
+    hits = named.select("row", "id", "kind", "key", F.explode("found").alias("v")).select("row", "id", "kind", "key", "v.*")
+    counts = hits.groupBy("term", "kind").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    groups = written(counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("g", F.monotonically_increasing_id()))
+    last = F.element_at(F.split(X.trimmed(F.col("section")), r"\s+|、"), -1)
+    of = classics.where("section is not null").select(F.col("id").alias("classic_id"), F.col("title").alias("book"), last.alias("term"), X.compact(F.substring("text", 1, 100)).alias("key")).distinct()
     by_heading = F.lit(False) if strict is None else F.coalesce(strict, F.lit(False))
-    near = F.col("nearby") & by_heading
-    met = met.withColumn("near", near).where(F.when(by_heading, F.col("heading") | F.col("near")).otherwise(F.col("early"))).where(F.col("holds") | F.col("near"))
-    # the pairs of characters of a text are made once, not for each unit it is met with
-    units = of.select("begin").distinct().select("begin", X.bigrams(F.col("begin")).alias("sa"))
-    texts = spread(targets.select("row", "text")).join(met.select("row").distinct(), "row", "left_semi").select("row", X.bigrams(F.col("text")).alias("sb"))
-    both = met.join(units, "begin").join(texts, "row")
-    scored = both.withColumn("score", F.round(0.35 + 0.25 * F.col("heading").cast("int") + 0.15 * F.col("early").cast("int") + 0.1 * F.col("near").cast("int") + 0.15 * X.containment(F.col("sa"), F.col("sb")), 3))
+    units = of.join(groups, "term").withColumn("by", by_heading).select("g", "classic_id", F.coalesce("key", F.lit("")).alias("key"), "by").distinct()
+    to = groups.select(F.col("term").alias("term_"), F.col("kind").alias("kind_"), "parts", "part", F.col("g").alias("to"))
+    salt = F.pmod(F.xxhash64("row"), F.col("parts")) == F.col("part")
+    passages = hits.join(to, (F.col("term") == F.col("term_")) & F.col("kind").eqNullSafe(F.col("kind_")) & salt).select("to", "row", "id", "kind", "key", *_FLAGS)
+    schema = StructType([units.schema["classic_id"], passages.schema["id"], passages.schema["kind"], passages.schema["row"], StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        parts = range(0, len(one), UNITS) if len(two) else ()
+        found = [(unit + i, row, value) for i in parts for unit, row, value in _scored(one.slice(i, UNITS), two, n)]
+        if not found:
+            return arrow.empty_table()
+        unit, row, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        unit, row = pa.array(unit), pa.array(row)
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip([one["classic_id"].take(unit), two["id"].take(row), two["kind"].take(row), two["row"].take(row), pa.chunked_array([value / 1000])], arrow, strict=True)], schema=arrow)
+
+    scored = units.groupBy("g").cogroup(passages.groupBy("to")).applyInArrow(meet, schema)
     best = scored.groupBy("classic_id", "kind", "row", "id").agg(F.max("score").alias("score"))
     return best.withColumn("n_", F.row_number().over(Window.partitionBy("classic_id", "kind").orderBy(F.desc("score"), "row"))).where(F.col("n_") <= n).select("classic_id", F.col("id").alias("target_id"), "kind", "score")
 

@@ -2,7 +2,9 @@
 
 import json
 import random
+import time
 from datetime import date, datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -347,3 +349,45 @@ def test_small_rules(spark):
     assert chunking.classic_units([("一", "甲。", None), ("一", "乙。", 3), ("一", "丙。", None)]) == ["甲。", "乙。", "丙。"]
     cites = layout.citation_map(spark.createDataFrame([("b", "1", "x"), ("b", "2", "y")], "base string, id string, text string")).first()
     assert cites.texts == {"1": "x", "2": "y"}
+
+
+def test_term_links_of_many_passages_of_one_term(spark, monkeypatch):
+    """Every passage of a term meets every classic of it: as rows with the pairs of characters of both sides that took minutes."""
+    rng = random.Random(6)
+    write = lambda n: "".join(rng.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥", k=n))
+    units = [(f"c{i}", "本", "卷一、桂枝", write(130)) for i in range(300)]
+    rows = []
+    for i in range(3000):
+        head = ["", "三、", "桂枝 "][i % 3]
+        text = f"{head}{'桂枝' if i % 5 else ''}{units[i % 300][3][: i % 60]}{write(300)}" + ("桂枝" if i % 5 == 0 else "")
+        rows.append((i, f"t{i}", "document" if i % 2 else "transcript", "s", text, "節 桂枝" if i % 50 == 0 else None))
+    classics = spark.createDataFrame(units, "id string, title string, section string, text string").repartition(2)
+    targets = spark.createDataFrame(rows, "row long, id string, kind string, source string, text string, section string").repartition(4)
+    terms = spark.createDataFrame([("桂枝", "桂枝"), ("麻黃", "麻黃")], "term string, alias string")
+    began = time.time()
+    got = {tuple(r) for r in links.term_links(classics, targets, terms).collect()}
+    took = time.time() - began
+
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    key = lambda t: t.replace("、", "").replace(" ", "")
+    kept = [(r, "三、桂枝" in r[4], pairs(key(r[4]))) for r in rows if "桂枝" in r[4] and ("桂枝" in r[4][:80] or r[5])]
+    want = set()
+    for c in units:
+        own = pairs(c[3][:100])
+        for kind in ("document", "transcript"):
+            scored = [(float(Decimal(repr(0.35 + 0.25 * h + 0.15 + 0.15 * (len(own & p) / len(own)))).quantize(Decimal("0.001"), ROUND_HALF_UP)), r) for r, h, p in kept if r[2] == kind]
+            want |= {(c[0], r[1], kind, s) for s, r in sorted(scored, key=lambda x: (-x[0], x[1][0]))[:3]}
+    assert got == want and len(want) == 1800
+    assert took < 30
+    for name, value in (("TOGETHER", 500), ("CELLS", 200_000), ("UNITS", 70), ("TERMS", 1)):
+        monkeypatch.setattr(links, name, value)
+    assert {tuple(r) for r in links.term_links(classics, targets, terms).collect()} == want
+
+
+def test_term_links_by_several_aliases(spark):
+    """More terms than were looked for by patterns; a term is named by one alias early, by another in a heading; empty texts and sections."""
+    classics = spark.createDataFrame([("c1", "本草", "桂枝", "桂枝味辛"), ("c2", "本草", "卷 麻.黃", ""), ("c3", "本草", None, "桂枝")], "id string, title string, section string, text string")
+    rows = [(1, "t1", "document", "桂心" + "字" * 90 + "二、桂枝", ""), (2, "t2", None, "麻.黃", None), (3, "t3", None, "麻x黃一、麻x黃", "卷 麻.黃"), (4, "t4", "document", None, "卷 桂枝"), (5, "t5", "document", "字" * 80 + "桂枝", "卷 桂枝"), (6, "t6", "document", "字" * 80 + "桂枝", "卷")]
+    targets = spark.createDataFrame(rows, "row long, id string, kind string, text string, section string").withColumn("source", F.lit("s"))
+    terms = spark.createDataFrame([("桂枝", "桂枝"), ("桂枝", "桂心"), ("麻.黃", "麻.黃")] + [(f"藥{i}", f"藥{i}") for i in range(600)], "term string, alias string")
+    assert {tuple(r) for r in links.term_links(classics, targets, terms).collect()} == {("c1", "t1", "document", 0.8), ("c1", "t5", "document", 0.55), ("c2", "t2", None, 0.5)}
